@@ -85,8 +85,8 @@ def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 def semantic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top ``k`` by cosine of ``vector`` columns."""
     return best_matches(
-        queries.select("query_id", "vector"),
-        chunks.select("chunk_id", "vector"),
+        _with_vector(queries, "query_id"),
+        _with_vector(chunks, "chunk_id"),
         "query_id",
         "chunk_id",
         dense_scorer("cosine"),
@@ -94,6 +94,10 @@ def semantic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _with_vector(frame: DataFrame, key: str) -> DataFrame:
+    return frame.select(key, "vector").filter(F.col("vector").isNotNull())
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of the full lexical and semantic rankings, top ``k``.
 
@@ -106,8 +110,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -
     """
     depth = constant + 2 * k
     left_words, right_words = bm25_weights(queries, chunks)
-    left_vectors = queries.select("query_id", "vector")
-    right_vectors = chunks.select("chunk_id", "vector")
+    left_vectors = _with_vector(queries, "query_id")
+    right_vectors = _with_vector(chunks, "chunk_id")
     sides = {
         "lexical": (left_words, right_words, sparse_scorer()),
         "semantic": (left_vectors, right_vectors, dense_scorer("cosine")),
