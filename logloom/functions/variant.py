@@ -33,36 +33,51 @@ def get_or(doc, path: str, default, as_type: str = "string") -> Column:
     return F.when(is_missing(doc, path), fallback.cast(as_type)).otherwise(get(doc, path, as_type))
 
 
-def kind_of(value: Column) -> Column:
-    """JSON kind of a variant: object, array, string, number, boolean, null; SQL null if missing."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(schema.isNotNull(), "number")
-    )
+def is_object(doc, path: str) -> Column:
+    return F.try_variant_get(doc, path, "struct<>").isNotNull()
 
 
-def kind(doc, path: str) -> Column:
-    return kind_of(field(doc, path))
+def is_list(doc, path: str) -> Column:
+    return F.try_variant_get(doc, path, "array<variant>").isNotNull()
+
+
+def _code(doc, path: str) -> Column:
+    """First letters of the variant's type name; null if the key is missing."""
+    return F.left(F.schema_of_variant(field(doc, path)), F.lit(2))
+
+
+def is_number(doc, path: str) -> Column:
+    """A JSON number, or a boolean, which compares like one."""
+    return _code(doc, path).isin("BI", "DE", "DO", "FL", "BO")
+
+
+def type_name(doc, path: str) -> Column:
+    """Name of the JSON kind as error texts give it."""
+    code = F.create_map(*[F.lit(v) for pair in _TYPE_NAMES.items() for v in pair])
+    return F.try_element_at(code, _code(doc, path))
+
+
+# How error texts name the JSON kinds
+_TYPE_NAMES = {
+    "OB": "dict", "AR": "list", "ST": "str", "BO": "bool", "VO": "NoneType",
+    "BI": "int", "DE": "float", "DO": "float", "FL": "float",
+}
 
 
 def parse(raw) -> Column:
     """Parse JSON text; text that encodes a JSON string is decoded once more."""
-    once = F.try_parse_json(raw)
-    trimmed = F.ltrim(raw if isinstance(raw, Column) else F.col(raw))
-    return F.when(
-        trimmed.startswith('"'), F.try_parse_json(F.try_variant_get(once, "$", "string"))
-    ).otherwise(once)
+    return F.try_parse_json(unwrap(raw))
+
+
+def starts(column, mark: str) -> Column:
+    """The first character that is not JSON white space is ``mark``."""
+    return F.ltrim(column, F.lit(" \t\r\n")).startswith(mark)
 
 
 def unwrap(raw) -> Column:
     """JSON text with one layer of string encoding removed where there is one."""
     column = raw if isinstance(raw, Column) else F.col(raw)
     return F.when(
-        F.ltrim(column).startswith('"'),
+        starts(column, '"'),
         F.try_variant_get(F.try_parse_json(column), "$", "string"),
     ).otherwise(column)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
-from logloom.operators.mapping import map_events
+from logloom.operators.mapping import PARTS, map_events
+from logloom.operators.mapping import record as mapped_record
 
 
 def route_of(doc: str = "doc") -> Column:
@@ -17,15 +18,14 @@ def route_of(doc: str = "doc") -> Column:
     """
 
     def readable(path: str) -> Column:
-        value = V.field(doc, path)
-        return value.isNull() | (V.kind_of(value) == "object")
+        return V.is_missing(doc, path) | V.is_object(doc, path)
 
     source = V.get(doc, "$.source_type")
-    id_kind = V.kind(doc, "$.event_id")
     windows = (
         readable("$.event_data")
         & readable("$.execution")
-        & (id_kind.isNull() | ~id_kind.isin("array", "object"))
+        & ~V.is_list(doc, "$.event_id")
+        & ~V.is_object(doc, "$.event_id")
     )
     return (
         F.when((source == "file") & readable("$.file"), "file")
@@ -62,17 +62,18 @@ def process_logs(
     strict: bool = True,
     classes: dict | None = None,
 ) -> DataFrame:
-    """One normalised row per record of ``doc``; Windows events also get ``mapped``.
+    """One normalised row per record of ``doc``; Windows events also get the mapped parts.
 
-    ``source`` is null on Windows rows, which carry the mapped record instead.
+    ``source`` is null on Windows rows, which carry the mapped record instead;
+    on all other rows its parts are null.
     """
     stamp = now if now is not None else F.current_timestamp()
     routed = events.withColumn("route", route_of("doc"))
-    mapped = map_events(
-        routed, "doc", F.to_variant_object(windows_record("doc")), now, strict, classes
-    )
     route = F.col("route")
     windows = route == "windows"
+    mapped = map_events(
+        routed, "doc", F.to_variant_object(windows_record("doc")), now, strict, classes, windows
+    )
     time = F.when(
         route == "generic",
         V.get_or("doc", "$.timestamp", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
@@ -93,10 +94,10 @@ def process_logs(
         F.when(route == "syslog", V.get_or("doc", "$.severity", "unknown")).alias("severity"),
         F.when(~windows, V.get_or("doc", "$.message", "")).alias("message"),
         F.when(~windows, metadata).alias("metadata"),
-        F.when(windows, F.col("mapped")).alias("mapped"),
-        F.when(windows, F.col("map_status")).alias("map_status"),
-        F.when(windows, F.col("map_error_type")).alias("map_error_type"),
-        F.when(windows, F.col("criticality")).alias("criticality"),
+        *[f"mapped_{part}" for part in PARTS],
+        "map_status",
+        "map_error_type",
+        "criticality",
         F.when(windows, V.get("doc", "$.event_id")).alias("event_id"),
     )
 
@@ -109,7 +110,7 @@ def record_json(processed: DataFrame, name: str = "record") -> DataFrame:
         return F.to_json(F.struct(*columns), keep)
 
     text = (
-        F.when(F.col("route") == "windows", F.to_json("mapped", keep))
+        F.when(F.col("route") == "windows", F.to_json(mapped_record(), keep))
         .when(F.col("route") == "file", of("timestamp", "source", "file_path", "message", "metadata"))
         .when(
             F.col("route") == "syslog",

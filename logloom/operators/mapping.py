@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 from logloom.functions import variant as V
 from logloom.operators.lookups import RECORD_TYPE, SEVERITIES, class_of, criticality_of
 
-# Types of the nested parts, which an error record leaves null
-_PARTS = {
-    "actor": "struct<user:struct<name:string,uid:string,domain:string,type:string,session_uid:string>,"
-    "session:struct<uid:string>>",
-    "target": "struct<user:struct<name:string,uid:string,domain:string,type:string>,"
-    "process:struct<name:string,pid:string>,resource:struct<name:string,type:string>>",
-    "device": "struct<hostname:string,uid:string,ip:string,port:string,"
-    "os:struct<name:string,type:string>>",
-    "process": "struct<name:string,pid:string,cmd_line:string,"
-    "parent_process:struct<pid:string,name:string>>",
-    "authentication": "struct<protocol:string,logon_type:string,process:string,"
-    "session:struct<uid:string>>",
-}
+# Parts of a mapped record; an error record fills class_uid, class_name, time, message,
+# severity and metadata only
+PARTS = (
+    "type_uid", "class_uid", "class_name", "activity_id", "activity_name", "time", "message",
+    "severity", "status", "category", "actor", "target", "device", "process", "authentication",
+    "metadata",
+)
 
 
 def _data(doc: str, key: str, alias: str) -> Column:
@@ -29,17 +23,13 @@ def _data(doc: str, key: str, alias: str) -> Column:
 
 def numeric_id(doc: str, path: str, strict: bool = True) -> Column:
     """Integer value of a JSON number; JSON strings count only if not ``strict``."""
-    as_double = V.get(doc, path, "double")
-    whole = F.when(as_double == F.floor(as_double), as_double.try_cast("bigint"))
-    usable = V.kind(doc, path).isin("number", "boolean") if strict else F.lit(True)
-    return F.when(usable, whole)
+    whole = F.when(V.get(doc, path, "double") % 1 == 0, V.get(doc, path, "bigint"))
+    return F.when(V.is_number(doc, path), whole) if strict else whole
 
 
 def severity_of(level: Column) -> Column:
-    severity = F.when(level.isNull(), "UNKNOWN")
-    for key, name in SEVERITIES.items():
-        severity = severity.when(level == key, name)
-    return severity.otherwise("UNKNOWN")
+    names = F.create_map(*[F.lit(v) for pair in SEVERITIES.items() for v in pair])
+    return F.coalesce(F.try_element_at(names, level.cast("int")), F.lit("UNKNOWN"))
 
 
 def status_of(keywords: Column) -> Column:
@@ -60,7 +50,7 @@ def keyword_status(doc: str = "doc", path: str = "$.keywords") -> Column:
         .when(F.array_contains(members, "Audit Failure"), "FAILURE")
         .otherwise("UNKNOWN")
     )
-    return F.when(V.kind(doc, path).isin("array", "object"), listed).otherwise(
+    return F.when(V.is_list(doc, path) | V.is_object(doc, path), listed).otherwise(
         status_of(V.get(doc, path))
     )
 
@@ -123,44 +113,24 @@ def authentication(doc: str = "doc") -> Column:
     )
 
 
-# How error texts name the JSON kinds
-_TYPE_NAMES = {
-    "object": "dict", "array": "list", "string": "str", "boolean": "bool", "null": "NoneType",
-}
-
+def mapping_fault(doc: str = "doc") -> Column:
+    """Struct (type, text) of the first thing that makes a record unmappable, else null."""
 
-def _type_name(value: Column) -> Column:
-    kind = V.kind_of(value)
-    name = F.when(F.schema_of_variant(value) == "BIGINT", "int")
-    for key, text in _TYPE_NAMES.items():
-        name = name.when(kind == key, text)
-    return name.otherwise("float")
+    def fault(kind: str, text: str, path: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("type"), F.format_string(text, V.type_name(doc, path)).alias("text")
+        )
 
+    def nested(path: str) -> Column:
+        return V.is_list(doc, path) | V.is_object(doc, path)
 
-def mapping_fault(doc: str = "doc") -> Column:
-    """Struct (type, text) of the first thing that makes a record unmappable, else null."""
-    keywords = V.field(doc, "$.keywords")
-    keyword_kind = V.kind_of(keywords)
-    scalar = (
-        (keyword_kind == "number") & (V.get(doc, "$.keywords", "double") != 0)
-    ) | ((keyword_kind == "boolean") & V.get(doc, "$.keywords", "boolean"))
-    data = V.field(doc, "$.event_data")
-
-    def fault(kind: str, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), text.alias("text"))
-
-    unhashable = None
-    for path in ("$.event_id", "$.level"):
-        value = V.field(doc, path)
-        found = V.kind_of(value).isin("array", "object")
-        text = fault("TypeError", F.format_string("unhashable type: '%s'", _type_name(value)))
-        unhashable = F.when(found, text) if unhashable is None else unhashable.when(found, text)
-    return unhashable.when(
-        scalar,
-        fault("TypeError", F.format_string("argument of type '%s' is not iterable", _type_name(keywords))),
-    ).when(
-        data.isNotNull() & (V.kind_of(data) != "object"),
-        fault("AttributeError", F.format_string("'%s' object has no attribute 'get'", _type_name(data))),
+    true_scalar = V.is_number(doc, "$.keywords") & (V.get(doc, "$.keywords", "double") != 0)
+    no_object = ~V.is_missing(doc, "$.event_data") & ~V.is_object(doc, "$.event_data")
+    return (
+        F.when(nested("$.event_id"), fault("TypeError", "unhashable type: '%s'", "$.event_id"))
+        .when(nested("$.level"), fault("TypeError", "unhashable type: '%s'", "$.level"))
+        .when(true_scalar, fault("TypeError", "argument of type '%s' is not iterable", "$.keywords"))
+        .when(no_object, fault("AttributeError", "'%s' object has no attribute 'get'", "$.event_data"))
     )
 
 
@@ -171,78 +141,76 @@ def map_events(
     now: Column | None = None,
     strict: bool = True,
     classes: dict | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Add ``mapped``, ``map_status``, ``map_error_type`` and ``criticality``.
+    """Add the parts of the mapped record, ``map_status``, ``map_error_type`` and ``criticality``.
 
     A narrow projection: no join and no shuffle, so it runs on streams unchanged.
-    ``classes`` replaces the built-in event table. Records that cannot be mapped
-    get an error record. ``strict`` keeps text ids and levels unknown.
+    ``classes`` replaces the built-in event table. A record that cannot be mapped
+    becomes an error record. ``strict`` keeps text ids and levels unknown. Rows
+    outside ``where`` get null parts.
+
+    Every part is a column ``mapped_<part>`` of its own, so the planner drops the
+    parts a query does not read; :func:`record` puts them together.
     """
+    inside = where if where is not None else F.lit(True)
     staged = (
-        events.withColumn("_fault", mapping_fault(doc))
-        .withColumn("_id", numeric_id(doc, "$.event_id", strict))
+        events.withColumn("_in", inside)
+        .withColumn("_fault", F.when(F.col("_in"), mapping_fault(doc)))
+        .withColumn("_ok", F.col("_in") & F.col("_fault").isNull())
+        .withColumn("_id", F.when(F.col("_in"), numeric_id(doc, "$.event_id", strict)))
+        .withColumn("_level", F.when(F.col("_ok"), numeric_id(doc, "$.level", strict)))
         .withColumn("_class", class_of(F.col("_id"), classes))
     )
+    ok, failed = F.col("_ok"), F.col("_fault").isNotNull()
+    error = F.col("_fault.text")
+    stamp = F.date_format(
+        now if now is not None else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    )
     source = original if original is not None else F.col(doc)
-    mapped = F.struct(
-        F.lit(RECORD_TYPE).alias("type_uid"),
-        F.col("_class.uid").alias("class_uid"),
-        F.col("_class.name").alias("class_name"),
-        V.get(doc, "$.event_id", "int").alias("activity_id"),
-        F.col("_class.activity").alias("activity_name"),
-        V.get(doc, "$.timestamp").alias("time"),
-        V.get(doc, "$.message").alias("message"),
-        severity_of(numeric_id(doc, "$.level", strict)).alias("severity"),
-        keyword_status(doc).alias("status"),
-        V.get(doc, "$.task_category").alias("category"),
-        actor(doc).alias("actor"),
-        target(doc).alias("target"),
-        device(doc).alias("device"),
-        process(doc).alias("process"),
-        authentication(doc).alias("authentication"),
-        F.struct(
-            V.get(doc, "$.version").alias("version"),
-            F.struct(
-                F.lit("Microsoft Windows").alias("name"),
-                F.lit("Microsoft").alias("vendor_name"),
-                F.struct(F.lit("Security Auditing").alias("name")).alias("feature"),
-            ).alias("product"),
-            source.alias("original_event"),
-            F.lit(None).cast("string").alias("error"),
-        ).alias("metadata"),
+
+    def leaf(value: Column, on_error: Column | None = None) -> Column:
+        chosen = F.when(ok, value)
+        return chosen.when(failed, on_error) if on_error is not None else chosen
+
+    product = F.struct(
+        F.lit("Microsoft Windows").alias("name"),
+        F.lit("Microsoft").alias("vendor_name"),
+        F.struct(F.lit("Security Auditing").alias("name")).alias("feature"),
     )
-    return staged.select(
-        *events.columns,
-        F.when(F.col("_fault").isNull(), mapped)
-        .otherwise(error_record(F.col("_fault.text"), source, now))
-        .alias("mapped"),
-        F.when(F.col("_fault").isNull(), "success").otherwise("error").alias("map_status"),
+    parts = {
+        "type_uid": leaf(F.lit(RECORD_TYPE)),
+        "class_uid": leaf(F.col("_class.uid"), F.lit(0)),
+        "class_name": leaf(F.col("_class.name"), F.lit("Unknown")),
+        "activity_id": leaf(V.get(doc, "$.event_id", "int")),
+        "activity_name": leaf(F.col("_class.activity")),
+        "time": leaf(V.get(doc, "$.timestamp"), stamp),
+        "message": leaf(V.get(doc, "$.message"), F.concat(F.lit("Failed to map event: "), error)),
+        "severity": leaf(severity_of(F.col("_level")), F.lit("ERROR")),
+        "status": leaf(keyword_status(doc)),
+        "category": leaf(V.get(doc, "$.task_category")),
+        "actor": leaf(actor(doc)),
+        "target": leaf(target(doc)),
+        "device": leaf(device(doc)),
+        "process": leaf(process(doc)),
+        "authentication": leaf(authentication(doc)),
+        "metadata": F.struct(
+            leaf(V.get(doc, "$.version")).alias("version"),
+            leaf(product).alias("product"),
+            F.when(F.col("_in"), source).alias("original_event"),
+            error.alias("error"),
+        ),
+    }
+    outcome = [
+        F.when(ok, "success").when(failed, "error").alias("map_status"),
         F.col("_fault.type").alias("map_error_type"),
-        criticality_of(F.col("_id")).alias("criticality"),
+        F.when(F.col("_in"), criticality_of(F.col("_id"))).alias("criticality"),
+    ]
+    return staged.select(
+        *events.columns, *outcome, *[part.alias(f"mapped_{n}") for n, part in parts.items()]
     )
 
 
-def error_record(error: Column, original: Column, now: Column | None = None) -> Column:
-    """The record that stands in for an event that could not be mapped."""
-    stamp = now if now is not None else F.current_timestamp()
-    fields = F.struct(
-        F.lit(None).cast("int").alias("type_uid"),
-        F.lit(0).alias("class_uid"),
-        F.lit("Unknown").alias("class_name"),
-        F.lit(None).cast("int").alias("activity_id"),
-        F.lit(None).cast("string").alias("activity_name"),
-        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"),
-        F.concat(F.lit("Failed to map event: "), error).alias("message"),
-        F.lit("ERROR").alias("severity"),
-        *[F.lit(None).cast("string").alias(c) for c in ("status", "category")],
-        *[F.lit(None).cast(_PARTS[c]).alias(c) for c in _PARTS],
-        F.struct(
-            F.lit(None).cast("string").alias("version"),
-            F.lit(None)
-            .cast("struct<name:string,vendor_name:string,feature:struct<name:string>>")
-            .alias("product"),
-            original.alias("original_event"),
-            error.alias("error"),
-        ).alias("metadata"),
-    )
-    return fields
+def record(prefix: str = "mapped_") -> Column:
+    """The parts of a mapped record as one struct."""
+    return F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in PARTS])

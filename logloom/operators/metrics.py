@@ -34,7 +34,9 @@ def mappings(processed: DataFrame) -> DataFrame:
     """Mappings per class and status; failed mappings are counted by :func:`mapping_errors`."""
     return (
         processed.filter(F.col("map_status") == "success")
-        .groupBy(F.col("mapped.class_name").alias("event_class"), F.col("map_status").alias("status"))
+        # leaves are selected before grouping, so no other part of the record is built
+        .select(F.col("mapped_class_name").alias("event_class"), F.col("map_status").alias("status"))
+        .groupBy("event_class", "status")
         .agg(F.count(F.lit(1)).alias("mappings"))
     )
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from logloom.operators.dispatch import process_logs, record_json
-from logloom.operators.validation import Rule, as_document, validate
+from logloom.operators.validation import Rule, validate
 from logloom.sources.logs import payloads
 
 
@@ -22,8 +23,11 @@ def ingest(
     processed = process_logs(payloads(raw, value), now, strict)
     if rules is None:
         return processed
-    checked = validate(processed.withColumn("mapped_doc", as_document("mapped")), rules)
-    return checked.drop("mapped_doc")
+    checked = validate(processed, rules)
+    windows = F.col("route") == "windows"
+    return checked.withColumn("valid", F.when(windows, F.col("valid"))).withColumn(
+        "violations", F.when(windows, F.col("violations"))
+    )
 
 
 def queue_records(processed: DataFrame) -> DataFrame:

@@ -26,10 +26,6 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _starts(column, mark: str) -> Column:
-    return F.regexp_replace(column, r"^\s+", "").startswith(mark)
-
-
 def entries(docs: DataFrame) -> DataFrame:
     """Members of a document in order as (path, pos, key, json).
 
@@ -38,7 +34,7 @@ def entries(docs: DataFrame) -> DataFrame:
     would not.
     """
     staged = docs.withColumn(
-        "_inner", F.when(_starts("raw", "{"), F.from_json("raw", "attributes string")["attributes"])
+        "_inner", F.when(V.starts(F.col("raw"), "{"), F.from_json("raw", "attributes string")["attributes"])
     ).withColumn("_body", F.coalesce("_inner", "raw"))
     named = F.transform(
         F.map_entries(F.from_json("_body", "map<string,string>")),
@@ -50,7 +46,7 @@ def entries(docs: DataFrame) -> DataFrame:
     )
     single = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("raw").alias("json")))
     members = (
-        F.when(_starts("_body", "["), listed)
+        F.when(V.starts(F.col("_body"), "["), listed)
         .when(F.col("_inner").isNotNull(), named)
         .otherwise(single)
     )
@@ -77,8 +73,8 @@ def categories(docs: DataFrame) -> DataFrame:
 def category_classes(docs: DataFrame) -> DataFrame:
     """(category_pos, category, pos, class_name) from the class map or list of each category."""
     inner = F.from_json("json", "classes string")["classes"]
-    names = F.when(_starts("_c", "{"), F.map_keys(F.from_json("_c", "map<string,string>"))).when(
-        _starts("_c", "["), F.from_json("_c", "array<string>")
+    names = F.when(V.starts(F.col("_c"), "{"), F.map_keys(F.from_json("_c", "map<string,string>"))).when(
+        V.starts(F.col("_c"), "["), F.from_json("_c", "array<string>")
     )
     return (
         categories(docs)

@@ -134,33 +134,35 @@ def payloads(raw: DataFrame, value: str = "raw") -> DataFrame:
     A payload that is not JSON, or holds anything but objects, is refused whole;
     :func:`refused` counts those.
     """
-    return (
-        _split(raw, value)
-        .filter(F.col("_items").isNotNull())
-        .select(*raw.columns, F.posexplode("_items").alias("item", "doc"))
-    )
+    return _records(raw, value).filter(F.col("doc").isNotNull())
 
 
 def refused(raw: DataFrame, value: str = "raw") -> DataFrame:
     return (
-        _split(raw, value)
-        .filter(F.col("_items").isNull())
+        _records(raw, value)
+        .filter(F.col("item").isNull())
         .select(*raw.columns, F.lit("processing_error").alias("error_type"))
     )
 
 
-def _split(raw: DataFrame, value: str) -> DataFrame:
-    text = V.unwrap(value)
-    staged = raw.withColumn("_text", text).withColumn("_doc", F.try_parse_json("_text"))
-    first = F.substring(F.ltrim(F.regexp_replace("_text", r"^\s+", "")), 1, 1)
-    listed = F.try_variant_get("_doc", "$", "array<variant>")
-    objects = F.forall(
-        listed, lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNotNull()
+def _records(raw: DataFrame, value: str) -> DataFrame:
+    """Records of each payload; a refused one gives a row without ``item``, an empty one a row
+    without ``doc``.
+
+    Filters come after the outer explode: before it, the planner would copy the
+    parsing into them and parse every payload twice.
+    """
+    staged = raw.withColumn("_text", V.unwrap(value)).withColumn("_doc", F.try_parse_json("_text"))
+    staged = staged.withColumn("_list", F.try_variant_get("_doc", "$", "array<variant>"))
+    nothing = F.lit(None).cast("variant")
+    items = (
+        F.when(V.starts(F.col("_text"), "{") & F.col("_doc").isNotNull(), F.array("_doc"))
+        .when(F.size("_list") == 0, F.array(nothing))
+        .when(F.forall("_list", lambda e: V.is_object(e, "$")), F.col("_list"))
     )
-    items = F.when(F.col("_doc").isNotNull() & (first == "{"), F.array("_doc")).when(
-        (first == "[") & objects, listed
+    return staged.withColumn("_items", items).select(
+        *raw.columns, F.posexplode_outer("_items").alias("item", "doc")
     )
-    return staged.withColumn("_items", items)
 
 
 def queue(spark: SparkSession, path: str) -> DataFrame:

@@ -47,7 +47,8 @@ def class_counts(spark, path):
     """Flagship: raw payloads to counts per class, severity, status and criticality."""
     return (
         windows(spark, path)
-        .groupBy("mapped.class_name", "mapped.severity", "mapped.status", "criticality")
+        .select(F.col("mapped_class_name").alias("class_name"), F.col("mapped_severity").alias("severity"), F.col("mapped_status").alias("status"), "criticality")
+        .groupBy("class_name", "severity", "status", "criticality")
         .agg(F.count(F.lit(1)).alias("events"))
     )
 
@@ -240,8 +241,8 @@ def xml_to_mapped(spark, path):
     """Windows XML through the dispatcher: columns, documents, mapped records."""
     docs = agent.windows_documents(agent.windows_columns(xml_input(spark, path))).select("n", "doc")
     return process_logs(docs, now()).select(
-        "n", "route", "mapped.class_name", "mapped.severity", "mapped.status", "mapped.time",
-        F.col("mapped.actor.user.name").alias("actor"), F.col("mapped.device.ip").alias("ip"), "criticality",
+        "n", "route", F.col("mapped_class_name").alias("class_name"), F.col("mapped_severity").alias("severity"), F.col("mapped_status").alias("status"), F.col("mapped_time").alias("time"),
+        F.col("mapped_actor.user.name").alias("actor"), F.col("mapped_device.ip").alias("ip"), "criticality",
     )
 
 
@@ -288,7 +289,7 @@ def one_source(route: str, *columns: str):
 
 def windows_records(spark, path):
     """The flat record handed to the mapper, kept as the original event."""
-    event = "mapped.metadata.original_event"
+    event = "mapped_metadata.original_event"
     return windows(spark, path).select(
         "n",
         *[V.get(event, f"$.{c}").alias(c) for c in ("timestamp", "event_id", "level", "keywords", "computer", "message", "subject")],
@@ -310,10 +311,10 @@ FROM ({LOG_STATES}) s WHERE NOT refused AND route = 'windows'
 def mapped_events(spark, path):
     good = windows(spark, path).filter(F.col("map_status") == "success")
     return good.select(
-        "n", "mapped.type_uid", "mapped.class_uid", "mapped.class_name", "mapped.activity_id", "mapped.activity_name",
-        "mapped.time", "mapped.message", "mapped.severity", "mapped.status", "mapped.category",
-        F.col("mapped.metadata.version").alias("version"),
-        F.col("mapped.metadata.product.vendor_name").alias("vendor"),
+        "n", F.col("mapped_type_uid").alias("type_uid"), F.col("mapped_class_uid").alias("class_uid"), F.col("mapped_class_name").alias("class_name"), F.col("mapped_activity_id").alias("activity_id"), F.col("mapped_activity_name").alias("activity_name"),
+        F.col("mapped_time").alias("time"), F.col("mapped_message").alias("message"), F.col("mapped_severity").alias("severity"), F.col("mapped_status").alias("status"), F.col("mapped_category").alias("category"),
+        F.col("mapped_metadata.version").alias("version"),
+        F.col("mapped_metadata.product.vendor_name").alias("vendor"),
     )
 
 
@@ -330,7 +331,7 @@ def part_of(columns: dict[str, str], sql: dict[str, str]):
 
     def run(spark, path):
         good = windows(spark, path).filter(F.col("map_status") == "success")
-        return good.select("n", *[F.col(f"mapped.{p}").alias(a) for a, p in columns.items()])
+        return good.select("n", *[F.col(f"mapped_{p}").alias(a) for a, p in columns.items()])
 
     text = ", ".join(f"{e} AS {a}" for a, e in sql.items())
     return run, f"SELECT n, {text} FROM ({MAPPED}) m WHERE NOT faulty"
@@ -363,8 +364,8 @@ DEVICE = part_of(
 def error_records(spark, path):
     bad = windows(spark, path).filter(F.col("map_status") == "error")
     return bad.select(
-        "n", "mapped.class_uid", "mapped.class_name", "mapped.time", "mapped.message", "mapped.severity",
-        F.col("mapped.metadata.error").alias("error"), "map_error_type",
+        "n", F.col("mapped_class_uid").alias("class_uid"), F.col("mapped_class_name").alias("class_name"), F.col("mapped_time").alias("time"), F.col("mapped_message").alias("message"), F.col("mapped_severity").alias("severity"),
+        F.col("mapped_metadata.error").alias("error"), "map_error_type",
     )
 
 
@@ -382,7 +383,8 @@ def lenient_mapping(spark, path):
     return (
         map_events(docs, now=now(), strict=False)
         .filter(F.col("map_status") == "success")
-        .groupBy("mapped.class_name", "mapped.severity")
+        .select(F.col("mapped_class_name").alias("class_name"), F.col("mapped_severity").alias("severity"))
+        .groupBy("class_name", "severity")
         .agg(F.count(F.lit(1)).alias("events"))
     )
 
@@ -495,7 +497,7 @@ FILE_SCAN = f"SELECT 'file' AS route, event_type, message, count(*) AS lines FRO
 
 
 def volume_alerts(spark, path):
-    rows = windows(spark, path).select(F.to_timestamp("mapped.time").alias("time"), F.col("mapped.class_name").alias("class_name"))
+    rows = windows(spark, path).select(F.to_timestamp("mapped_time").alias("time"), F.col("mapped_class_name").alias("class_name"))
     return monitoring.volume_alerts(rows.filter("time is not null"), "time", "class_name", 3, "6 hours")
 
 

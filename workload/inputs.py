@@ -168,14 +168,15 @@ def raw_logs(spark: SparkSession, path: str) -> DataFrame:
         ("execution", F.when(windows, json(("process_id", (n % 1000).cast("string"))))),
         ("event_data", F.when(windows & (n % 29 == 0), F.lit('"none"')).when(windows & (n % 23 != 0), event_data)),
     )
+    text = F.col("record")
     raw = (
         F.when(n % 97 == 0, F.concat(F.lit("not json "), F.col("message")))
-        .when(n % 89 == 0, F.concat(F.lit("["), record, F.lit(",7]")))
-        .when(n % 3 == 0, F.concat(F.lit("["), record, F.lit("]")))
-        .when(n % 50 == 7, F.to_json(F.array(record)).substr(F.lit(2), F.length(F.to_json(F.array(record))) - 2))
-        .otherwise(record)
+        .when(n % 89 == 0, F.concat(F.lit("["), text, F.lit(",7]")))
+        .when(n % 3 == 0, F.concat(F.lit("["), text, F.lit("]")))
+        .when(n % 50 == 7, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"')))
+        .otherwise(text)
     )
-    return logs.select("n", raw.alias("raw"))
+    return logs.select("n", "message", record.alias("record")).select("n", raw.alias("raw"))
 
 
 # The same states for the oracle, as columns. A payload is refused when it is no JSON or mixes records and numbers.
