@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import ingest
+from workload import catalogue, ingest
 
-MODULES = [ingest]
+MODULES = [ingest, catalogue]
 
 
 def entries() -> dict:
