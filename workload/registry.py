@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import catalogue, ingest
+from workload import catalogue, ingest, retrieval, search
 
-MODULES = [ingest, catalogue]
+MODULES = [ingest, catalogue, search, retrieval]
 
 
 def entries() -> dict:
