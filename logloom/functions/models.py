@@ -72,34 +72,29 @@ def embed(
     and a text that fails gets no vector and the status ERROR."""
     factory = make or hashing_encoder()
 
-    @F.pandas_udf(T.StructType([
-        T.StructField("vector", T.ArrayType(T.FloatType())),
-        T.StructField("status", T.StringType()),
-    ]))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for batch in batches:
             texts = [None if t is None else t.strip() for t in batch]
             usable = [i for i, t in enumerate(texts) if t]
             vectors: list = [None] * len(texts)
-            states = ["EMPTY" if not t else "OK" for t in texts]
             try:
-                for i, v in zip(usable, model([prompt + texts[i] for i in usable])):
-                    vectors[i] = v
+                found = model([prompt + texts[i] for i in usable])
             except Exception:
+                found = []
                 for i in usable:
                     try:
-                        vectors[i] = model([prompt + texts[i]])[0]
+                        found.append(model([prompt + texts[i]])[0])
                     except Exception:
-                        vectors[i], states[i] = None, "ERROR"
-            yield pd.DataFrame({"vector": vectors, "status": states})
-
-    return (
-        frame.withColumn("_e", run(F.col(text)))
-        .withColumn(vector, F.col("_e.vector"))
-        .withColumn(status, F.col("_e.status"))
-        .drop("_e")
-    )
+                        found.append(None)
+            for i, v in zip(usable, found):
+                vectors[i] = v
+            yield pd.Series(vectors, dtype=object)
+
+    empty = F.coalesce(F.regexp_replace(F.col(text), r"(?U)\s+", "") == "", F.lit(True))
+    state = F.when(empty, "EMPTY").when(F.col(vector).isNull(), "ERROR").otherwise("OK")
+    return frame.withColumn(vector, run(F.col(text))).withColumn(status, state)
 
 
 def pair_scores(

@@ -17,7 +17,7 @@ def squash(query) -> Column:
 
 def tokens(text) -> Column:
     """Lower-cased words, split at white space."""
-    return F.filter(F.split(F.lower(_col(text)), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(text)), r"\s+"), "")
 
 
 def related(a: Column, b: Column) -> Column:

@@ -29,18 +29,31 @@ def bm25_weights(
 
     The inverse document frequency goes to the query side and the saturated term
     frequency to the chunk side, so frequencies are never joined to postings.
-    Postings keep only tokens some query asks for; counts combine before their shuffle.
+    Chunks are tokenised once: the postings keep the tokens some query asks for,
+    and of every chunk an empty token that carries its length. Counts combine
+    before their shuffle.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token"))
-    sized = chunks.select("chunk_id", tokens("content").alias("_t")).withColumn("len", F.size("_t"))
-    totals = sized.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))).scalar()
-    postings = (
-        sized.select("chunk_id", "len", F.explode("_t").alias("token"))
-        .join(asked.select("token").distinct(), ["token"], "left_semi")
+    wanted = asked.select("token").distinct().unionByName(
+        queries.sparkSession.range(1).select(F.lit("").alias("token"))
+    )
+    counted = cut_lineage(
+        chunks.select("chunk_id", tokens("content").alias("_t"))
+        .select(
+            "chunk_id",
+            F.size("_t").alias("len"),
+            F.explode_outer(F.array_append("_t", F.lit(""))).alias("token"),
+        )
+        .join(wanted, ["token"], "left_semi")
         .groupBy("chunk_id", "len", "token")
         .agg(F.count(F.lit(1)).alias("f"))
     )
-    postings = cut_lineage(postings)
+    totals = (
+        counted.filter("token = ''")
+        .agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")))
+        .scalar()
+    )
+    postings = counted.filter("token <> ''")
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
     idf = F.log(F.lit(1) + (F.col("_totals.n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     query_side = (
