@@ -94,6 +94,9 @@ def pair_blocks(
 ) -> DataFrame:
     """Run ``visit`` on every pair of a left and a right block (of the same ``within``)."""
     n_left, n_right = blocks
+    # both sides may come from one frame: give their columns identities of their own
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     a = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")).withColumn(
         "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))
     )
@@ -107,7 +110,7 @@ def pair_blocks(
         import pandas as pd
 
         if len(l) == 0 or len(r) == 0:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         return visit(l, r)
 
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import catalogue, ingest, retrieval, search
+from workload import catalogue, clusters, ingest, retrieval, search, streams
 
-MODULES = [ingest, catalogue, search, retrieval]
+MODULES = [ingest, streams, catalogue, search, retrieval, clusters]
 
 
 def entries() -> dict:

@@ -154,7 +154,7 @@ SELECT f.dataset_id, f.id, CASE WHEN d.id IS NULL THEN 0 ELSE 1 END AS is_duplic
 FROM ({FIRST}) f LEFT JOIN ({later_sql(FIRST)}) d ON d.dataset_id = f.dataset_id AND d.id = f.id"""
 
 
-AS_OF = 1704067200 + 7 * 86_400 + 18_000
+AS_OF = 1704067200 + 7 * 86_400 + 9_000
 
 
 def recent_sample(spark, path):
