@@ -12,6 +12,10 @@ from logloom.session import cut_lineage, shuffle_width
 # Rows per list segment: the longest array any grouping builds.
 SEGMENT = 100_000
 
+# A key is hot from this many rows on, if it also holds one row in HOT_SHARE
+HOT_ROWS = 100_000
+HOT_SHARE = 1000
+
 
 def lookup(
     facts: DataFrame,
@@ -21,18 +25,57 @@ def lookup(
     how: str = "left",
     ways: int = 16,
 ) -> DataFrame:
-    """Join many ``facts`` to at most one ``per_key`` row per key.
+    """Join many ``facts`` to at most one ``per_key`` row per key, for a ``per_key`` much smaller.
 
     A key that holds a third of the facts is split ``ways`` times by a hash of
-    ``spread_by`` (columns that differ within the key); the one matching row is
-    copied to every part. Where the adaptive planner finds ``per_key`` below its
-    broadcast limit it may still broadcast it.
+    ``spread_by`` (columns that differ within the key); every row of ``per_key``
+    is copied to each part. Where the adaptive planner finds ``per_key`` below
+    its broadcast limit it may still broadcast it.
     """
     salted = facts.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
     copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return salted.join(copies, [*on, "_part"], how).drop("_part")
 
 
+def lookup_large(
+    facts: DataFrame,
+    per_key: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "left",
+    ways: int = 256,
+    rows: int | None = None,
+) -> DataFrame:
+    """The same for a ``per_key`` about as large as the facts: only hot keys are split.
+
+    A key is hot if it holds more than one in ``HOT_SHARE`` of the facts, so
+    there are fewer than ``HOT_SHARE`` hot keys whatever the data, and their
+    list is small enough to broadcast. Only their rows of ``per_key`` are copied.
+    ``rows`` is the number of facts where the caller knows it; few facts need no split.
+    """
+    if rows is not None and rows <= HOT_ROWS:
+        return facts.join(per_key, list(on), how)
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(
+        counts.withColumn("_total", total)
+        .filter((F.col("_n") > HOT_ROWS) & (F.col("_n") * HOT_SHARE > F.col("_total")))
+        .select(*[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot"))
+    )
+
+    def flagged(frame: DataFrame) -> DataFrame:
+        match = F.lit(True)
+        for c in on:
+            match = match & (F.col(c) == F.col(f"_h_{c}"))
+        return frame.join(hot, match, "left").drop(*[f"_h_{c}" for c in on])
+
+    split = F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int")
+    salted = flagged(facts).withColumn("_part", F.when(F.col("_hot"), split).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    copies = flagged(per_key).withColumn("_part", F.explode(parts)).drop("_hot")
+    return salted.join(copies, [*on, "_part"], how).drop("_part")
+
+
 def with_ordinal(
     frame: DataFrame,
     group: Sequence[str],

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import lookup
+from logloom.functions.spread import lookup_large
 from logloom.operators.catalogue_stats import class_links
 from logloom.operators.graph import ancestor_chains, cycle_members
 
@@ -33,13 +33,13 @@ def _uids(classes: DataFrame, name: str) -> DataFrame:
 def broken_parents(classes: DataFrame, strict: bool = False) -> DataFrame:
     """Classes whose ``extends`` names no class."""
     rows = classes.filter(_present(classes, "extends", strict))
-    return lookup(rows, _uids(classes, "extends"), ["extends"], ["pos"], how="left_anti")
+    return lookup_large(rows, _uids(classes, "extends"), ["extends"], ["pos"], how="left_anti")
 
 
 def broken_refs(classes: DataFrame, fields: DataFrame, strict: bool = False) -> DataFrame:
     """Fields whose ``ref`` names no class."""
     rows = fields.filter(_present(fields, "ref", strict))
-    return lookup(rows, _uids(classes, "ref"), ["ref"], ["pos"], how="left_anti")
+    return lookup_large(rows, _uids(classes, "ref"), ["ref"], ["pos"], how="left_anti")
 
 
 def reference_issues(classes: DataFrame, fields: DataFrame, strict: bool = False) -> DataFrame:
@@ -66,7 +66,7 @@ def parents_of(classes: DataFrame) -> DataFrame:
         .groupBy(F.col("uid").alias("extends"))
         .agg(F.min("pos").alias("parent_pos"))
     )
-    return lookup(classes, first, ["extends"], ["pos"])
+    return lookup_large(classes, first, ["extends"], ["pos"])
 
 
 def overrides(classes: DataFrame, fields: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def overrides(classes: DataFrame, fields: DataFrame) -> DataFrame:
     may be hot and is split.
     """
     linked = parents_of(classes).filter(F.col("parent_pos").isNotNull())
-    child = lookup(
+    child = lookup_large(
         fields.select("class_pos", "pos", "name", F.col("type").alias("child_type")),
         linked.select(F.col("pos").alias("class_pos"), "uid", "extends", "parent_pos"),
         ["class_pos"],
@@ -87,7 +87,7 @@ def overrides(classes: DataFrame, fields: DataFrame) -> DataFrame:
     parent = fields.groupBy(F.col("class_pos").alias("parent_pos"), "name").agg(
         F.max_by("type", "pos").alias("parent_type")
     )
-    return lookup(child, parent, ["parent_pos", "name"], ["pos"], how="inner").filter(
+    return lookup_large(child, parent, ["parent_pos", "name"], ["pos"], how="inner").filter(
         ~F.col("child_type").eqNullSafe(F.col("parent_type"))
     ).select("uid", "extends", "pos", F.col("name").alias("field"), "parent_type", "child_type")
 
@@ -121,7 +121,7 @@ def enum_issues(fields: DataFrame) -> DataFrame:
         F.min_by("_set", "pos").alias("existing_values"), F.min("pos").alias("_first")
     )
     return (
-        lookup(enums, first, ["enum_name"], ["pos"], how="inner")
+        lookup_large(enums, first, ["enum_name"], ["pos"], how="inner")
         .filter((F.col("pos") != F.col("_first")) & (F.col("_set") != F.col("existing_values")))
         .select(
             F.lit("inconsistent_enum").alias("type"),
@@ -143,7 +143,7 @@ def cycles(classes: DataFrame) -> DataFrame:
     """(cycle_id, uid, extends, cycle_size): one row per class on an inheritance cycle."""
     members = cycle_members(ancestor_chains(class_links(classes, "uid")))
     sizes = members.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("cycle_size"))
-    return lookup(members, sizes, ["cycle_id"], ["node"], how="inner").select(
+    return lookup_large(members, sizes, ["cycle_id"], ["node"], how="inner").select(
         "cycle_id", F.col("node").alias("uid"), F.col("parent").alias("extends"), "cycle_size"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
-from logloom.functions.spread import list_segments, lookup, with_ordinal
+from logloom.functions.spread import list_segments, lookup_large, with_ordinal
 
 
 def format_fields(fields: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def usage_patterns(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.count(F.lit(1)).alias("field_count"), F.min("name").alias("pattern"))
         .filter(F.col("field_count") > 1)
     )
-    members = lookup(prints, groups, same, ["name"], how="inner").select("pattern", "name")
+    members = lookup_large(prints, groups, same, ["name"], how="inner").select("pattern", "name")
     ranked = with_ordinal(
         groups.select("pattern", "field_count", "occurrence_count"),
         [],
@@ -159,4 +159,4 @@ def usage_patterns(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pattern_classes(patterns: DataFrame, fields: DataFrame) -> DataFrame:
     """(pattern, class_uid) of the classes a pattern occurs in."""
     named = fields.select(F.col("name").alias("pattern"), "class_uid").distinct()
-    return lookup(named, patterns.select("pattern"), ["pattern"], ["class_uid"], how="left_semi")
+    return lookup_large(named, patterns.select("pattern"), ["pattern"], ["class_uid"], how="left_semi")

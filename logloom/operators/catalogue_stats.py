@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import list_segments, lookup, with_ordinal
+from logloom.functions.spread import list_segments, lookup_large, with_ordinal
 from logloom.operators.graph import ancestor_chains
 
 
@@ -161,7 +161,7 @@ def base_field_details(base_fields: DataFrame) -> DataFrame:
 def deepest_classes(classes: DataFrame, key: str = "name") -> DataFrame:
     """Depth of every class below its base class."""
     chains = ancestor_chains(class_links(classes, key)).filter(F.col("end") == "root")
-    return lookup(
+    return lookup_large(
         classes.withColumnRenamed(key, "node"),
         chains.select("node", "last", "hops"),
         ["node"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import lookup
+from logloom.functions.spread import lookup_large
 from logloom.session import cut_lineage
 
 # 2 ** 40 nodes in a row are more than any chain here can have
@@ -60,7 +60,7 @@ def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent"
             F.col("low").alias("_low"),
             F.lit(True).alias("_found"),
         )
-        moving = lookup(state.filter("end is null"), other, ["at"], ["node"])
+        moving = lookup_large(state.filter("end is null"), other, ["at"], ["node"], rows=seen.n)
         lost = F.col("_found").isNull()
         low = F.least("low", "_low")
         moved = moving.select(
@@ -109,7 +109,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     mark = _signature(stars)
     for _ in range(MAX_ROUNDS):
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        stars = cut_lineage(_small_star(_large_star(stars, mark[0]), mark[0]))
         now = _signature(stars)
         if now == mark:
             break
@@ -129,7 +129,7 @@ def _signature(stars: DataFrame):
     )
 
 
-def _large_star(stars: DataFrame) -> DataFrame:
+def _large_star(stars: DataFrame, rows: int) -> DataFrame:
     """Link every larger neighbour of a node to the least of its neighbourhood."""
     both = stars.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
         stars.select(F.col("m").alias("u"), F.col("v").alias("w"))
@@ -139,17 +139,17 @@ def _large_star(stars: DataFrame) -> DataFrame:
     )
     larger = both.filter(F.col("w") > F.col("u"))
     return (
-        lookup(larger, least, ["u"], ["w"], how="inner")
+        lookup_large(larger, least, ["u"], ["w"], how="inner", rows=2 * rows)
         .select(F.col("w").alias("v"), F.col("least").alias("m"))
         .distinct()
     )
 
 
-def _small_star(stars: DataFrame) -> DataFrame:
+def _small_star(stars: DataFrame, rows: int) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = stars.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("w"))
     least = down.groupBy("u").agg(F.min("w").alias("least"))
-    joined = lookup(down, least, ["u"], ["w"], how="inner")
+    joined = lookup_large(down, least, ["u"], ["w"], how="inner", rows=2 * rows)
     return (
         joined.filter("w <> least")
         .select(F.col("w").alias("v"), F.col("least").alias("m"))

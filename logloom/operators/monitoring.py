@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import latest, lookup
+from logloom.functions.spread import latest
 
 
 def volume(events: DataFrame, time: str, key: str, width: str = "5 minutes", late: str | None = None) -> DataFrame:
@@ -29,12 +29,12 @@ def over_time(events: DataFrame, time: str, unit: str, *keys: str | Column) -> D
     )
 
 
-def with_overrides(classified: DataFrame, overrides: DataFrame, spread_by: str = "log_id") -> DataFrame:
+def with_overrides(classified: DataFrame, overrides: DataFrame) -> DataFrame:
     """Classifications with the analyst's latest override in place of the found class."""
     last = latest(
         overrides.select("log_id", "override_class", "decided_at"), ["log_id"], ["decided_at", "override_class"]
     )
-    joined = lookup(classified, last.select("log_id", "override_class"), ["log_id"], [spread_by])
+    joined = classified.join(last.select("log_id", "override_class"), ["log_id"], "left")
     return joined.withColumn("overridden", F.col("override_class").isNotNull()).withColumn(
         "final_class", F.coalesce("override_class", F.col("class_chunk").cast("string"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import lookup
+from logloom.functions.spread import lookup_large
 from logloom.functions.text import tokens
 from logloom.operators.blocks import (
     best_matches,
@@ -57,7 +57,7 @@ def bm25_weights(
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
     idf = F.log(F.lit(1) + (F.col("_totals.n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     query_side = (
-        lookup(asked, frequency, ["token"], ["query_id"], how="inner")
+        lookup_large(asked, frequency, ["token"], ["query_id"], how="inner")
         .withColumn("_totals", totals)
         .select("query_id", F.struct("token", idf.alias("weight")).alias("e"))
     )

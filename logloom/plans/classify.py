@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.models import embed
-from logloom.functions.spread import lookup
+from logloom.functions.spread import lookup_large
 from logloom.operators.rerank import rerank
 from logloom.operators.retrieval import contexts, search
 from logloom.session import cut_lineage
@@ -58,7 +58,7 @@ def classify(
     )
     keyed = logs.withColumn("query_id", F.md5(F.coalesce(F.col(message), F.lit(""))))
     none = F.expr("array()").cast(nested.schema["classifications"].dataType)
-    return lookup(keyed, nested, ["query_id"], [id_column]).withColumn(
+    return lookup_large(keyed, nested, ["query_id"], [id_column]).withColumn(
         "classifications", F.coalesce("classifications", none)
     ).drop("query_id")
 
