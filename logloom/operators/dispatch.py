@@ -65,8 +65,14 @@ def process_logs(
     """One normalised row per record of ``doc``; Windows events also get the mapped parts.
 
     ``source`` is null on Windows rows, which carry the mapped record instead;
-    on all other rows its parts are null.
+    on all other rows its parts are null. Input columns are carried along, but
+    for those named like a column made here.
     """
+    made = {
+        "route", "timestamp", "source", "file_path", "facility", "severity", "message", "metadata",
+        "map_status", "map_error_type", "criticality", "event_id", *[f"mapped_{p}" for p in PARTS],
+    }
+    events = events.select(*[c for c in events.columns if c not in made])
     stamp = now if now is not None else F.current_timestamp()
     routed = events.withColumn("route", route_of("doc"))
     route = F.col("route")

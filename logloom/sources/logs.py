@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ def log_files(
     """Lines of log files as ``doc`` records, files not changed lately left out."""
     reader = spark.read
     if ignore_older_secs is not None:
-        limit = (as_of or datetime.utcnow()) - timedelta(seconds=ignore_older_secs)
+        limit = (as_of or datetime.now(timezone.utc).replace(tzinfo=None)) - timedelta(seconds=ignore_older_secs)
         reader = reader.option("modifiedAfter", limit.strftime("%Y-%m-%dT%H:%M:%S")).option(
             "timeZone", "UTC"
         )
