@@ -10,51 +10,61 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def field(doc, path: str) -> Column:
-    return F.variant_get(doc, path, "variant")
+def sql(doc: str, path: str, as_type: str = "string") -> str:
+    """SQL text of the value at ``path``, null if missing or of another kind."""
+    quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+    return f"try_variant_get({doc}, '{quoted}', '{as_type}')"
 
 
-def is_null(doc, path: str) -> Column:
+def field(doc: str, path: str) -> Column:
+    return F.expr(sql(doc, path, "variant"))
+
+
+def is_null(doc: str, path: str) -> Column:
     """The key is there and holds null."""
-    return F.is_variant_null(field(doc, path))
+    return F.expr(f"is_variant_null({sql(doc, path, 'variant')})")
 
 
-def is_missing(doc, path: str) -> Column:
-    return field(doc, path).isNull()
+def is_missing(doc: str, path: str) -> Column:
+    return F.expr(f"{sql(doc, path, 'variant')} IS NULL")
 
 
-def get(doc, path: str, as_type: str = "string") -> Column:
-    return F.try_variant_get(doc, path, as_type)
+def get(doc: str, path: str, as_type: str = "string") -> Column:
+    return F.expr(sql(doc, path, as_type))
 
 
-def get_or(doc, path: str, default, as_type: str = "string") -> Column:
+def get_or(doc: str, path: str, default, as_type: str = "string") -> Column:
     """Value at ``path``; ``default`` only if the key is missing."""
     fallback = default if isinstance(default, Column) else F.lit(default)
     return F.when(is_missing(doc, path), fallback.cast(as_type)).otherwise(get(doc, path, as_type))
 
 
-def is_object(doc, path: str) -> Column:
-    return F.try_variant_get(doc, path, "struct<>").isNotNull()
+def is_object(doc: str, path: str) -> Column:
+    return F.expr(f"{sql(doc, path, 'struct<>')} IS NOT NULL")
+
+
+def is_list(doc: str, path: str) -> Column:
+    return F.expr(f"{sql(doc, path, 'array<variant>')} IS NOT NULL")
 
 
-def is_list(doc, path: str) -> Column:
-    return F.try_variant_get(doc, path, "array<variant>").isNotNull()
+def code_sql(doc: str, path: str) -> str:
+    """SQL text of the first letters of the variant's type name; null if the key is missing."""
+    return f"left(schema_of_variant({sql(doc, path, 'variant')}), 2)"
 
 
-def _code(doc, path: str) -> Column:
-    """First letters of the variant's type name; null if the key is missing."""
-    return F.left(F.schema_of_variant(field(doc, path)), F.lit(2))
+def number_sql(doc: str, path: str) -> str:
+    return f"{code_sql(doc, path)} IN ('BI', 'DE', 'DO', 'FL', 'BO')"
 
 
-def is_number(doc, path: str) -> Column:
+def is_number(doc: str, path: str) -> Column:
     """A JSON number, or a boolean, which compares like one."""
-    return _code(doc, path).isin("BI", "DE", "DO", "FL", "BO")
+    return F.expr(number_sql(doc, path))
 
 
-def type_name(doc, path: str) -> Column:
+def type_name(doc: str, path: str) -> Column:
     """Name of the JSON kind as error texts give it."""
-    code = F.create_map(*[F.lit(v) for pair in _TYPE_NAMES.items() for v in pair])
-    return F.try_element_at(code, _code(doc, path))
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in _TYPE_NAMES.items())
+    return F.expr(f"try_element_at(map({pairs}), {code_sql(doc, path)})")
 
 
 # How error texts name the JSON kinds

@@ -32,25 +32,27 @@ def format_fields(fields: DataFrame) -> DataFrame:
     )
 
 
-def _field_doc(f: Column) -> Column:
-    return F.struct(
-        V.get_or(f, "$.name", "").alias("name"),
-        V.get_or(f, "$.type", "").alias("type"),
-        V.get_or(f, "$.description", "").alias("description"),
-        V.get_or(f, "$.required", False, "boolean").alias("required"),
-        V.get(f, "$.default").alias("default"),
-        F.when(
-            V.get(f, "$.type") == "enum",
-            F.coalesce(V.get(f, "$.values", "array<string>"), F.expr("array()")),
-        ).alias("enum_values"),
-        V.get(f, "$.example").alias("example"),
-    )
+def _or(path: str, default: str, as_type: str = "string") -> str:
+    """SQL text of a value of field ``f``, with a default only if the key is missing."""
+    missing = f"{V.sql('f', path, 'variant')} IS NULL"
+    return f"CASE WHEN {missing} THEN {default} ELSE {V.sql('f', path, as_type)} END"
 
 
 def _field_docs(doc: str) -> Column:
-    return F.coalesce(
-        F.transform(V.get(doc, "$.fields", "array<variant>"), _field_doc), F.expr("array()")
+    values = f"coalesce({V.sql('f', '$.values', 'array<string>')}, cast(array() AS array<string>))"
+    field = ", ".join(
+        [
+            f"'name', {_or('$.name', repr(''))}",
+            f"'type', {_or('$.type', repr(''))}",
+            f"'description', {_or('$.description', repr(''))}",
+            f"'required', {_or('$.required', 'false', 'boolean')}",
+            f"'default', {V.sql('f', '$.default')}",
+            f"'enum_values', CASE WHEN {V.sql('f', '$.type')} = 'enum' THEN {values} END",
+            f"'example', {V.sql('f', '$.example')}",
+        ]
     )
+    listed = f"transform({V.sql(doc, '$.fields', 'array<variant>')}, f -> named_struct({field}))"
+    return F.expr(f"coalesce({listed}, array())")
 
 
 def class_docs(classes: DataFrame, uid=None) -> DataFrame:

@@ -7,19 +7,21 @@ columns such as vectors and results stay out of their shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import with_ordinal
+from logloom.functions.spread import lookup_large, with_ordinal
 from logloom.functions.text import related, squash
 
 # Rows looked at on either side, and seconds between related queries
 LOOK_RANGE = 10
 TIME_WINDOW = 10
 
-# Rows per window block of the neighbour mode, seconds per window block of the later mode
+# Rows per window block of the neighbour mode, seconds per window block of the later mode, and
+# seconds over which the lengths of queries are gathered
 BLOCK_ROWS = 10_000
 BLOCK_SECONDS = 3600
+LENGTH_SECONDS = 60
 
 
 def ordered(searches: DataFrame) -> DataFrame:
@@ -36,8 +38,8 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
 
     A search is judged by its text and time only, so copies are reduced first,
     and no pair of searches is ever formed. Every distinct (text, time) is sent
-    to the prefixes of its text whose length occurs as the length of a query.
-    For each prefix and time the greatest order key arriving there is kept; the
+    to those prefixes of its text that are as long as some query of the dataset
+    at about that time. For each prefix and time the greatest order key arriving there is kept; the
     prefix is superseded at time t if something arrives after t within the
     window, or at t with a greater order key. Windows run over blocks of time,
     each a bounded number of distinct seconds, with the start of the next block
@@ -51,11 +53,20 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
         F.struct(F.octet_length("query").alias("len"), F.col("id").alias("id")).alias("key"),
     )
     texts = rows.groupBy("dataset_id", "q", "t").agg(F.max("key").alias("key"))
-    # one short array: the distinct lengths of queries
-    lengths = rows.agg(F.collect_set(F.char_length("q")).alias("n")).scalar()
+    minute, last = _block("t", LENGTH_SECONDS), _block(F.col("t") + seconds, LENGTH_SECONDS)
+    # lengths of the queries of a minute and of the seconds before it: no more than a text has characters
+    lengths = (
+        texts.select(
+            "dataset_id", F.char_length("q").alias("n"), F.explode(F.sequence(minute, last)).alias("minute")
+        )
+        .groupBy("dataset_id", "minute")
+        .agg(F.collect_set("n").alias("_lengths"))
+    )
+    near = lookup_large(
+        texts.withColumn("minute", minute), lengths, ["dataset_id", "minute"], ["q", "t"], how="inner"
+    )
     arrivals = (
-        texts.withColumn("_lengths", lengths)
-        .withColumn(
+        near.withColumn(
             "_n", F.explode(F.filter("_lengths", lambda n: n <= F.char_length("q")))
         )
         .select(
@@ -68,7 +79,7 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
         .groupBy("dataset_id", "prefix", "t")
         .agg(F.max("key").alias("key"), F.max("own").alias("own"))
     )
-    block = F.floor(F.col("t") / BLOCK_SECONDS).cast("bigint")
+    block = _block("t", BLOCK_SECONDS)
     early = F.col("t") - block * BLOCK_SECONDS < seconds
     blocks = arrivals.withColumn(
         "block", F.explode(F.when(early, F.array(block, block - 1)).otherwise(F.array(block)))
@@ -84,6 +95,11 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
     return rows.select("dataset_id", "id").join(kept, ["dataset_id", "id"], "left_anti")
 
 
+def _block(seconds, width: int) -> Column:
+    t = seconds if isinstance(seconds, Column) else F.col(seconds)
+    return F.floor(t / width).cast("bigint")
+
+
 def neighbour_marks(
     searches: DataFrame,
     look_range: int = LOOK_RANGE,

@@ -42,17 +42,23 @@ SEVERITIES = {1: "CRITICAL", 2: "HIGH", 3: "MEDIUM", 4: "LOW", 5: "INFO"}
 RECORD_TYPE = 400001
 
 
-def class_of(event_id: Column, classes: dict | None = None) -> Column:
-    """Struct (uid, name, activity) of an event id. A literal map: no join, no shuffle."""
-    entries = []
-    for key, (uid, name, activity) in (classes or EVENT_CLASSES).items():
-        entries += [F.lit(key), F.struct(F.lit(uid).alias("uid"), F.lit(name).alias("name"), F.lit(activity).alias("activity"))]
-    uid, name, activity = UNKNOWN_CLASS
-    default = F.struct(F.lit(uid).alias("uid"), F.lit(name).alias("name"), F.lit(activity).alias("activity"))
-    return F.coalesce(F.try_element_at(F.create_map(*entries), event_id), default)
-
-
-def criticality_of(event_id: Column, high=HIGH_EVENTS, medium=MEDIUM_EVENTS) -> Column:
-    return (
-        F.when(event_id.isin(*high), "high").when(event_id.isin(*medium), "medium").otherwise("low")
+def class_of(event_id: str, classes: dict | None = None) -> Column:
+    """Struct (uid, name, activity) of an event id column. A literal map: no join, no shuffle."""
+
+    def entry(uid: int, name: str, activity: str) -> str:
+        return f"named_struct('uid', {uid}, 'name', {_quoted(name)}, 'activity', {_quoted(activity)})"
+
+    known = ", ".join(f"{key}L, {entry(*value)}" for key, value in (classes or EVENT_CLASSES).items())
+    return F.expr(f"coalesce(try_element_at(map({known}), cast({event_id} AS bigint)), {entry(*UNKNOWN_CLASS)})")
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def criticality_of(event_id: str, high=HIGH_EVENTS, medium=MEDIUM_EVENTS) -> Column:
+    ids = [", ".join(map(str, group)) for group in (high, medium)]
+    return F.expr(
+        f"CASE WHEN {event_id} IN ({ids[0]}) THEN 'high' WHEN {event_id} IN ({ids[1]}) THEN 'medium' ELSE 'low' END"
     )

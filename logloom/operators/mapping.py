@@ -17,100 +17,101 @@ PARTS = (
 )
 
 
-def _data(doc: str, key: str, alias: str) -> Column:
-    return V.get(doc, f"$.event_data.{key}").alias(alias)
-
-
 def numeric_id(doc: str, path: str, strict: bool = True) -> Column:
     """Integer value of a JSON number; JSON strings count only if not ``strict``."""
-    whole = F.when(V.get(doc, path, "double") % 1 == 0, V.get(doc, path, "bigint"))
-    return F.when(V.is_number(doc, path), whole) if strict else whole
-
+    fits = f"{V.sql(doc, path, 'double')} % 1 = 0"
+    if strict:
+        fits = f"{V.number_sql(doc, path)} AND {fits}"
+    return F.expr(f"CASE WHEN {fits} THEN {V.sql(doc, path, 'bigint')} END")
 
-def severity_of(level: Column) -> Column:
-    names = F.create_map(*[F.lit(v) for pair in SEVERITIES.items() for v in pair])
-    return F.coalesce(F.try_element_at(names, level.cast("int")), F.lit("UNKNOWN"))
 
-
-def status_of(keywords: Column) -> Column:
-    return (
-        F.when(keywords.contains("Audit Success"), "SUCCESS")
-        .when(keywords.contains("Audit Failure"), "FAILURE")
-        .otherwise("UNKNOWN")
-    )
+def severity_of(level: str) -> Column:
+    names = ", ".join(f"{k}, '{v}'" for k, v in SEVERITIES.items())
+    return F.expr(f"coalesce(try_element_at(map({names}), cast({level} AS int)), 'UNKNOWN')")
 
 
 def keyword_status(doc: str = "doc", path: str = "$.keywords") -> Column:
     """Status of keywords in any JSON shape: text is searched, lists and objects by member."""
-    members = F.coalesce(
-        V.get(doc, path, "array<string>"), F.map_keys(V.get(doc, path, "map<string,variant>"))
-    )
-    listed = (
-        F.when(F.array_contains(members, "Audit Success"), "SUCCESS")
-        .when(F.array_contains(members, "Audit Failure"), "FAILURE")
-        .otherwise("UNKNOWN")
+    text = V.sql(doc, path)
+    members = (
+        f"coalesce({V.sql(doc, path, 'array<string>')}, map_keys({V.sql(doc, path, 'map<string,variant>')}))"
     )
-    return F.when(V.is_list(doc, path) | V.is_object(doc, path), listed).otherwise(
-        status_of(V.get(doc, path))
+
+    def status(has: str) -> str:
+        success, failure = has.format("'Audit Success'"), has.format("'Audit Failure'")
+        return f"CASE WHEN {success} THEN 'SUCCESS' WHEN {failure} THEN 'FAILURE' ELSE 'UNKNOWN' END"
+
+    nested = f"{V.sql(doc, path, 'array<variant>')} IS NOT NULL OR {V.sql(doc, path, 'struct<>')} IS NOT NULL"
+    return F.expr(
+        f"CASE WHEN {nested} THEN {status(f'array_contains({members}, {{}})')} "
+        f"ELSE {status(f'contains({text}, {{}})')} END"
     )
 
 
+def _struct(doc: str, **members) -> str:
+    """SQL text of a struct: a key of the event data, a nested struct, or a fixed text in quotes."""
+    parts = []
+    for name, value in members.items():
+        if isinstance(value, dict):
+            value = _struct(doc, **value)
+        elif not value.startswith(("'", "$")):
+            value = V.sql(doc, f"$.event_data.{value}")
+        elif value.startswith("$"):
+            value = V.sql(doc, value)
+        parts.append(f"'{name}', {value}")
+    return f"named_struct({', '.join(parts)})"
+
+
+# The nested parts of a mapped record: where each member comes from
+SUBJECT = {
+    "user": {
+        "name": "SubjectUserName", "uid": "SubjectUserSid", "domain": "SubjectDomainName",
+        "type": "'Windows'", "session_uid": "SubjectLogonId",
+    },
+    "session": {"uid": "SubjectLogonId"},
+}
+TARGET = {
+    "user": {
+        "name": "TargetUserName", "uid": "TargetUserSid", "domain": "TargetDomainName", "type": "'Windows'",
+    },
+    "process": {"name": "TargetProcessName", "pid": "TargetProcessId"},
+    "resource": {"name": "ObjectName", "type": "ObjectType"},
+}
+DEVICE = {
+    "hostname": "$.computer", "uid": "WorkstationName", "ip": "IpAddress", "port": "IpPort",
+    "os": {"name": "'Windows'", "type": "'Windows'"},
+}
+PROCESS = {
+    "name": "ProcessName", "pid": "ProcessId", "cmd_line": "CommandLine",
+    "parent_process": {"pid": "ParentProcessId", "name": "ParentProcessName"},
+}
+AUTHENTICATION = {
+    "protocol": "AuthenticationPackageName", "logon_type": "LogonType", "process": "LogonProcessName",
+    "session": {"uid": "LogonID"},
+}
+PRODUCT = {
+    "name": "'Microsoft Windows'", "vendor_name": "'Microsoft'", "feature": {"name": "'Security Auditing'"},
+}
+
+
 def actor(doc: str = "doc") -> Column:
-    return F.struct(
-        F.struct(
-            _data(doc, "SubjectUserName", "name"),
-            _data(doc, "SubjectUserSid", "uid"),
-            _data(doc, "SubjectDomainName", "domain"),
-            F.lit("Windows").alias("type"),
-            _data(doc, "SubjectLogonId", "session_uid"),
-        ).alias("user"),
-        F.struct(_data(doc, "SubjectLogonId", "uid")).alias("session"),
-    )
+    return F.expr(_struct(doc, **SUBJECT))
 
 
 def target(doc: str = "doc") -> Column:
-    return F.struct(
-        F.struct(
-            _data(doc, "TargetUserName", "name"),
-            _data(doc, "TargetUserSid", "uid"),
-            _data(doc, "TargetDomainName", "domain"),
-            F.lit("Windows").alias("type"),
-        ).alias("user"),
-        F.struct(
-            _data(doc, "TargetProcessName", "name"), _data(doc, "TargetProcessId", "pid")
-        ).alias("process"),
-        F.struct(_data(doc, "ObjectName", "name"), _data(doc, "ObjectType", "type")).alias("resource"),
-    )
+    return F.expr(_struct(doc, **TARGET))
 
 
 def device(doc: str = "doc") -> Column:
-    return F.struct(
-        V.get(doc, "$.computer").alias("hostname"),
-        _data(doc, "WorkstationName", "uid"),
-        _data(doc, "IpAddress", "ip"),
-        _data(doc, "IpPort", "port"),
-        F.struct(F.lit("Windows").alias("name"), F.lit("Windows").alias("type")).alias("os"),
-    )
+    return F.expr(_struct(doc, **DEVICE))
 
 
 def process(doc: str = "doc") -> Column:
-    return F.struct(
-        _data(doc, "ProcessName", "name"),
-        _data(doc, "ProcessId", "pid"),
-        _data(doc, "CommandLine", "cmd_line"),
-        F.struct(
-            _data(doc, "ParentProcessId", "pid"), _data(doc, "ParentProcessName", "name")
-        ).alias("parent_process"),
-    )
+    return F.expr(_struct(doc, **PROCESS))
 
 
 def authentication(doc: str = "doc") -> Column:
-    return F.struct(
-        _data(doc, "AuthenticationPackageName", "protocol"),
-        _data(doc, "LogonType", "logon_type"),
-        _data(doc, "LogonProcessName", "process"),
-        F.struct(_data(doc, "LogonID", "uid")).alias("session"),
-    )
+    return F.expr(_struct(doc, **AUTHENTICATION))
 
 
 def mapping_fault(doc: str = "doc") -> Column:
@@ -160,7 +161,7 @@ def map_events(
         .withColumn("_ok", F.col("_in") & F.col("_fault").isNull())
         .withColumn("_id", F.when(F.col("_in"), numeric_id(doc, "$.event_id", strict)))
         .withColumn("_level", F.when(F.col("_ok"), numeric_id(doc, "$.level", strict)))
-        .withColumn("_class", class_of(F.col("_id"), classes))
+        .withColumn("_class", class_of("_id", classes))
     )
     ok, failed = F.col("_ok"), F.col("_fault").isNotNull()
     error = F.col("_fault.text")
@@ -173,11 +174,6 @@ def map_events(
         chosen = F.when(ok, value)
         return chosen.when(failed, on_error) if on_error is not None else chosen
 
-    product = F.struct(
-        F.lit("Microsoft Windows").alias("name"),
-        F.lit("Microsoft").alias("vendor_name"),
-        F.struct(F.lit("Security Auditing").alias("name")).alias("feature"),
-    )
     parts = {
         "type_uid": leaf(F.lit(RECORD_TYPE)),
         "class_uid": leaf(F.col("_class.uid"), F.lit(0)),
@@ -186,7 +182,7 @@ def map_events(
         "activity_name": leaf(F.col("_class.activity")),
         "time": leaf(V.get(doc, "$.timestamp"), stamp),
         "message": leaf(V.get(doc, "$.message"), F.concat(F.lit("Failed to map event: "), error)),
-        "severity": leaf(severity_of(F.col("_level")), F.lit("ERROR")),
+        "severity": leaf(severity_of("_level"), F.lit("ERROR")),
         "status": leaf(keyword_status(doc)),
         "category": leaf(V.get(doc, "$.task_category")),
         "actor": leaf(actor(doc)),
@@ -196,7 +192,7 @@ def map_events(
         "authentication": leaf(authentication(doc)),
         "metadata": F.struct(
             leaf(V.get(doc, "$.version")).alias("version"),
-            leaf(product).alias("product"),
+            leaf(F.expr(_struct(doc, **PRODUCT))).alias("product"),
             F.when(F.col("_in"), source).alias("original_event"),
             error.alias("error"),
         ),
@@ -204,7 +200,7 @@ def map_events(
     outcome = [
         F.when(ok, "success").when(failed, "error").alias("map_status"),
         F.col("_fault.type").alias("map_error_type"),
-        F.when(F.col("_in"), criticality_of(F.col("_id"))).alias("criticality"),
+        F.when(F.col("_in"), criticality_of("_id")).alias("criticality"),
     ]
     return staged.select(
         *events.columns, *outcome, *[part.alias(f"mapped_{n}") for n, part in parts.items()]

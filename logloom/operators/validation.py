@@ -50,7 +50,8 @@ def _leaf(schema: T.StructType, root: str, path: str) -> tuple[Column, T.DataTyp
     for i, part in enumerate(parts):
         if isinstance(kind, T.VariantType):
             rest = "$." + ".".join(parts[i:])
-            return V.field(column, rest), None, there & V.field(column, rest).isNotNull()
+            value = V.field(".".join([f"{root}{first}", *parts[:i]]), rest)
+            return value, None, there & value.isNotNull()
         if not isinstance(kind, T.StructType) or part not in kind.names:
             return F.lit(None), None, F.lit(False)
         there = there & column.isNotNull()
@@ -73,7 +74,8 @@ _JSON_TYPES = {
 def _violation(schema: T.StructType, root: str, rule: Rule) -> Column:
     value, kind, there = _leaf(schema, root, rule.path)
     if kind is None:
-        text, code = V.get(value.cast("variant"), "$"), F.schema_of_variant(value.cast("variant"))
+        found_value = value.cast("variant")
+        text, code = F.try_variant_get(found_value, "$", "string"), F.schema_of_variant(found_value)
         prefixes = {
             "string": ("STRING",), "boolean": ("BOOLEAN",), "integer": ("BIGINT",), "null": ("VOID",),
             "number": ("BIGINT", "DECIMAL", "DOUBLE"), "object": ("OBJECT",), "array": ("ARRAY",),

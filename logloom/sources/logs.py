@@ -158,7 +158,7 @@ def _records(raw: DataFrame, value: str) -> DataFrame:
     items = (
         F.when(V.starts(F.col("_text"), "{") & F.col("_doc").isNotNull(), F.array("_doc"))
         .when(F.size("_list") == 0, F.array(nothing))
-        .when(F.forall("_list", lambda e: V.is_object(e, "$")), F.col("_list"))
+        .when(F.expr(f"forall(_list, e -> {V.sql('e', '$', 'struct<>')} IS NOT NULL)"), F.col("_list"))
     )
     return staged.withColumn("_items", items).select(
         *raw.columns, F.posexplode_outer("_items").alias("item", "doc")
