@@ -48,7 +48,7 @@ def collapse_stream(
             ).select(*COLUMNS)
             rows = timely.unionByName(kept)
         else:
-            late = rows.limit(0)
+            late = rows.filter(F.lit(False))
         rows = cut_lineage(rows)
         ends = rows.groupBy("dataset_id").agg(F.max("created_at").alias("_end"))
         closed = F.col("created_at") < F.col("_end") - seconds

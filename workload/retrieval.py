@@ -246,18 +246,19 @@ def classify_hybrid(spark, path):
 
 def overridden_classes(spark, path):
     found = best_classes(spark, path)
+    # analysts overruled the logs of high value, twice each
     decisions = view(spark, path, "SELECT event_id AS log_id, event_type, ts, value FROM events").select(
-        "log_id", F.col("event_type").alias("override_class"), F.col("ts").alias("decided_at")
+        "log_id", F.col("event_type").alias("override_class"), F.col("ts").alias("decided_at"), "value"
     )
     earlier = decisions.withColumn("override_class", F.lit("early")).withColumn(
         "decided_at", F.col("decided_at") - F.expr("INTERVAL 1 HOUR")
     )
-    chosen = decisions.unionByName(earlier).filter(F.col("log_id") % 10 < 3)
+    chosen = decisions.unionByName(earlier).filter(F.col("value") > 20).drop("value")
     return with_overrides(found, chosen).groupBy("final_class", "overridden").agg(F.count(F.lit(1)).alias("logs"))
 
 
 OVERRIDDEN = f"""
-SELECT CASE WHEN m.log_id % 10 < 3 THEN event_type ELSE class_chunk END AS final_class, m.log_id % 10 < 3 AS overridden, count(*) AS logs
+SELECT CASE WHEN e.value > 20 THEN event_type ELSE class_chunk END AS final_class, e.value > 20 AS overridden, count(*) AS logs
 FROM ({BEST}) m JOIN events e ON e.event_id = m.log_id GROUP BY ALL"""
 
 
@@ -413,10 +414,10 @@ FROM b FULL JOIN ({GROUPS}) g ON g.tracking_id = b.tracking_id"""
 
 
 def group_members(spark, path):
-    """Documents linked to the group of their language, some twice."""
+    """Documents linked to the group of their language, the English ones linked before."""
     docs = tables(spark, path)["documents"]
     links = docs.select(F.col("lang").alias("group_id"), F.col("doc_id").cast("string").alias("chunk_id"))
-    return store.add_members(links.filter(F.col("chunk_id").cast("bigint") % 2 == 0), links)
+    return store.add_members(links.filter(F.col("group_id") == "en"), links)
 
 
 GROUP_MEMBERS = "SELECT DISTINCT lang AS group_id, CAST(doc_id AS VARCHAR) AS chunk_id FROM documents"
@@ -427,7 +428,7 @@ def group_chunks(spark, path):
     docs = tables(spark, path)["documents"]
     requests = docs.select(F.col("lang").alias("group_id"), F.col("text").alias("content"))
     made, links = store.add_chunks_to_group(
-        doc_chunks(spark, path).limit(0), spark.createDataFrame([], "group_id string, chunk_id string"), requests
+        spark.createDataFrame([], doc_chunks(spark, path).schema), spark.createDataFrame([], "group_id string, chunk_id string"), requests
     )
     return links.join(made.select("chunk_id", F.md5("content").alias("content")), ["chunk_id"])
 
