@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from logloom.operators.clusters import MIN_CLUSTER, cluster, cluster_topics, members, memberships
 from logloom.session import cut_lineage

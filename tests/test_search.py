@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from logloom.functions.models import embed, overlap_model
 from logloom.operators import blocks, clusters, retrieval

@@ -23,7 +23,7 @@ def marks(spark, path) -> DataFrame:
     return view(spark, path, MARKS)
 
 
-# The log after a first run of the mode in the reference text: duplicates flagged
+# What a first run scans
 FIRST = f"SELECT * FROM ({SEARCHES}) s WHERE is_duplicate = 0 AND search_type <> 'rag'"
 
 
