@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import langid, simhash
+from logloom.llm import credentials, decontaminate, langid, sentencepieces, simhash
 from logloom.llm.common import fresh, held_out, table
+from logloom.llm.queries import piece_model
 from logloom.session import scratch_path
 
 # A text whose words speak for its language less than this on average is rejected
@@ -33,7 +34,36 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(dropped, "doc_id", "left_anti")
 
 
-STAGES = [("language_id", language), ("simhash_near_dedup", near_copies)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in which no benchmark passage occurs."""
+    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.filter(~hit)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret in a text by a mark. All documents stay; ``n_chars`` follows the text."""
+    clean = credentials.redacted(docs, credentials.spans(docs))
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(clean.schema["n_chars"].dataType))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the piece ids of every text, and whether they decode to it."""
+    ids, back = fresh(docs, "ids"), fresh(docs, "back")
+    rows = docs.withColumn(ids, sentencepieces.encoded(F.col("text"), piece_model()))
+    rows = rows.withColumn(back, sentencepieces.decoded(F.col(ids), piece_model()))
+    exact = (F.col(back) == F.coalesce("text", F.lit(""))).alias(fresh(rows, "exact"))
+    return rows.select(*docs.columns, ids, F.size(ids).cast("bigint").alias(fresh(rows, "n_ids")), exact)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
+    ("sentencepiece", encoded),
+]
 ORACLE_SQL = None
 
 

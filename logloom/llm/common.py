@@ -79,3 +79,13 @@ def group_starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
         values = rows.column(key).to_numpy()
         change[1:] |= values[1:] != values[:-1]
     return np.flatnonzero(change)
+
+
+# Bytes up to which a measured frame is broadcast; larger ones are joined by shuffle
+BROADCAST_BYTES = 16 << 20
+
+
+def small_if_measured(frame: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """The frame with a broadcast hint if its measured size allows it; it should be materialised."""
+    size = frame.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
