@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
         logs.append(np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(items))))
         names[kind] = dict(zip(items, range(used, used + len(items))))
         used += len(items)
-    grams = {k: v for n in ORDERS for k, v in names.get(n, {}).items()}
+    grams = {k: v for n in ORDERS for k, v in names.get(n, {}).items() if k != EDGE}
     return Model(languages, names.get(0, {}), grams, np.concatenate(logs))
 
 
