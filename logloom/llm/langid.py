@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.session import cut_lineage
+
 UNKNOWN = "und"
 # Characters of training text per language: the bound of the fitted sample
-SAMPLE_CHARS = 1_000_000
+SAMPLE_CHARS = 300_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 # Words whose scores a worker keeps, and characters it scores at a time
@@ -87,8 +89,8 @@ def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
 
     Its size is bounded by ``chars`` per language. Without labelled rows it knows no language.
     """
-    rows = sample(labelled, chars)
-    words = (
+    rows = cut_lineage(sample(labelled, chars))
+    words = cut_lineage(
         rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("item"))
         .groupBy("lang", "item")
         .agg(F.count(F.lit(1)).alias("n"))

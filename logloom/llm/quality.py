@@ -72,10 +72,11 @@ def trained(samples: list[bytes]) -> bytes:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the weighted logistic fit, slightly held to 0; Newton's method."""
+    """Slope and shift of the weighted logistic fit, in the scale of ``x`` barely held to 0; Newton's method."""
     if not len(x):
         return 0.0, 0.0
-    basis = np.stack([x, np.ones_like(x)], axis=1)
+    middle, scale = np.average(x, weights=weight), x.std() or 1.0
+    basis = np.stack([(x - middle) / scale, np.ones_like(x)], axis=1)
     at = np.zeros(2)
     held = np.diag([1e-6, 1e-6]) * max(1.0, weight.sum())
     for _ in range(50):
@@ -86,7 +87,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
         at -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(at[0]), float(at[1])
+    return float(at[0] / scale), float(at[1] - at[0] * middle / scale)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, blocks: int = SAMPLE_BLOCKS) -> Model:
