@@ -378,7 +378,9 @@ class Encoder:
                 out += [replaced(run), self.texts[i]]
                 run.clear()
             text = "".join([*out, replaced(run)])
-        return text.removeprefix(" ") if self.v.prefix else text
+        # the dummy prefix is a space mark at the head of the first piece that reads as anything
+        first = next((p for p, k in zip(map(self.v.pieces.__getitem__, ids.tolist()), self.v.kinds[ids].tolist()) if k != CONTROL), "")
+        return text[1:] if self.v.prefix and first.startswith(SPACE) else text
 
 
 def replaced(raw: bytearray) -> str:

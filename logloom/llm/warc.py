@@ -133,7 +133,7 @@ def write(pages: DataFrame, folder: str, date: str, least: int = LEAST_REVISIT,
                 page_id, url, html, digest, keeper, keeper_url = (batch.column(c)[i].as_py() for c in range(6))
                 if out is None:
                     path, size, count = f"{name}-{len(done):05d}.warc.zst", 0, 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                     if content:
                         size += out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
                 size += out.write(
@@ -206,7 +206,7 @@ def read(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 store, place = fs.FileSystem.from_uri(path)
                 rows = []
-                with store.open_input_stream(place) as stream:
+                with store.open_input_stream(place, compression=None) as stream:
                     for headers, block in records(stream):
                         rows.append(parsed(headers, block))
                         if len(rows) == 5000:
