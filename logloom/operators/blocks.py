@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
 # Digits kept of a score: makes order and ties independent of the order of summation
 DIGITS = 6
+# Nearly equal pairs whose difference is taken at a time
+CLOSE_PAIRS = 1 << 16
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], "object"]
 
@@ -37,8 +39,11 @@ def dense_scorer(metric: str) -> Scorer:
                 return np.where(norms > 0, dots / norms, -np.inf)
         gaps = a2[:, None] + b2[None, :] - 2 * dots
         # the expanded form loses digits where points nearly coincide
-        for i, j in zip(*np.nonzero(gaps < 1e-6 * (a2[:, None] + b2[None, :]))):
-            gaps[i, j] = ((a[i] - b[j]) ** 2).sum()
+        close = np.nonzero(gaps < 1e-6 * (a2[:, None] + b2[None, :]))
+        for start in range(0, len(close[0]), CLOSE_PAIRS):
+            i, j = (c[start : start + CLOSE_PAIRS] for c in close)
+            difference = a[i] - b[j]
+            gaps[i, j] = np.einsum("ij,ij->i", difference, difference)
         return -np.sqrt(np.maximum(gaps, 0.0))
 
     return score
@@ -90,18 +95,21 @@ def pair_blocks(
     within: Sequence[str],
     visit: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
-    blocks: tuple[int, int],
+    blocks: tuple[int | Column, int | Column],
 ) -> DataFrame:
-    """Run ``visit`` on every pair of a left and a right block (of the same ``within``)."""
-    n_left, n_right = blocks
+    """Run ``visit`` on every pair of a left and a right block (of the same ``within``).
+
+    ``blocks`` are the numbers of blocks, or a column of both sides that holds them.
+    """
+    n_left, n_right = (F.lit(n) if isinstance(n, int) else n for n in blocks)
     # both sides may come from one frame: give their columns identities of their own
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    a = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))
+    a = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), n_left).cast("int")).withColumn(
+        "_rb", F.explode(F.sequence(F.lit(0), (n_right - 1).cast("int")))
     )
-    b = right.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.lit(n_right)).cast("int")).withColumn(
-        "_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))
+    b = right.withColumn("_rb", F.pmod(F.xxhash64(right_id), n_right).cast("int")).withColumn(
+        "_lb", F.explode(F.sequence(F.lit(0), (n_left - 1).cast("int")))
     )
     keys = [*within, "_lb", "_rb"]
     columns = [c.split(":")[0].split()[0] for c in schema.split(",")]
@@ -124,7 +132,7 @@ def best_matches(
     scorer: Scorer,
     k: int,
     within: Sequence[str] = (),
-    blocks: tuple[int, int] | None = None,
+    blocks: tuple[int | Column, int | Column] | None = None,
 ) -> DataFrame:
     """(within, left_id, right_id, score, rank): the ``k`` best right rows of every left row.
 

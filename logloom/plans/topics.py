@@ -1,4 +1,4 @@
-"""Topics of recent searches: sample, cluster, name, link."""
+"""Topics of recent searches: scan, cluster, name, link."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from logloom.operators.clusters import MIN_CLUSTER, cluster, cluster_topics, members, memberships
 from logloom.session import cut_lineage
-from logloom.sources.searches import SAMPLE, enough, vector_sample
+from logloom.sources.searches import enough, recent
 
 
 @dataclass(frozen=True)
@@ -21,15 +21,13 @@ class TopicRun:
 def find_topics(
     searches: DataFrame,
     as_of: Column,
-    n: int = SAMPLE,
     min_size: int = MIN_CLUSTER,
     eps: float | None = None,
-    seed: str = "0",
 ) -> TopicRun:
-    """All datasets in one run; ``searches`` carry ``query_vector``."""
-    sample = cut_lineage(enough(vector_sample(searches, as_of, n, seed=seed), min_size))
-    points = sample.withColumnRenamed("query_vector", "vector")
+    """All datasets in one run, each whole; ``searches`` carry ``query_vector``."""
+    found = cut_lineage(enough(recent(searches, as_of), min_size))
+    points = found.withColumnRenamed("query_vector", "vector")
     clustered = cut_lineage(cluster(points, min_size, eps))
-    rows = members(clustered, sample.select("dataset_id", "id", "query", "top_score"))
+    rows = members(clustered, found.select("dataset_id", "id", "query", "top_score"))
     topics = cluster_topics(rows, as_of)
     return TopicRun(clustered, topics, memberships(rows, topics))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions.spread import first_n, lookup
 
-# Sample size and age of the clustering scan
-SAMPLE = 3000
-SAMPLE_DAYS = 7
+# Fixed value: age of the clustering scan
+RECENT_DAYS = 7
 
 
 def datasets(searches: DataFrame) -> DataFrame:
@@ -29,29 +28,37 @@ def marks(state: DataFrame) -> DataFrame:
 
 
 def since_marks(searches: DataFrame, mark_table: DataFrame) -> DataFrame:
-    """Rows to collapse now, all datasets in one scan.
+    """Rows to collapse now: of datasets with a mark those at or after it, of others as in a first run.
 
-    With a mark: rows at or after it, marked or not. Without: as in a first run.
+    The least mark is read first and reaches the scan as a constant, so rows and
+    files older than every mark are skipped. Datasets without a mark are scanned
+    apart, for their unmarked rows only.
     """
+    known = mark_table.filter(F.col("last_collapsed").isNotNull()).select("dataset_id", "last_collapsed")
     kept = searches.filter(F.col("search_type") != "rag")
-    known = lookup(kept, mark_table.select("dataset_id", "last_collapsed"), ["dataset_id"], ["id"])
-    return known.filter(
-        F.coalesce(F.col("created_at") >= F.col("last_collapsed"), F.col("is_duplicate") == 0)
-    ).drop("last_collapsed")
+    fresh = lookup(kept.filter(F.col("is_duplicate") == 0), known.select("dataset_id"), ["dataset_id"], ["id"], how="left_anti")
+    least = known.agg(F.min("last_collapsed")).first()[0]
+    if least is None:
+        return fresh
+    newer = lookup(kept.filter(F.col("created_at") >= F.lit(least)), known, ["dataset_id"], ["id"], how="inner")
+    newer = newer.filter(F.col("created_at") >= F.col("last_collapsed")).select(*searches.columns)
+    return newer.unionByName(fresh.select(*searches.columns))
+
+
+def recent(searches: DataFrame, as_of: Column, days: int = RECENT_DAYS) -> DataFrame:
+    """All unmarked searches of the last ``days``."""
+    return searches.filter((F.col("created_at") >= as_of - days * 86_400) & (F.col("is_duplicate") == 0))
 
 
 def vector_sample(
     searches: DataFrame,
     as_of: Column,
-    n: int = SAMPLE,
-    days: int = SAMPLE_DAYS,
+    n: int,
+    days: int = RECENT_DAYS,
     seed: str = "0",
 ) -> DataFrame:
     """At most ``n`` recent unmarked searches of each dataset, chosen by a seeded hash of the id."""
-    recent = searches.filter(
-        (F.col("created_at") >= as_of - days * 86_400) & (F.col("is_duplicate") == 0)
-    )
-    shuffled = recent.withColumn("_key", F.md5(F.concat(F.col("id"), F.lit(seed))))
+    shuffled = recent(searches, as_of, days).withColumn("_key", F.md5(F.concat(F.col("id"), F.lit(seed))))
     picked = first_n(shuffled, ["dataset_id"], [F.col("_key"), F.col("id")], n, ["id"])
     return picked.drop("_key", "rank")
 
