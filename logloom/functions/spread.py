@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from logloom.session import cut_lineage, shuffle_width
 
-# Rows per list segment: the longest array any grouping builds.
-SEGMENT = 100_000
-
-# A key is hot from this many rows on, if it also holds one row in HOT_SHARE
-HOT_ROWS = 100_000
+# A key is hot if it holds more than one row in HOT_SHARE and no fewer than HOT_ROWS
+HOT_ROWS = 1000
 HOT_SHARE = 1000
 
 
@@ -23,15 +20,16 @@ def lookup(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left",
-    ways: int = 16,
+    ways: int | None = None,
 ) -> DataFrame:
     """Join many ``facts`` to at most one ``per_key`` row per key, for a ``per_key`` much smaller.
 
-    A key that holds a third of the facts is split ``ways`` times by a hash of
-    ``spread_by`` (columns that differ within the key); every row of ``per_key``
+    A key that holds a third of the facts is split ``ways`` times, by default as
+    often as there are shuffle partitions, by a hash of ``spread_by`` (columns that differ within the key); every row of ``per_key``
     is copied to each part. Where the adaptive planner finds ``per_key`` below
     its broadcast limit it may still broadcast it.
     """
+    ways = ways or shuffle_width(facts.sparkSession)
     salted = facts.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(ways)).cast("int"))
     copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return salted.join(copies, [*on, "_part"], how).drop("_part")
@@ -43,23 +41,21 @@ def lookup_large(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left",
-    ways: int = 256,
-    rows: int | None = None,
+    ways: int | None = None,
 ) -> DataFrame:
     """The same for a ``per_key`` about as large as the facts: only hot keys are split.
 
     A key is hot if it holds more than one in ``HOT_SHARE`` of the facts, so
     there are fewer than ``HOT_SHARE`` hot keys whatever the data, and their
-    list is small enough to broadcast. Only their rows of ``per_key`` are copied.
-    ``rows`` is the number of facts where the caller knows it; few facts need no split.
+    list is small enough to broadcast. Only their rows of ``per_key`` are copied,
+    ``ways`` times, by default as often as there are shuffle partitions.
     """
-    if rows is not None and rows <= HOT_ROWS:
-        return facts.join(per_key, list(on), how)
+    ways = ways or shuffle_width(facts.sparkSession)
     counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(
         counts.withColumn("_total", total)
-        .filter((F.col("_n") > HOT_ROWS) & (F.col("_n") * HOT_SHARE > F.col("_total")))
+        .filter((F.col("_n") >= HOT_ROWS) & (F.col("_n") * HOT_SHARE > F.col("_total")))
         .select(*[F.col(c).alias(f"_h_{c}") for c in on], F.lit(True).alias("_hot"))
     )
 
@@ -128,9 +124,10 @@ def first_n(
     n: int,
     spread_by: Sequence[str],
     rank: str = "rank",
-    ways: int = 32,
+    ways: int | None = None,
 ) -> DataFrame:
     """The ``n`` first rows of each group: first within parts of the group, then overall."""
+    ways = ways or shuffle_width(frame.sparkSession)
     part = F.pmod(F.xxhash64(*spread_by), F.lit(ways))
     inner = Window.partitionBy(*group, "_part").orderBy(*order)
     outer = Window.partitionBy(*group).orderBy(*order)
@@ -153,16 +150,9 @@ def latest(frame: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFr
     return picked.select(*[F.col(k) if k in key else F.col(f"_row.{k}").alias(k) for k in frame.columns])
 
 
-def list_segments(
-    frame: DataFrame, key: Sequence[str], position: str, item: str, name: str = "items"
-) -> DataFrame:
-    """Lists per key in ``position`` order, cut into segments of bounded length.
+def listed(frame: DataFrame, key: Sequence[str], position: str, item: str) -> DataFrame:
+    """Lists as rows (key, ordinal, item): the items of each key numbered from 1 in ``position`` order.
 
-    ``position`` is an integer unique within the key, so a segment holds at most
-    ``SEGMENT`` items; the segments in order are the whole list.
+    ``position`` must tell the rows of a key apart. However long a list is, it has one form.
     """
-    return (
-        frame.groupBy(*key, F.floor(F.col(position) / SEGMENT).cast("bigint").alias("segment"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(item).alias("v")))).alias("_l"))
-        .select(*key, "segment", F.transform("_l", lambda e: e["v"]).alias(name))
-    )
+    return with_ordinal(frame.select(*key, position, item), key, [F.col(position)]).select(*key, "ordinal", item)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logloom.functions.spread import lookup_large
 from logloom.operators.catalogue_stats import class_links
 from logloom.operators.graph import ancestor_chains, cycle_members
+from logloom.session import cut_lineage
 
 
 def _text(column, otherwise: str = "None") -> Column:
@@ -140,11 +141,22 @@ def enum_issues(fields: DataFrame) -> DataFrame:
 
 
 def cycles(classes: DataFrame) -> DataFrame:
-    """(cycle_id, uid, extends, cycle_size): one row per class on an inheritance cycle."""
-    members = cycle_members(ancestor_chains(class_links(classes, "uid")))
+    """(cycle_id, uid, extends, cycle_size, step): one row per class on an inheritance cycle.
+
+    The rows of a cycle by ``step`` are its path along ``extends``, from its least
+    class on. The place of a class is found by cutting the cycle behind that class.
+    """
+    members = cut_lineage(cycle_members(ancestor_chains(class_links(classes, "uid"))))
     sizes = members.groupBy("cycle_id").agg(F.count(F.lit(1)).alias("cycle_size"))
-    return lookup_large(members, sizes, ["cycle_id"], ["node"], how="inner").select(
-        "cycle_id", F.col("node").alias("uid"), F.col("parent").alias("extends"), "cycle_size"
+    cut = members.select("node", F.when(F.col("node") != F.col("cycle_id"), F.col("parent")).alias("parent"))
+    far = ancestor_chains(cut).select("node", "hops")
+    sized = lookup_large(members, sizes, ["cycle_id"], ["node"], how="inner").join(far, "node")
+    return sized.select(
+        "cycle_id",
+        F.col("node").alias("uid"),
+        F.col("parent").alias("extends"),
+        "cycle_size",
+        ((F.col("cycle_size") - F.col("hops")) % F.col("cycle_size")).alias("step"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
-from logloom.functions.spread import list_segments, lookup_large, with_ordinal
+from logloom.functions.spread import listed, lookup_large, with_ordinal
 
 
 def format_fields(fields: DataFrame) -> DataFrame:
@@ -111,8 +111,8 @@ def field_type_sets(fields: DataFrame) -> DataFrame:
 
 
 def field_class_lists(fields: DataFrame) -> DataFrame:
-    """Classes of every occurrence of a field name, in order, in bounded segments."""
-    return list_segments(fields, ["name"], "pos", "class_uid", "classes")
+    """(name, ordinal, class_uid) of every occurrence of a field name, in order."""
+    return listed(fields, ["name"], "pos", "class_uid")
 
 
 def type_reference(fields: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import list_segments, lookup_large, with_ordinal
+from logloom.functions.spread import listed, lookup_large, with_ordinal
 from logloom.operators.graph import ancestor_chains
 
 
@@ -39,7 +39,8 @@ def category_summary(categories: DataFrame, category_classes: DataFrame) -> Data
 
 
 def category_class_lists(category_classes: DataFrame) -> DataFrame:
-    return list_segments(category_classes, ["category"], "pos", "class_name", "classes")
+    """(category, ordinal, class_name) in catalogue order."""
+    return listed(category_classes, ["category"], "pos", "class_name")
 
 
 def class_summary(classes: DataFrame) -> DataFrame:
@@ -109,9 +110,9 @@ def field_types(fields: DataFrame) -> DataFrame:
 
 
 def children(classes: DataFrame) -> DataFrame:
-    """Inheritance tree as lists of child names per parent, in catalogue order, in bounded segments."""
-    derived = classes.filter(F.col("extends").cast("string") != "").withColumn("parent", F.col("extends"))
-    return list_segments(derived, ["parent"], "pos", "name", "children")
+    """Inheritance tree as rows (parent, ordinal, child), children in catalogue order."""
+    derived = classes.filter(F.col("extends").cast("string") != "")
+    return listed(derived.select(F.col("extends").alias("parent"), "pos", F.col("name").alias("child")), ["parent"], "pos", "child")
 
 
 def class_links(classes: DataFrame, key: str = "name") -> DataFrame:

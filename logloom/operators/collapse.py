@@ -41,10 +41,13 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
     to those prefixes of its text that are as long as some query of the dataset
     at about that time. For each prefix and time the greatest order key arriving there is kept; the
     prefix is superseded at time t if something arrives after t within the
-    window, or at t with a greater order key. Windows run over blocks of time,
-    each a bounded number of distinct seconds, with the start of the next block
-    copied in.
+    window, or at t with a greater order key. Windows run over blocks of time, no
+    shorter than ``seconds`` and each a bounded number of distinct times, with the
+    start of the next block copied in. Times are whole seconds.
     """
+    if dict(searches.dtypes)["created_at"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("created_at must be whole seconds")
+    width = max(BLOCK_SECONDS, seconds)
     rows = searches.select(
         "dataset_id",
         "id",
@@ -79,8 +82,8 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
         .groupBy("dataset_id", "prefix", "t")
         .agg(F.max("key").alias("key"), F.max("own").alias("own"))
     )
-    block = _block("t", BLOCK_SECONDS)
-    early = F.col("t") - block * BLOCK_SECONDS < seconds
+    block = _block("t", width)
+    early = F.col("t") - block * width < seconds
     blocks = arrivals.withColumn(
         "block", F.explode(F.when(early, F.array(block, block - 1)).otherwise(F.array(block)))
     )

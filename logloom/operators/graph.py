@@ -1,15 +1,20 @@
-"""Iterative graph operators on edge frames, each round checkpointed."""
+"""Iterative graph operators on edge frames, each round checkpointed.
+
+Many edges may meet in one node. Their joins are plain sort-merge joins, of which
+the adaptive planner splits partitions that turn out large; counting hot nodes
+first would cost each round a second pass.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import lookup_large
 from logloom.session import cut_lineage
 
-# 2 ** 40 nodes in a row are more than any chain here can have
-MAX_ROUNDS = 40
+def _rounds(nodes: int) -> int:
+    """More rounds than loops over ``nodes`` nodes that halve distances can take."""
+    return 2 * max(1, nodes).bit_length() + 8
 
 
 def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
@@ -22,8 +27,7 @@ def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent"
     ``low`` the least node passed, so all members of a cycle share ``low``.
 
     Every round doubles the distance looked back, so rounds grow with the
-    logarithm of the depth. Many nodes may wait for one ancestor; that join is
-    split by node.
+    logarithm of the depth.
     """
     state = links.select(
         F.col(node).alias("node"),
@@ -37,7 +41,8 @@ def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent"
     )
     state = cut_lineage(state)
     before = None
-    for _ in range(MAX_ROUNDS):
+    most = _rounds(state.count())
+    for _ in range(most):
         seen = state.filter("end is null").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("moved"), 1)).alias("moved")
         ).first()
@@ -60,7 +65,7 @@ def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent"
             F.col("low").alias("_low"),
             F.lit(True).alias("_found"),
         )
-        moving = lookup_large(state.filter("end is null"), other, ["at"], ["node"], rows=seen.n)
+        moving = state.filter("end is null").join(other, ["at"], "left")
         lost = F.col("_found").isNull()
         low = F.least("low", "_low")
         moved = moving.select(
@@ -75,7 +80,7 @@ def ancestor_chains(links: DataFrame, node: str = "node", parent: str = "parent"
         )
         state = cut_lineage(state.filter("end is not null").unionByName(moved))
     else:
-        raise RuntimeError(f"chains did not settle in {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"chains did not settle in {most} rounds")
     return state.select(
         "node",
         "parent",
@@ -99,8 +104,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): component is the least node reachable. ``edges`` are (a, b).
 
     Alternates large-star and small-star steps, which shrink every component to
-    a star in logarithmically many rounds. Minima are grouped aggregates, and
-    the neighbours of a hub are split by node when its minimum is joined back.
+    a star in logarithmically many rounds. Minima are grouped aggregates.
     """
     stars = cut_lineage(
         edges.filter("a <> b")
@@ -108,14 +112,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     mark = _signature(stars)
-    for _ in range(MAX_ROUNDS):
-        stars = cut_lineage(_small_star(_large_star(stars, mark[0]), mark[0]))
+    most = _rounds(mark[0])
+    for _ in range(most):
+        stars = cut_lineage(_small_star(_large_star(stars)))
         now = _signature(stars)
         if now == mark:
             break
         mark = now
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"components did not settle in {most} rounds")
     return nodes.join(stars.select(F.col("v").alias("node"), "m"), ["node"], "left").select(
         "node", F.coalesce("m", "node").alias("component")
     )
@@ -129,7 +134,7 @@ def _signature(stars: DataFrame):
     )
 
 
-def _large_star(stars: DataFrame, rows: int) -> DataFrame:
+def _large_star(stars: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least of its neighbourhood."""
     both = stars.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
         stars.select(F.col("m").alias("u"), F.col("v").alias("w"))
@@ -139,17 +144,17 @@ def _large_star(stars: DataFrame, rows: int) -> DataFrame:
     )
     larger = both.filter(F.col("w") > F.col("u"))
     return (
-        lookup_large(larger, least, ["u"], ["w"], how="inner", rows=2 * rows)
+        larger.join(least, ["u"])
         .select(F.col("w").alias("v"), F.col("least").alias("m"))
         .distinct()
     )
 
 
-def _small_star(stars: DataFrame, rows: int) -> DataFrame:
+def _small_star(stars: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = stars.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("w"))
     least = down.groupBy("u").agg(F.min("w").alias("least"))
-    joined = lookup_large(down, least, ["u"], ["w"], how="inner", rows=2 * rows)
+    joined = down.join(least, ["u"])
     return (
         joined.filter("w <> least")
         .select(F.col("w").alias("v"), F.col("least").alias("m"))

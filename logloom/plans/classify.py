@@ -30,7 +30,7 @@ def classify(
     message: str = "message",
     encoder=None,
     reranker=None,
-    candidates: int = 20,
+    candidates: int | None = None,
 ) -> DataFrame:
     """Logs with ``classifications``: the top ``k`` chunks as array of (rank, chunk_id, score).
 
@@ -38,6 +38,8 @@ def classify(
     messages are encoded here. With ``reranker``, a pair-model factory, the
     search fetches ``candidates`` chunks and the model orders them.
     """
+    if reranker and candidates is None:
+        raise ValueError("a reranker needs a number of candidates")
     queries = distinct_messages(logs, message)
     if search_type in ("semantic", "hybrid"):
         queries = embed(queries, "query", encoder)

@@ -1,7 +1,8 @@
 """Event-schema catalogue: JSON documents to tables and back.
 
 Tables: ``categories``, ``category_classes``, ``classes``, ``fields``,
-``base_fields``. ``pos`` columns keep document order.
+``base_fields``. ``pos`` columns order and name rows over all documents: they are
+structs of the document's path and the places within it, compared in that order.
 """
 
 from __future__ import annotations
@@ -13,10 +14,6 @@ from logloom.functions import variant as V
 
 TABLES = ("categories", "category_classes", "classes", "fields", "base_fields")
 
-# Room for the fields of one class when class and field order make one number
-FIELD_SLOTS = 1_000_000
-
-
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON files as (path, raw, doc); a file that holds JSON in a string is decoded twice."""
     return (
@@ -50,11 +47,16 @@ def entries(docs: DataFrame) -> DataFrame:
         .when(F.col("_inner").isNotNull(), named)
         .otherwise(single)
     )
-    return staged.select("path", F.posexplode(members).alias("pos", "_e")).select(
-        "path", F.col("pos").cast("bigint").alias("pos"), "_e.key", "_e.json"
+    return staged.select("path", F.posexplode(members).alias("place", "_e")).select(
+        "path", F.struct("path", F.col("place").cast("bigint").alias("place")).alias("pos"), "_e.key", "_e.json"
     )
 
 
+def within(pos: str, place: str) -> Column:
+    """The position of a part, by its place in the member at ``pos``."""
+    return F.struct(f"{pos}.path", f"{pos}.place", F.col(place).cast("bigint").alias("part"))
+
+
 def categories(docs: DataFrame) -> DataFrame:
     doc = entries(docs).withColumn("doc", F.try_parse_json("json"))
     return doc.select(
@@ -79,7 +81,8 @@ def category_classes(docs: DataFrame) -> DataFrame:
     return (
         categories(docs)
         .select(F.col("pos").alias("category_pos"), F.col("name").alias("category"), inner.alias("_c"))
-        .select("category_pos", "category", F.posexplode(names).alias("pos", "class_name"))
+        .select("category_pos", "category", F.posexplode(names).alias("_i", "class_name"))
+        .select("category_pos", "category", within("category_pos", "_i").alias("pos"), "class_name")
     )
 
 
@@ -104,7 +107,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def fields(class_table: DataFrame) -> DataFrame:
-    """One row per field; ``pos`` orders fields over the whole catalogue."""
+    """One row per field; ``pos`` orders fields over all documents."""
     exploded = class_table.select(
         F.col("pos").alias("class_pos"),
         F.col("uid").alias("class_uid"),
@@ -113,7 +116,7 @@ def fields(class_table: DataFrame) -> DataFrame:
     return exploded.select(
         "class_pos",
         "class_uid",
-        (F.col("class_pos") * FIELD_SLOTS + F.col("_i")).alias("pos"),
+        within("class_pos", "_i").alias("pos"),
         *_field_columns("f"),
     )
 
@@ -141,7 +144,7 @@ def base_fields(docs: DataFrame) -> DataFrame:
     doc = member.withColumn("doc", F.try_parse_json("_json"))
     return doc.select(
         "entry",
-        (F.col("entry") * FIELD_SLOTS + F.col("_i")).alias("pos"),
+        within("entry", "_i").alias("pos"),
         "name",
         V.get_or("doc", "$.type", "unknown").alias("type"),
         V.get_or("doc", "$.type_name", "Unknown").alias("type_name"),

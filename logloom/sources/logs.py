@@ -26,10 +26,14 @@ LEVELS = ("emerg", "alert", "crit", "err", "warning", "notice", "info", "debug")
 def log_files(
     spark: SparkSession,
     paths: str | list[str],
-    ignore_older_secs: int | None = IGNORE_OLDER_SECS,
+    ignore_older_secs: int | None = None,
     as_of: datetime | None = None,
 ) -> DataFrame:
-    """Lines of log files as ``doc`` records, files not changed lately left out."""
+    """Lines of log files as ``doc`` records.
+
+    ``ignore_older_secs`` leaves out files not changed lately, as the agent does
+    with ``IGNORE_OLDER_SECS``; a backfill reads all.
+    """
     reader = spark.read
     if ignore_older_secs is not None:
         limit = (as_of or datetime.now(timezone.utc).replace(tzinfo=None)) - timedelta(seconds=ignore_older_secs)
@@ -68,10 +72,17 @@ def _by_code(names: tuple[str, ...], code: Column) -> Column:
     return F.try_element_at(F.array(*[F.lit(n) for n in names]), code + 1)
 
 
-def syslog(lines: DataFrame, value: str = "value", year: int | None = None) -> DataFrame:
+def syslog_refused(lines: DataFrame, value: str = "value", max_bytes: int = SYSLOG_MAX_BYTES) -> DataFrame:
+    """The lines longer than :func:`syslog` accepts, with why."""
+    return lines.filter(F.octet_length(value) > max_bytes).select(*lines.columns, F.lit("oversize").alias("error_type"))
+
+
+def syslog(
+    lines: DataFrame, value: str = "value", year: int | None = None, max_bytes: int | None = SYSLOG_MAX_BYTES
+) -> DataFrame:
     """Columns facility, severity, host, timestamp, message of syslog lines.
 
-    Longer lines than the agent accepts are left out. Both the RFC 5424 and the
+    Lines of more than ``max_bytes`` are refused, see :func:`syslog_refused`; None accepts all. Both the RFC 5424 and the
     RFC 3164 header are read; the latter has no year, so ``year`` supplies it.
     A line without priority keeps facility and severity null.
     """
@@ -84,7 +95,8 @@ def syslog(lines: DataFrame, value: str = "value", year: int | None = None) -> D
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(text, pattern, i)
 
-    staged = lines.filter(F.octet_length(text) <= SYSLOG_MAX_BYTES).withColumn(
+    accepted = lines if max_bytes is None else lines.filter(~F.coalesce(F.octet_length(text) > max_bytes, F.lit(False)))
+    staged = accepted.withColumn(
         "_form",
         F.when(text.rlike(new), 2).when(text.rlike(old), 1).when(text.rlike(bare), 0),
     )

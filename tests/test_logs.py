@@ -221,11 +221,11 @@ def test_file_scan(spark, tmp_path):
     import os
 
     os.utime(old, (1_600_000_000, 1_600_000_000))
-    found = logs.log_files(spark, str(tmp_path / "*.log"))
+    found = logs.log_files(spark, str(tmp_path / "*.log"), logs.IGNORE_OLDER_SECS)
     rows = process_logs(found, now()).collect()
     assert sorted(r.message for r in rows) == ["one", "two"]
     assert all(r.route == "file" and r.file_path.endswith("a.log") for r in rows)
-    assert logs.log_files(spark, str(tmp_path / "*.log"), None).count() == 3
+    assert logs.log_files(spark, str(tmp_path / "*.log")).count() == 3
     assert logs.log_files(spark, str(tmp_path / "*.log"), 600, datetime.datetime(2020, 9, 13, 12, 30)).count() == 3
 
 
@@ -235,7 +235,7 @@ def test_catalogue_shapes(spark, tmp_path):
     docs_ = catalogue.documents(spark, str(tmp_path / "cats.json"))
     got = catalogue.categories(docs_).orderBy("pos").collect()
     assert [(r.name, r.uid, r.description) for r in got] == [("z", "1", ""), ("a", "2", None)]
-    assert [(r.category, r.pos, r.class_name) for r in catalogue.category_classes(docs_).orderBy("pos").collect()] == [("z", 0, "c2"), ("z", 1, "c1")]
+    assert [(r.category, r.pos.part, r.class_name) for r in catalogue.category_classes(docs_).orderBy("pos").collect()] == [("z", 0, "c2"), ("z", 1, "c1")]
     listed = [{"uid": 1, "name": "n", "extends": None, "fields": [{"name": "f", "type": "enum", "values": ["a"], "ref": None}]}, {"extends": ""}]
     for body in (listed, {"attributes": {"n": listed[0], "m": listed[1]}}):
         (tmp_path / "classes.json").write_text(json.dumps(body))

@@ -48,12 +48,11 @@ def test_first_n(spark):
         assert [(r.o, r.id) for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == want
 
 
-def test_segments_hold_whole_list(spark, monkeypatch):
-    monkeypatch.setattr(spread, "SEGMENT", 10)
-    frame = spark.range(95).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.col("id").alias("v"))
-    got = spread.list_segments(frame, ["k"], "pos", "v").orderBy("segment").collect()
-    assert max(len(r["items"]) for r in got) == 10
-    assert [v for r in got for v in r["items"]] == list(range(95))
+def test_long_lists_have_one_form(spark):
+    n = 120_000
+    frame = spark.range(n).select(F.lit("k").alias("k"), F.struct((n - F.col("id")).alias("p")).alias("pos"), F.col("id").alias("v"))
+    got = spread.listed(frame, ["k"], "pos", "v")
+    assert got.filter(F.col("ordinal") + F.col("v") == n).count() == got.count() == n
 
 
 def test_latest(spark):

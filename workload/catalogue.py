@@ -12,9 +12,6 @@ from logloom.session import scratch_path
 from logloom.sources import catalogue as source
 from workload.inputs import BASE_FIELDS, CATEGORIES, CLASSES, FIELDS, PAIRED_FIELDS, view
 
-SEGMENT = 100_000
-
-
 def classes(spark, path) -> DataFrame:
     return view(spark, path, CLASSES)
 
@@ -205,19 +202,27 @@ def catalogue_tables(spark, path):
     ).write.partitionBy("file").text(f"{out}/base")
     source.land(spark, f"{out}/categories/*/*.txt", f"{out}/classes/*/*.txt", f"{out}/base/*/*.txt", f"{out}/tables")
     bundle = source.load(spark, f"{out}/tables")
-    counts = None
-    for name, frame in bundle.items():
-        row = frame.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
-
-
-CATALOGUE_TABLES = """
-SELECT 'categories' AS "table", count(DISTINCT c_mktsegment) AS rows FROM customer
-UNION ALL SELECT 'category_classes', count(DISTINCT c_mktsegment) FROM customer
-UNION ALL SELECT 'classes', count(*) FROM orders
-UNION ALL SELECT 'fields', 2 * count(*) FROM orders
-UNION ALL SELECT 'base_fields', count(*) FROM part
+    shown = {
+        "categories": ["name"],
+        "category_classes": ["category", "class_name"],
+        "classes": ["uid", "name", "description", "extends", "category"],
+        "fields": ["class_uid", "name", "type", "example"],
+        "base_fields": ["name", "type_name", "requirement"],
+    }
+    items = None
+    for name, columns in shown.items():
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+        rows = bundle[name].select(F.lit(name).alias("table"), text.alias("item"))
+        items = rows if items is None else items.unionByName(rows)
+    return items
+
+
+CATALOGUE_TABLES = f"""
+SELECT 'categories' AS "table", c_mktsegment AS item FROM (SELECT DISTINCT c_mktsegment FROM customer) s
+UNION ALL SELECT 'category_classes', concat(c_mktsegment, '|x') FROM (SELECT DISTINCT c_mktsegment FROM customer) s
+UNION ALL SELECT 'classes', concat_ws('|', uid, name, description, coalesce(extends, '-'), category) FROM ({CLASS_ROWS}) c
+UNION ALL SELECT 'fields', concat_ws('|', class_uid, name, type, coalesce(example, '-')) FROM ({CLASS_FIELDS}) f
+UNION ALL SELECT 'base_fields', concat_ws('|', name, type_name, coalesce(requirement, 'optional')) FROM ({BASE_FIELDS}) b
 """
 
 
@@ -237,11 +242,10 @@ CATEGORY_SUMMARY = f"SELECT *, row_number() OVER (ORDER BY number_of_classes DES
 
 
 def category_class_lists(spark, path):
-    rows = stats.category_class_lists(category_classes(spark, path))
-    return rows.withColumn("classes", F.concat_ws(",", "classes"))
+    return stats.category_class_lists(category_classes(spark, path))
 
 
-CATEGORY_LISTS = f"SELECT category, CAST(floor(pos / {SEGMENT}) AS BIGINT) AS segment, string_agg(name, ',' ORDER BY pos) AS classes FROM ({CLASSES}) c GROUP BY ALL"
+CATEGORY_LISTS = f"SELECT category, row_number() OVER (PARTITION BY category ORDER BY pos) AS ordinal, name AS class_name FROM ({CLASSES}) c"
 
 
 def category_overview(spark, path):
@@ -300,11 +304,10 @@ SELECT uid, name, '1.0.0' AS version, extends, category, CAST(0 AS INTEGER) AS p
 
 
 def children(spark, path):
-    rows = stats.children(classes(spark, path))
-    return rows.withColumn("children", F.concat_ws(",", "children"))
+    return stats.children(classes(spark, path))
 
 
-CHILDREN = f"SELECT extends AS parent, CAST(floor(pos / {SEGMENT}) AS BIGINT) AS segment, string_agg(name, ',' ORDER BY pos) AS children FROM ({CLASSES}) c WHERE extends IS NOT NULL GROUP BY ALL"
+CHILDREN = f"SELECT extends AS parent, row_number() OVER (PARTITION BY extends ORDER BY pos) AS ordinal, name AS child FROM ({CLASSES}) c WHERE extends IS NOT NULL"
 
 
 def inheritance_depth(spark, path):
@@ -466,9 +469,19 @@ def inheritance_cycles(spark, path):
     return checks.cycles(classes(spark, path))
 
 
+# Walks from every class until they return; the planted cycles have two or three classes
+WALKS = f"""
+c AS ({CLASSES}),
+w(start, place, n, low) AS (
+  SELECT uid, extends, 1, least(uid, extends) FROM c WHERE extends IS NOT NULL
+  UNION ALL SELECT w.start, c.extends, n + 1, least(low, c.extends) FROM w JOIN c ON c.uid = w.place
+  WHERE w.place <> w.start AND n < 5 AND c.extends IS NOT NULL),
+back AS (SELECT start, n, low FROM w WHERE place = start),
+far AS (SELECT back.start, min(w.n) AS k FROM back JOIN w ON w.start = back.start AND w.place = back.low GROUP BY 1)"""
 CYCLES = f"""
-SELECT least(a.uid, b.uid) AS cycle_id, a.uid, a.extends, CAST(2 AS BIGINT) AS cycle_size
-FROM ({CLASSES}) a JOIN ({CLASSES}) b ON a.extends = b.uid AND b.extends = a.uid
+WITH RECURSIVE {WALKS}
+SELECT back.low AS cycle_id, c.uid, c.extends, CAST(back.n AS BIGINT) AS cycle_size, CAST((back.n - far.k % back.n) % back.n AS BIGINT) AS step
+FROM back JOIN far USING (start) JOIN c ON c.uid = back.start
 """
 
 
@@ -476,7 +489,7 @@ def cycle_issues(spark, path):
     return checks.cycle_issues(classes(spark, path)).drop("cycle_id")
 
 
-CYCLE_ISSUES = f"SELECT 'circular_dependency' AS type, 'error' AS severity, concat('Circular inheritance detected involving class ', uid) AS message FROM ({CYCLES}) c"
+CYCLE_ISSUES = f"SELECT 'circular_dependency' AS type, 'error' AS severity, concat('Circular inheritance detected involving class ', uid) AS message FROM ({CYCLES}) x"
 
 
 def common_fields(spark, path):
@@ -494,11 +507,72 @@ TYPE_SETS = f"SELECT DISTINCT name, type FROM ({FIELDS}) f"
 
 
 def field_class_lists(spark, path):
-    rows = docs.field_class_lists(fields(spark, path))
-    return rows.withColumn("classes", F.concat_ws(",", F.col("classes").cast("array<string>")))
+    return docs.field_class_lists(fields(spark, path))
+
+
+CLASS_LISTS = f"SELECT name, row_number() OVER (PARTITION BY name ORDER BY pos) AS ordinal, class_uid FROM ({FIELDS}) f"
+
+
+# A document per customer: one class, which extends that of a smaller customer, with an enum and a plain field.
+# Documents are ordered by their path, which is the number as text.
+FAMILY = """
+SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR(20)) AS path,
+  CASE WHEN c_custkey > 1 THEN CAST(CAST(floor(c_custkey / 2) AS BIGINT) AS VARCHAR(20)) END AS parent,
+  concat('e', CAST(c_custkey % 5 AS VARCHAR(20))) AS enum_name, concat('v', CAST(c_custkey % 3 AS VARCHAR(20))) AS enum_value,
+  concat('t', CAST(c_custkey % 7 AS VARCHAR(20))) AS plain_type
+FROM customer
+"""
+
+
+def family_classes(spark, path) -> DataFrame:
+    rows = view(spark, path, FAMILY)
+    enum = F.struct(
+        F.lit("state").alias("name"), F.lit("enum").alias("type"), "enum_name", F.array("enum_value").alias("values")
+    )
+    plain = F.struct(
+        F.lit("size").alias("name"), F.col("plain_type").alias("type"), F.lit(None).cast("string").alias("enum_name"),
+        F.lit(None).cast("array<string>").alias("values"),
+    )
+    text = F.to_json(
+        F.struct(F.col("path").alias("uid"), F.concat(F.lit("c"), F.col("path")).alias("name"), F.col("parent").alias("extends"), F.array(enum, plain).alias("fields"))
+    )
+    return source.classes(rows.select("path", text.alias("raw")))
+
+
+def document_enum_issues(spark, path):
+    """Enum definitions compared over many documents."""
+    return checks.enum_issues(source.fields(family_classes(spark, path))).select(
+        "enum_name", F.col("details.class").alias("class"),
+        F.concat_ws(",", "details.existing_values").alias("existing_values"),
+        F.concat_ws(",", "details.new_values").alias("new_values"),
+    )
+
+
+DOCUMENT_ENUMS = f"""
+WITH f AS ({FAMILY}), d AS (SELECT enum_name, arg_min(enum_value, path) AS v, min(path) AS p FROM f GROUP BY enum_name)
+SELECT f.enum_name, f.path AS class, d.v AS existing_values, f.enum_value AS new_values
+FROM f JOIN d USING (enum_name) WHERE f.path <> d.p AND f.enum_value <> d.v
+"""
+
+
+def document_overrides(spark, path):
+    """Changed field types between classes of different documents."""
+    table = family_classes(spark, path)
+    return checks.overrides(table, source.fields(table)).select("uid", "extends", "field", "parent_type", "child_type")
+
+
+DOCUMENT_OVERRIDES = f"""
+SELECT c.path AS uid, c.parent AS extends, 'size' AS field, p.plain_type AS parent_type, c.plain_type AS child_type
+FROM ({FAMILY}) c JOIN ({FAMILY}) p ON p.path = c.parent WHERE c.plain_type <> p.plain_type
+"""
+
+
+def document_children(spark, path):
+    """Children of a class in the order of their documents."""
+    return stats.children(family_classes(spark, path))
 
 
-CLASS_LISTS = f"SELECT name, CAST(floor(pos / {SEGMENT}) AS BIGINT) AS segment, string_agg(CAST(class_uid AS VARCHAR), ',' ORDER BY pos) AS classes FROM ({FIELDS}) f GROUP BY ALL"
+DOCUMENT_CHILDREN = f"SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY path) AS ordinal, concat('c', path) AS child FROM ({FAMILY}) f WHERE parent IS NOT NULL"
 
 
 def type_reference(spark, path):
@@ -575,4 +649,7 @@ ENTRIES = {
     "type_reference": (type_reference, TYPE_REFERENCE),
     "usage_patterns": (usage_patterns, PATTERNS),
     "pattern_classes": (pattern_classes, PATTERN_CLASSES),
+    "document_enum_issues": (document_enum_issues, DOCUMENT_ENUMS),
+    "document_overrides": (document_overrides, DOCUMENT_OVERRIDES),
+    "document_children": (document_children, DOCUMENT_CHILDREN),
 }

@@ -27,7 +27,7 @@ FROM events e JOIN (VALUES (0,4624),(1,4625),(2,4634),(3,4688),(4,4689),(5,4656)
   ON CAST(floor(e.event_id / 4) AS BIGINT) % 14 = w.i
 """
 
-# Search log: keystrokes of every user turn, three characters at a time, then its whole text.
+# Search log: keystrokes of every turn, three characters at a time, then its whole text.
 SEARCHES = """
 SELECT concat('q-', CAST(conv_id AS VARCHAR(20)), '-', CAST(turn AS VARCHAR(20)), '-', CAST(k AS VARCHAR(20))) AS id,
   CASE WHEN k = 33 THEN text ELSE substr(text, 1, k) END AS query,
@@ -37,7 +37,7 @@ SELECT concat('q-', CAST(conv_id AS VARCHAR(20)), '-', CAST(turn AS VARCHAR(20))
   0 AS is_duplicate, concat('ds', CAST(conv_id % 4 AS VARCHAR(20))) AS dataset_id
 FROM conversations
 CROSS JOIN (VALUES (3),(6),(9),(12),(15),(18),(21),(24),(27),(30),(33)) AS p(k)
-WHERE role = 'user' AND (k = 33 OR char_length(text) >= k)
+WHERE k = 33 OR char_length(text) >= k
 """
 
 # Marks for the incremental run: two runs per dataset, the later one counts; ds3 never ran.
@@ -56,6 +56,8 @@ SELECT c_custkey AS pos, c_custkey AS uid, concat('c', CAST(c_custkey AS VARCHAR
        WHEN c_custkey % 97 = 1 THEN c_custkey + 10000000
        WHEN c_custkey % 400 = 7 THEN c_custkey + 1
        WHEN c_custkey % 400 = 8 THEN c_custkey - 1
+       WHEN c_custkey % 400 IN (107, 108) THEN c_custkey + 1
+       WHEN c_custkey % 400 = 109 THEN c_custkey - 2
        ELSE CAST(floor((c_custkey - 1) / 2) AS BIGINT) END AS extends
 FROM customer
 """
