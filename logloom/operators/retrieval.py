@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,8 +185,21 @@ def search(
     search_type: str = "hybrid",
     limit: int = 5,
     score_threshold: float | None = None,
+    tags: Sequence[str] = (),
+    metadata: Mapping[str, str] | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
-    """Top ``limit`` chunks per query by one of the four search types."""
+    """Top ``limit`` chunks per query by one of the four search types.
+
+    Filters choose the chunks that are searched: those with any of ``tags``, with
+    all of the ``metadata`` values, and among the ``members`` (chunk_id) of a group.
+    """
+    if tags:
+        chunks = chunks.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
+    for key, value in (metadata or {}).items():
+        chunks = chunks.filter(F.element_at("metadata", key) == value)
+    if members is not None:
+        chunks = chunks.join(members.select("chunk_id").distinct(), "chunk_id", "left_semi")
     found = SEARCHES[search_type](queries, chunks, limit)
     return found if score_threshold is None else found.filter(F.col("score") >= score_threshold)
 

@@ -53,6 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/logloom/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove what a job wrote below its scratch folder, on whatever file system that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a frame reliably, so lost executors never replay what is behind it."""
     scratch_root(frame.sparkSession)

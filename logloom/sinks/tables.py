@@ -11,9 +11,21 @@ from logloom.functions.spread import latest
 from logloom.functions.text import stable_id
 
 
-def append(frame: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+def append(frame: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add rows to a table below ``path``, in folders of ``by``; the table as it is then."""
     writer = frame.write.mode("append")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def store_best(classified: DataFrame, path: str, time: str) -> DataFrame:
+    """Best classes appended by the day of ``time``."""
+    return append(classified.withColumn("day", F.date_format(time, "yyyy-MM-dd")), path, ["day"])
+
+
+def store_answers(answers: DataFrame, path: str) -> DataFrame:
+    """Event rows of answered questions appended to the event table."""
+    return append(rag_events(answers), path)
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:

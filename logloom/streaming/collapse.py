@@ -8,9 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.spread import lookup
 from logloom.operators.collapse import TIME_WINDOW, superseded
-from logloom.session import cut_lineage
+from logloom.session import drop_path, scratch_path
 
 COLUMNS = ["dataset_id", "id", "query", "created_at"]
+# Seconds behind the newest search of all datasets after which a silent dataset is decided
+SILENCE = 3600
 
 
 def _slot(state: str, batch_id: int) -> str:
@@ -23,16 +25,20 @@ def collapse_stream(
     state: str,
     checkpoint: str,
     seconds: int = TIME_WINDOW,
+    silence: int | None = SILENCE,
     continuous: bool = True,
 ) -> StreamingQuery:
     """Decide each search once no later one can reach it; write (.., is_duplicate).
 
     Every batch runs the batch operator on the new rows and the open ones kept
     from before. A search is decided when its dataset has moved more than
-    ``seconds`` past it; the others are kept in one of two alternating folders
-    below ``state``, so a batch that is run again reads what it read before. A
-    search that comes later than that is passed on unmarked. The state is never
-    larger than the last ``seconds`` of searches.
+    ``seconds`` past it, or the log as a whole more than ``silence`` seconds, as a
+    dataset may fall silent; with ``silence`` None such rows wait for
+    :func:`finish`. The others are kept in one of two alternating folders below
+    ``state``, so a batch that is run again reads what it read before. A search
+    that comes later than that is passed on unmarked. The state is never larger
+    than the last ``seconds`` of the searches of datasets heard of lately. What a
+    batch wrote for itself is removed at its end.
     """
     spark = searches.sparkSession
 
@@ -49,14 +55,20 @@ def collapse_stream(
             rows = timely.unionByName(kept)
         else:
             late = rows.filter(F.lit(False))
-        rows = cut_lineage(rows)
+        own = scratch_path(spark, "collapse-batch")
+        rows.write.parquet(own)
+        rows = spark.read.schema(rows.schema).parquet(own)
         ends = rows.groupBy("dataset_id").agg(F.max("created_at").alias("_end"))
         closed = F.col("created_at") < F.col("_end") - seconds
+        newest = rows.agg(F.max("created_at")).first()[0]
+        if silence is not None and newest is not None:
+            closed = closed | (F.col("created_at") < F.lit(newest - max(silence, seconds)))
         judged = lookup(rows, ends, ["dataset_id"], ["id"])
         _flagged(judged.filter(closed).select(*COLUMNS), rows, seconds).unionByName(
             late.withColumn("is_duplicate", F.lit(0))
         ).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         judged.filter(~closed).select(*COLUMNS).write.mode("overwrite").parquet(_slot(state, batch_id))
+        drop_path(spark, own)
 
     writer = searches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime="1 second") if continuous else writer.trigger(availableNow=True)

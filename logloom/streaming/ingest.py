@@ -78,6 +78,7 @@ def batch_metrics(processed: DataFrame) -> DataFrame:
     entries = F.array_compact(
         F.array(
             entry("logs_received", source, F.lit(True)),
+            entry("logs_processed", source, F.col("route").isNotNull()),
             entry("mappings", F.col("mapped_class_name"), F.col("map_status") == "success"),
             entry("mapping_errors", F.col("map_error_type"), F.col("map_status") == "error"),
             entry("high_criticality", F.col("event_id"), F.col("criticality") == "high"),

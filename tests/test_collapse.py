@@ -91,3 +91,41 @@ def test_random_against_brute_force(spark, seed):
 def test_block_must_hold_range(spark):
     with pytest.raises(ValueError):
         neighbour_marks(spark.createDataFrame(CASES["equal"], SCHEMA), block_rows=5)
+
+
+def test_window_over_an_hour(spark):
+    rows = [("d", "1", "ap", 0), ("d", "2", "apple", 8000), ("d", "3", "ap", 9001), ("d", "4", "apple pie", 18_002)]
+    frame = spark.createDataFrame(rows, "dataset_id string, id string, query string, created_at long")
+    assert sorted(r.id for r in superseded(frame, seconds=9000).collect()) == ["1"]
+    assert sorted(r.id for r in superseded(frame, seconds=10_002).collect()) == ["1", "2", "3"]
+    with pytest.raises(TypeError):
+        superseded(frame.withColumn("created_at", frame.created_at.cast("double")))
+
+
+def test_least_mark_reaches_the_scan(spark, tmp_path):
+    from logloom.sources.searches import since_marks
+
+    rows = [(f"{i}", "a" if i % 2 else "b", "q", 1000 + i, "search", i % 3 == 0) for i in range(100)]
+    path = str(tmp_path / "log")
+    spark.createDataFrame(rows, "id string, dataset_id string, query string, created_at long, search_type string, dup boolean").selectExpr(
+        "*", "CAST(dup AS INT) AS is_duplicate"
+    ).drop("dup").write.parquet(path)
+    marks = spark.createDataFrame([("a", 1050)], "dataset_id string, last_collapsed long")
+    found = since_marks(spark.read.parquet(path), marks)
+    plan = found._explain_string(mode="formatted")
+    assert "GreaterThanOrEqual(created_at,1050)" in plan
+    want = {r[0] for r in rows if (r[1] == "a" and r[3] >= 1050) or (r[1] == "b" and not r[5])}
+    assert {r.id for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_silent_dataset_is_decided(spark, tmp_path):
+    from logloom.streaming.collapse import collapse_stream
+
+    path = tmp_path / "in"
+    schema = "dataset_id string, id string, query string, created_at long"
+    for rows in ([("quiet", "1", "ap", 0), ("loud", "2", "x", 0)], [("loud", "3", "y", 10_000)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    out = str(tmp_path / "out")
+    collapse_stream(stream, out, str(tmp_path / "state"), str(tmp_path / "c"), continuous=False).awaitTermination()
+    assert {r.id for r in spark.read.parquet(out).collect()} == {"1", "2"}

@@ -255,3 +255,28 @@ def test_catalogue_shapes(spark, tmp_path):
     ]
     (tmp_path / "base_list.json").write_text(json.dumps(base["attributes"]))
     assert catalogue.base_fields(catalogue.documents(spark, str(tmp_path / "base_list.json"))).count() == 2
+
+
+def test_file_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
+    (tmp_path / "in" / "b.log").write_text("three\n")
+    stream = logs.log_file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    query = (
+        stream.selectExpr("to_json(doc) AS value")
+        .writeStream.format("text")
+        .option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    rows = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted(r["message"] for r in rows) == ["one", "three", "two"]
+    assert {r["source_type"] for r in rows} == {"file"} and query.lastProgress["batchId"] == 1
+
+
+def test_oversize_syslog_is_refused(spark):
+    lines = spark.createDataFrame([("<13>short",), ("<13>" + "x" * 100,), (None,)], "value string")
+    assert logs.syslog(lines, max_bytes=50).count() == 2
+    assert [r.error_type for r in logs.syslog_refused(lines, max_bytes=50).collect()] == ["oversize"]
+    assert logs.syslog(lines, max_bytes=None).count() == 3

@@ -11,7 +11,8 @@ from logloom.operators import retrieval
 from logloom.operators.monitoring import with_overrides
 from logloom.operators.rerank import rerank
 from logloom.plans.classify import answer, best_class, classify
-from logloom.sinks.tables import rag_events
+from logloom.session import scratch_path
+from logloom.sinks.tables import store_answers, store_best
 from workload.inputs import CHUNKS, CLASSES, FIELDS, QUERIES, tables, view
 
 # Every chunk and query gets one of the given vectors, in turn.
@@ -160,16 +161,26 @@ FROM r JOIN c USING (chunk_id) WHERE rank <= 3 GROUP BY query_id"""
 
 
 def rag_event_rows(spark, path):
-    rows = view(spark, path, QUERIES).withColumn("response", F.lit("Placeholder LLM response"))
-    return rag_events(rows)
+    """Answers stored as events and read back."""
+    return store_answers(answer(queries(spark, path), chunks(spark, path), 3), scratch_path(spark, "events"))
 
 
 RAG_EVENTS = f"SELECT md5(concat_ws('|', query, 'Placeholder LLM response')) AS id, 'rag' AS event_type, query AS user_message, 'Placeholder LLM response' AS llm_response FROM ({QUERIES}) q"
 
 
+def search_filtered(spark, path):
+    """Words against the class chunks of one tag with one metadata value."""
+    made = store.class_chunks(view(spark, path, CLASSES))
+    asked = view(spark, path, FILTER_QUERIES)
+    return columns(retrieval.search(asked, made, "bm25", 3, tags=["BUILDING", "MACHINERY"], metadata={"category": "BUILDING"}))
+
+
+FILTER_QUERIES = "SELECT c_custkey AS query_id, concat('class: c', CAST(c_custkey AS VARCHAR(20))) AS query FROM customer"
+
+
 # Log messages to classify: the titles of customer classes, said about events.
 LOG_MESSAGES = """
-SELECT event_id AS log_id, concat('Class of ', event_type, ' in ', c_mktsegment) AS message
+SELECT event_id AS log_id, ts, concat('Class of ', event_type, ' in ', c_mktsegment) AS message
 FROM events JOIN customer ON c_custkey = user_id
 """
 CLASS_CHUNKS = f"""
@@ -195,16 +206,18 @@ SELECT md5(concat('class-', CAST(uid AS VARCHAR))) AS chunk_id,
 FROM ({CLASSES}) k"""
 
 
+FILTERED_TEXTS = f"SELECT chunk_id, content FROM ({CLASS_CHUNK_ROWS}) x WHERE tags = 'class,BUILDING'"
+SEARCH_FILTERED = f"WITH {bm25_sql(FILTER_QUERIES, FILTERED_TEXTS)}, {ranked('r', 'lexical')} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 3"
+
+
 def field_chunks(spark, path):
     rows = store.class_chunks(view(spark, path, CLASSES), view(spark, path, FIELDS))
-    return rows.groupBy(F.element_at("tags", 1).alias("kind")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("characters")
-    )
+    return rows.select(F.element_at("tags", 1).alias("kind"), F.replace("content", F.lit("\n"), F.lit(" ")).alias("content"))
 
 
 FIELD_CHUNKS = f"""
-SELECT 'class' AS kind, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS characters FROM ({CLASS_CHUNK_ROWS}) c
-UNION ALL SELECT 'field', count(*), CAST(sum(length(concat('Field: ', name, ' Type: ', type, ' Class: ', CAST(class_uid AS VARCHAR)))) AS BIGINT) FROM ({FIELDS}) f"""
+SELECT 'class' AS kind, replace(content, chr(10), ' ') AS content FROM ({CLASS_CHUNK_ROWS}) c
+UNION ALL SELECT 'field', concat('Field: ', name, ' Type: ', type, ' Class: ', CAST(class_uid AS VARCHAR)) FROM ({FIELDS}) f"""
 
 
 def classify_logs(spark, path):
@@ -226,12 +239,13 @@ SELECT log_id, rank, chunk_id, score FROM ({LOG_MESSAGES}) m JOIN r ON r.query_i
 def best_classes(spark, path):
     logs = view(spark, path, LOG_MESSAGES)
     found = classify(logs, store.class_chunks(view(spark, path, CLASSES)), 3, "bm25")
-    return best_class(found).select("log_id", "class_chunk", "confidence")
+    stored = store_best(best_class(found), scratch_path(spark, "best-classes"), "ts")
+    return stored.select("log_id", "class_chunk", "confidence", F.col("day").cast("string").alias("day"))
 
 
 BEST = f"""
 WITH {bm25_sql(MESSAGES, CHUNK_TEXTS)}, {ranked('r', 'lexical')}
-SELECT log_id, chunk_id AS class_chunk, score AS confidence FROM ({LOG_MESSAGES}) m LEFT JOIN r ON r.query_id = m.message AND rank = 1"""
+SELECT log_id, chunk_id AS class_chunk, score AS confidence, strftime(ts, '%Y-%m-%d') AS day FROM ({LOG_MESSAGES}) m LEFT JOIN r ON r.query_id = m.message AND rank = 1"""
 
 
 def classify_hybrid(spark, path):
@@ -443,6 +457,7 @@ ENTRIES = {
     "search_sparse": (search_sparse, SEARCH_SPARSE),
     "search_hybrid": (search_hybrid, SEARCH_HYBRID),
     "answer_contexts": (answer_contexts, ANSWER),
+    "search_filtered": (search_filtered, SEARCH_FILTERED),
     "rag_event_rows": (rag_event_rows, RAG_EVENTS),
     "class_chunks": (class_chunks, CLASS_CHUNK_ROWS),
     "field_chunks": (field_chunks, FIELD_CHUNKS),

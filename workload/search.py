@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.spread import latest
 from logloom.operators.collapse import neighbour_marks, ordered, superseded
 from logloom.plans.collapse import collapse
-from logloom.session import scratch_path
+from logloom.session import scratch_path, shuffle_width
 from logloom.sinks import tables as sink
 from logloom.sources import searches as source
 from logloom.streaming.collapse import collapse_stream, finish
@@ -133,14 +133,16 @@ def collapse_streamed(spark, path):
     rows = source.first_scan(searches(spark, path)).select("dataset_id", "id", "query", "created_at")
     low, high = rows.agg(F.min("created_at"), F.max("created_at")).first()
     width = (high - low) // 4 + 1
+    files = shuffle_width(spark)
     for step in range(4):
         part = rows.filter(F.floor((F.col("created_at") - low) / width) == step)
-        part.coalesce(1).write.mode("append").parquet(f"{out}/searches")
+        part.repartition(files).write.mode("append").parquet(f"{out}/searches")
+    # the files of one step are one batch
     stream = (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/searches")
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/searches")
     )
     query = collapse_stream(
-        stream, f"{out}/decided", f"{out}/state", f"{out}/checkpoint", continuous=False
+        stream, f"{out}/decided", f"{out}/state", f"{out}/checkpoint", silence=None, continuous=False
     )
     query.awaitTermination()
     last = query.lastProgress["batchId"]

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom.functions import variant as V
-from logloom.session import scratch_path
+from logloom.session import scratch_path, shuffle_width
 from logloom.sources import logs as source
 from logloom.streaming import ingest as stream
-from workload.ingest import AGENT_COMPLETE, DISPATCHED, MAPPED, agent_input, now
+from workload.ingest import AGENT_COMPLETE, AGENT_NORMALIZE, DISPATCHED, MAPPED, agent_input, now
 from workload.inputs import raw_logs
 
 
 def _landed(spark, path, name):
-    """Raw payloads as two text files per run, read as a stream."""
+    """Raw payloads as text files, read as a stream of two batches."""
     out = scratch_path(spark, name)
-    raw_logs(spark, path).select("raw").repartition(2).write.text(f"{out}/raw")
-    return out, spark.readStream.option("maxFilesPerTrigger", 1).text(f"{out}/raw").withColumnRenamed("value", "raw")
+    files = 2 * shuffle_width(spark)
+    raw_logs(spark, path).select("raw").repartition(files).write.text(f"{out}/raw")
+    stream = spark.readStream.option("maxFilesPerTrigger", files // 2).text(f"{out}/raw")
+    return out, stream.withColumnRenamed("value", "raw")
 
 
 def queued_logs(spark, path):
@@ -57,6 +59,7 @@ def streamed_counters(spark, path):
 
 COUNTERS = f"""
 SELECT 'logs_received' AS metric, coalesce(source, 'unknown') AS label, CAST(count(*) AS BIGINT) AS value FROM ({DISPATCHED}) d GROUP BY 2
+UNION ALL SELECT 'logs_processed', coalesce(source, 'unknown'), count(*) FROM ({DISPATCHED}) d GROUP BY 2
 UNION ALL SELECT 'mappings', class_name, count(*) FROM ({MAPPED}) m WHERE NOT faulty GROUP BY 2
 UNION ALL SELECT 'mapping_errors', 'TypeError', count(*) FROM ({MAPPED}) m WHERE faulty
 UNION ALL SELECT 'high_criticality', CAST(win_id AS VARCHAR), count(*) FROM ({MAPPED}) m WHERE criticality = 'high' GROUP BY 2"""
@@ -69,11 +72,18 @@ def forwarded_logs(spark, path):
     events = spark.readStream.text(f"{out}/agent").select(F.try_parse_json("value").alias("doc"))
     stream.forward(events, f"{out}/sent", f"{out}/c", "windows_event_log", continuous=False).awaitTermination()
     sent = spark.read.text(f"{out}/sent").withColumn("file", F.col("_metadata.file_path"))
-    per_file = sent.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.agg(F.sum("n").alias("events"), (F.max("n") <= 100).alias("small_files"))
+    sizes = sent.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") <= 100
+    doc = F.try_parse_json("value")
+    kept = [V.get("doc", f"$.{c}").alias(c) for c in ("timestamp", "source_type", "message", "computer")]
+    return sent.join(sizes, "file").withColumn("doc", doc).groupBy(*kept, small.alias("small_file")).agg(
+        F.count(F.lit(1)).alias("events")
+    )
 
 
-FORWARDED = f"SELECT count(*) AS events, true AS small_files FROM ({AGENT_COMPLETE}) a"
+FORWARDED = f"""
+SELECT timestamp, source_type, message, computer, true AS small_file, count(*) AS events FROM ({AGENT_NORMALIZE}) a
+WHERE n IN (SELECT n FROM ({AGENT_COMPLETE}) c) GROUP BY ALL"""
 
 
 ENTRIES = {
