@@ -102,7 +102,7 @@ def test_window_over_an_hour(spark):
         superseded(frame.withColumn("created_at", frame.created_at.cast("double")))
 
 
-def test_least_mark_reaches_the_scan(spark, tmp_path):
+def test_least_mark_reaches_the_scan(spark, tmp_path, capsys):
     from logloom.sources.searches import since_marks
 
     rows = [(f"{i}", "a" if i % 2 else "b", "q", 1000 + i, "search", i % 3 == 0) for i in range(100)]
@@ -112,7 +112,8 @@ def test_least_mark_reaches_the_scan(spark, tmp_path):
     ).drop("dup").write.parquet(path)
     marks = spark.createDataFrame([("a", 1050)], "dataset_id string, last_collapsed long")
     found = since_marks(spark.read.parquet(path), marks)
-    plan = found._explain_string(mode="formatted")
+    found.explain("formatted")
+    plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(created_at,1050)" in plan
     want = {r[0] for r in rows if (r[1] == "a" and r[3] >= 1050) or (r[1] == "b" and not r[5])}
     assert {r.id for r in found.collect()} == want and found.count() == len(want)
