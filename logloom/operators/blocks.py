@@ -8,7 +8,7 @@ no pair of rows is ever shuffled, and nothing is approximated.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,23 +20,21 @@ DIGITS = 6
 # Nearly equal pairs whose difference is taken at a time
 CLOSE_PAIRS = 1 << 16
 
-Scorer = Callable[[pd.DataFrame, pd.DataFrame], "object"]
-
-
-def dense_scorer(metric: str) -> Scorer:
+class Dense:
     """Scores of ``vector`` columns: ``cosine`` similarity or negative ``euclidean`` distance."""
 
-    def score(left: pd.DataFrame, right: pd.DataFrame):
+    def __init__(self, metric: str):
+        self.metric = metric
+
+    def __call__(self, left: pd.DataFrame, right: pd.DataFrame):
+        """A score for every left and right row."""
         import numpy as np
 
-        a = np.stack([np.asarray(v, dtype="float64") for v in left["vector"]])
-        b = np.stack([np.asarray(v, dtype="float64") for v in right["vector"]])
+        a, b = _stacked(left["vector"]), _stacked(right["vector"])
         dots = a @ b.T
         a2, b2 = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-        if metric == "cosine":
-            norms = np.sqrt(np.outer(a2, b2))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return np.where(norms > 0, dots / norms, -np.inf)
+        if self.metric == "cosine":
+            return _cosine(dots, np.sqrt(np.outer(a2, b2)))
         gaps = a2[:, None] + b2[None, :] - 2 * dots
         # the expanded form loses digits where points nearly coincide
         close = np.nonzero(gaps < 1e-6 * (a2[:, None] + b2[None, :]))
@@ -46,13 +44,35 @@ def dense_scorer(metric: str) -> Scorer:
             gaps[i, j] = np.einsum("ij,ij->i", difference, difference)
         return -np.sqrt(np.maximum(gaps, 0.0))
 
-    return score
+    def pairs(self, left: pd.DataFrame, right: pd.DataFrame):
+        """A score for each left row with the right row beside it."""
+        import numpy as np
 
+        a, b = _stacked(left["vector"]), _stacked(right["vector"])
+        if self.metric == "cosine":
+            norms = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+            return _cosine(np.einsum("ij,ij->i", a, b), norms)
+        return -np.sqrt(np.einsum("ij,ij->i", a - b, a - b))
 
-def sparse_scorer() -> Scorer:
+
+def _stacked(vectors: pd.Series):
+    import numpy as np
+
+    return np.stack([np.asarray(v, dtype="float64") for v in vectors])
+
+
+def _cosine(dots, norms):
+    import numpy as np
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms > 0, dots / norms, -np.inf)
+
+
+class Sparse:
     """Dot products of ``tokens``/``weights`` columns; no common token means no match."""
 
-    def score(left: pd.DataFrame, right: pd.DataFrame):
+    def __call__(self, left: pd.DataFrame, right: pd.DataFrame):
+        """A score for every left and right row."""
         import numpy as np
         import pandas as pd
 
@@ -80,7 +100,30 @@ def sparse_scorer() -> Scorer:
             out[i, met] = sums[met]
         return out
 
-    return score
+    def pairs(self, left: pd.DataFrame, right: pd.DataFrame):
+        """A score for each left row with the right row beside it."""
+        import numpy as np
+
+        out = np.full(len(left), -np.inf)
+        rows = zip(left["tokens"], left["weights"], right["tokens"], right["weights"])
+        for i, (tokens, own, others, weights) in enumerate(rows):
+            known = dict(zip(others, weights))
+            # in the order of the left tokens, as the sums over blocks are
+            parts = [w * known[t] for t, w in zip(tokens, own) if t in known]
+            if parts:
+                out[i] = sum(parts)
+        return out
+
+
+Scorer = Dense | Sparse
+
+
+def dense_scorer(metric: str) -> Scorer:
+    return Dense(metric)
+
+
+def sparse_scorer() -> Scorer:
+    return Sparse()
 
 
 def block_count(frame: DataFrame, rows: int = BLOCK_ROWS) -> int:
@@ -186,32 +229,34 @@ def ranks_of(
 ) -> DataFrame:
     """(left_id, right_id, rank) of the ``wanted`` pairs in the full ranking of each left row.
 
-    First the scores of the wanted pairs, then, block by block, how many rows
-    are placed before each. Pairs that do not match get no rank.
+    The wanted pairs are joined and scored by themselves; then, block by block, it
+    is counted how many rows are placed before each. Pairs that do not match get
+    no rank.
     """
     types = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
     digits = DIGITS
-    lists = wanted.groupBy(left_id).agg(F.collect_list(right_id).alias("_wanted"))
-    asked = left.join(lists, [left_id])
+    ours = [c for c in left.columns if c != left_id]
+    theirs = [c for c in right.columns if c != right_id]
+    beside = (
+        wanted.select(left_id, right_id)
+        .join(left.select(left_id, *[F.col(c).alias(f"l_{c}") for c in ours]), [left_id])
+        .join(right.select(right_id, *[F.col(c).alias(f"r_{c}") for c in theirs]), [right_id])
+    )
 
-    def score_wanted(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def score_wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        place = {v: i for i, v in enumerate(r[right_id])}
-        scores = np.round(scorer(l, r), digits)
-        rows = [
-            (owner, w, scores[i, place[w]])
-            for i, (owner, ws) in enumerate(zip(l[left_id], l["_wanted"]))
-            for w in ws
-            if w in place and np.isfinite(scores[i, place[w]])
-        ]
-        return pd.DataFrame(rows, columns=[left_id, right_id, "score"])
+        for rows in batches:
+            if len(rows):
+                l = pd.DataFrame({c: rows[f"l_{c}"] for c in ours})
+                r = pd.DataFrame({c: rows[f"r_{c}"] for c in theirs})
+                scores = np.round(scorer.pairs(l, r), digits)
+                matched = np.isfinite(scores)
+                yield rows.loc[matched, [left_id, right_id]].assign(score=scores[matched])
 
     pair_schema = f"{left_id} {types[left_id]}, {right_id} {types[right_id]}"
-    scored = pair_blocks(
-        asked, right, left_id, right_id, (), score_wanted, f"{pair_schema}, score double", blocks
-    )
+    scored = beside.mapInPandas(score_wanted, f"{pair_schema}, score double")
     targets = scored.groupBy(left_id).agg(
         F.collect_list(right_id).alias("_ids"), F.collect_list("score").alias("_scores")
     )

@@ -157,6 +157,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -
     ranks = tops.join(open_pairs.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     for name, (l, r, scorer) in sides.items():
         wanted = open_pairs.filter(F.col(name).isNull()).select("query_id", "chunk_id")
+        if wanted.isEmpty():
+            continue
         deeper = ranks_of(l, r, wanted, "query_id", "chunk_id", scorer, sizes[name])
         ranks = ranks.unionByName(deeper.withColumn("ranking", F.lit(name)))
     scores = _fused(ranks, constant).select(
