@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.spread import latest
 from logloom.functions.text import stable_id
 
 
@@ -28,11 +27,6 @@ def store_answers(answers: DataFrame, path: str) -> DataFrame:
     return append(rag_events(answers), path)
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """Current rows with changes merged in: of each key the highest version stays."""
-    return latest(current.unionByName(changes, allowMissingColumns=True), key, version)
-
-
 def delete(current: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     return current.join(gone.select(*key).distinct(), list(key), "left_anti")
 

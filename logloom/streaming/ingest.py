@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.operators import metrics
 from logloom.operators.agent import complete, normalize
 from logloom.operators.dispatch import record_json
 from logloom.plans.ingest import ingest
@@ -89,8 +88,3 @@ def batch_metrics(processed: DataFrame) -> DataFrame:
         .groupBy("e.metric", "e.label")
         .agg(F.count(F.lit(1)).alias("value"))
     )
-
-
-def observed(processed: DataFrame, name: str = "ingest") -> DataFrame:
-    """The frame with batch totals attached, readable in the progress of the query."""
-    return processed.observe(name, *metrics.observed())

@@ -108,9 +108,6 @@ QUERIES = """
 SELECT item_id AS query_id, text AS query FROM benchmark
 """
 
-# Query vectors with ten planted clusters, a dataset too small and one too old.
-POINTS_AS_OF = 1704067200
-
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{path}/{t}.parquet") for t in TABLES}
