@@ -39,6 +39,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("tree_id").alias("conv_id"), "read.*")
 
 
+# The same from the table: texts escaped only to count the formatted characters
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{PLANTED_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{PLANTED_TEXT}'),
+e AS (SELECT *, regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS body,
+  regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g') AS head FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(concat('{chat.START}', head, chr(10), body, '{chat.END}', chr(10)))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out()))
@@ -73,6 +88,15 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", same.alias("kept"))
 
 
+# All pairs; the operator compares them all as well while the table is no larger than two windows
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
@@ -106,15 +130,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k ON k.h = p.h"""
+
+
 ENTRIES = {
-    "op1_chat_format": (op1_chat_format, None),
+    "op1_chat_format": (op1_chat_format, CHAT_SQL),
     "op2_language_id": (op2_language_id, None),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_quality": (op4_quality, None),
     "op5_simhash": (op5_simhash, None),
-    "op6_vectors": (op6_vectors, None),
+    "op6_vectors": (op6_vectors, VECTORS_SQL),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_token_counts": (op8_token_counts, None),
     "op9_secrets": (op9_secrets, None),
-    "op10_warc": (op10_warc, None),
+    "op10_warc": (op10_warc, WARC_SQL),
 }

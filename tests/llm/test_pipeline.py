@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logloom.llm import decontaminate, queries
 from logloom.llm.common import table
+from tests.compare import canonical, connect
 
 SF = "/root/testdata/sf0.001"
 PRIMES = "doc_id long, text string, lang string, source string, n_chars long, ids int, found int, cuts int, row_key int, id int"
@@ -18,6 +19,11 @@ def test_registered_queries_return_every_row(spark, name):
     frame = run(spark, SF)
     rows = frame.collect()
     tables = {"op1": "conversations", "op6": "embeddings", "op10": "pages"}
+    if sql:
+        cursor = connect(SF).execute(sql)
+        names = [d[0] for d in cursor.description]
+        assert sorted(names) == sorted(frame.columns)
+        assert canonical(names, cursor.fetchall()) == canonical(frame.columns, [tuple(r) for r in rows])
     if name.startswith("op7"):
         assert rows and sql is None
         return
