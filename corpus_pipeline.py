@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import credentials, decontaminate, langid, sentencepieces, simhash
-from logloom.llm.common import fresh, held_out, table
+from logloom.llm.common import fresh, held_out, small_if_measured, table
 from logloom.llm.queries import piece_model
-from logloom.session import scratch_path
+from logloom.session import cut_lineage, scratch_path
 
 # A text whose words speak for its language less than this on average is rejected
 LEAST_LANGUAGE_SCORE = 0.35
@@ -30,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id cannot be told apart and stay.
     """
     groups = simhash.near_groups(docs, width=4, bits=4)
-    dropped = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = cut_lineage(groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
+    return docs.join(small_if_measured(dropped, 16), "doc_id", "left_anti")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,14 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the piece ids of every text, and whether they decode to it."""
-    ids, back = fresh(docs, "ids"), fresh(docs, "back")
-    rows = docs.withColumn(ids, sentencepieces.encoded(F.col("text"), piece_model()))
-    rows = rows.withColumn(back, sentencepieces.decoded(F.col(ids), piece_model()))
-    exact = (F.col(back) == F.coalesce("text", F.lit(""))).alias(fresh(rows, "exact"))
-    return rows.select(*docs.columns, ids, F.size(ids).cast("bigint").alias(fresh(rows, "n_ids")), exact)
+    done = fresh(docs, "pieces")
+    rows = docs.withColumn(done, sentencepieces.round_trip(F.col("text"), piece_model()))
+    return rows.select(
+        *docs.columns,
+        F.col(f"{done}.ids").alias(fresh(docs, "ids")),
+        F.size(f"{done}.ids").cast("bigint").alias(fresh(docs, "n_ids")),
+        F.col(f"{done}.exact").alias(fresh(docs, "exact")),
+    )
 
 
 STAGES = [

@@ -26,7 +26,7 @@ SAMPLE_CHARS = 300_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 # Words whose scores a worker keeps, and characters it scores at a time
-KEPT = 400_000
+KEPT = 150_000
 CHUNK = 1 << 19
 TOKEN = re.compile(r"[^\W\d_]+")
 EDGE = "\x02"
@@ -135,7 +135,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, 2 * self.width))
+        self.table = np.zeros((1 << 12, 2 * self.width), dtype=np.float32)
 
     def learn(self, new: list[str]) -> None:
         first, last = len(self.row), len(self.row) + len(new)
@@ -162,7 +162,7 @@ class Scorer:
                 out.append((UNKNOWN, 0.0))
                 continue
             rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-            sums = self.table[rows].sum(axis=0)
+            sums = self.table[rows].sum(axis=0, dtype=np.float64)
             best = int(sums[: self.width].argmax())
             out.append((self.model.languages[best], min(1.0, float(sums[self.width + best]) / len(words))))
         return out

@@ -62,12 +62,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = docs.withColumn("ids", sentencepieces.encoded(F.col("text"), piece_model()))
-    decoded = encoded.withColumn("decoded", sentencepieces.decoded(F.col("ids"), piece_model()))
-    return decoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("exact")
-    )
+    docs = table(spark, sf_dir, "documents")
+    done = docs.select("doc_id", sentencepieces.round_trip(F.col("text"), piece_model()).alias("p"))
+    return done.select("doc_id", F.size("p.ids").cast("bigint").alias("n_ids"), "p.ids", "p.exact")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

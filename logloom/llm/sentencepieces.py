@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # Words whose ids a worker keeps, letters of words of one length that advance together
-KEPT = 600_000
+KEPT = 150_000
 TOGETHER = 1 << 17
 PAIR_BITS = 22
 # Letters of text whose words are encoded together
-CHUNK = 1 << 22
+CHUNK = 1 << 21
+# Slots for pairs of pieces of which is known whether merging leaves them apart
+PAIR_SLOTS = 1 << 20
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -181,6 +184,8 @@ class Encoder:
                 self.made[i], self.left[i], self.right[i] = True, a, b
                 pair.append((a * n + b, i))
         pair.sort()
+        self.slot_keys = np.full(PAIR_SLOTS, -1, dtype=np.int64)
+        self.slot_apart = np.zeros(PAIR_SLOTS, dtype=bool)
         self.pair_keys = np.array([k for k, _ in pair], dtype=np.int64)
         self.pair_ids = np.array([i for _, i in pair], dtype=np.int64)
 
@@ -193,6 +198,23 @@ class Encoder:
         return np.where(self.pair_keys[at] == key, self.rank[self.pair_ids[at]], np.iinfo(np.int64).max)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`stays_apart` of each pair, remembered in slots by a hash of the pair."""
+        key = a * (self.none + 1) + b
+        with np.errstate(over="ignore"):
+            slot = ((key.astype(np.uint64) * BASE) >> np.uint64(44)).astype(np.int64) & (PAIR_SLOTS - 1)
+        new = np.flatnonzero(self.slot_keys[slot] != key)
+        out = self.slot_apart[slot]
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = self.stays_apart(a[new[first]], b[new[first]])
+            out[new] = found[back]
+            self.slot_keys[slot[new[first]]] = key[new[first]]
+            # of several pairs for one slot the last written is kept, so results are read back by key
+            kept = self.slot_keys[slot[new[first]]] == key[new[first]]
+            self.slot_apart[slot[new[first[kept]]]] = found[kept]
+        return out
+
+    def stays_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the boundary between pieces ``a`` and ``b``.
 
         The later made of the two is undone, on its side of the boundary; the pair
@@ -343,7 +365,7 @@ class Encoder:
         if len(self.known) > KEPT:
             self.forget()
         new: dict[int, list[str]] = {}
-        for word in sorted(set().union(*cut) - self.known.keys()):
+        for word in set().union(*cut) - self.known.keys():
             new.setdefault(len(word), []).append(word)
         flat, sizes = [self.flat], []
         for size, words in new.items():
@@ -415,6 +437,12 @@ def chunks(texts: list, size: int = CHUNK) -> Iterator[list]:
         yield part
 
 
+@lru_cache(maxsize=2)
+def encoder_of(model: bytes) -> Encoder:
+    """The encoder of a model file's content, kept by a worker from task to task with the words it knows."""
+    return Encoder(load(model))
+
+
 def encoded(text: Column, model: bytes) -> Column:
     """The ids of a whole text, without begin or end; an empty array for null and empty texts.
 
@@ -424,19 +452,37 @@ def encoded(text: Column, model: bytes) -> Column:
 
     @F.pandas_udf("array<int>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(load(model))
+        encoder = encoder_of(model)
         for part in parts:
             yield pd.Series([ids for some in chunks(part.tolist()) for ids in encoder.encode(some)], dtype=object)
 
     return of(text)
 
 
+def round_trip(text: Column, model: bytes) -> Column:
+    """struct(ids, exact): the ids of a whole text, and whether they decode to it, in one pass.
+
+    A null or empty text has no ids and is exact.
+    """
+
+    @F.pandas_udf("ids array<int>, exact boolean")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of(model)
+        for part in parts:
+            texts = part.tolist()
+            ids = [i for some in chunks(texts) for i in encoder.encode(some)]
+            exact = [encoder.decode(i) == (t or "") for i, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": pd.Series(exact, dtype=bool)})
+
+    return of(text)
+
+
 def decoded(ids: Column, model: bytes) -> Column:
     """The text of an array of ids; null for null. It is the text encoded, but that a space mark reads as a space."""
 
     @F.pandas_udf("string")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(load(model))
+        encoder = encoder_of(model)
         for part in parts:
             yield pd.Series([None if p is None else encoder.decode(p) for p in part], dtype=object)
 
