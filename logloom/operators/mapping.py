@@ -62,7 +62,7 @@ def _struct(doc: str, **members) -> str:
     return f"named_struct({', '.join(parts)})"
 
 
-# The nested parts of a mapped record: where each member comes from
+# The nested parts of a mapped record, and the event fields each member comes from
 SUBJECT = {
     "user": {
         "name": "SubjectUserName", "uid": "SubjectUserSid", "domain": "SubjectDomainName",
