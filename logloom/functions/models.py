@@ -24,7 +24,7 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[], Encoder]:
     """Signed token hashing, unit length."""
 
     def make() -> Encoder:
-        import zlib
+        import hashlib
 
         import numpy as np
 
@@ -33,7 +33,7 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[], Encoder]:
             for text in texts:
                 vector = np.zeros(dimensions)
                 for token in text.lower().split():
-                    code = zlib.crc32(token.encode("utf-8"))
+                    code = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[8:], "little")
                     vector[(code >> 1) % dimensions] += 1.0 if code & 1 else -1.0
                 length = float(np.sqrt((vector * vector).sum()))
                 out.append(vector / length if length > 0 else vector)

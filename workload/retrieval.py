@@ -289,21 +289,27 @@ SELECT query_id, chunk_id, round(s, 6) AS cross_encoder_score, new_rank FROM n W
 
 
 def embedded_messages(spark, path):
-    """Vectors of all conversation turns: unit length, empty texts without one."""
+    """Vectors of all conversation turns: the sign of every component; empty texts without one."""
     turns = tables(spark, path)["conversations"].withColumn(
         "text", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.col("text"))
     )
     rows = embed(turns, "text")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    signs = F.transform("vector", lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0"))
     return rows.select(
-        "conv_id", "turn", "embed_status", F.size("vector").alias("dimensions"), F.round(length, 3).alias("length")
+        "conv_id", "turn", "embed_status", F.array_join(signs, "").alias("signs"), F.round(length, 3).alias("length")
     )
 
 
 EMBEDDED = """
-SELECT conv_id, turn, CASE WHEN turn % 5 = 4 OR trim(text) = '' THEN 'EMPTY' ELSE 'OK' END AS embed_status,
-  CASE WHEN turn % 5 = 4 OR trim(text) = '' THEN NULL ELSE 64 END AS dimensions,
-  CASE WHEN turn % 5 = 4 OR trim(text) = '' THEN NULL ELSE 1.0 END AS length FROM conversations"""
+WITH m AS (SELECT conv_id, turn, text, turn % 5 = 4 OR trim(text) = '' AS blank FROM conversations),
+t AS (SELECT conv_id, turn, md5_number_lower(unnest(list_concat(['search', 'for'],
+  list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')))) AS code FROM m WHERE NOT blank),
+v AS (SELECT conv_id, turn, CAST((code // 2) % 64 AS BIGINT) AS d, sum(CASE WHEN code % 2 = 1 THEN 1 ELSE -1 END) AS x FROM t GROUP BY ALL),
+s AS (SELECT m.conv_id, m.turn, string_agg(CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END, '' ORDER BY g.range) AS signs
+  FROM m CROSS JOIN range(64) g LEFT JOIN v ON v.conv_id = m.conv_id AND v.turn = m.turn AND v.d = g.range WHERE NOT blank GROUP BY ALL)
+SELECT m.conv_id, m.turn, CASE WHEN blank THEN 'EMPTY' ELSE 'OK' END AS embed_status, signs,
+  CASE WHEN NOT blank THEN 1.0 END AS length FROM m LEFT JOIN s ON s.conv_id = m.conv_id AND s.turn = m.turn"""
 
 
 # --- upkeep of the chunk table ------------------------------------------------------------------
