@@ -249,6 +249,31 @@ def classify_hybrid(spark, path):
     return best_class(found).groupBy("class_chunk").agg(F.count(F.lit(1)).alias("logs"))
 
 
+def hashed_sql(rows: str, key: str, words: str) -> str:
+    """Signed token counts of the built-in encoder by component, and their length, of texts."""
+    return f"""{key}v AS (SELECT {key}_id, CAST((code // 2) % 64 AS BIGINT) AS d, sum(CASE WHEN code % 2 = 1 THEN 1 ELSE -1 END) AS x
+  FROM (SELECT {key}_id, md5_number_lower(unnest({words})) AS code FROM ({rows}) w) u GROUP BY ALL),
+{key}n AS (SELECT {key}_id, sqrt(sum(x * x)) AS n FROM {key}v GROUP BY 1 HAVING sum(x * x) > 0)"""
+
+
+WORDS = "list_filter(" + TOKENS + ", lambda x: x <> '')"
+QUERY_WORDS = "list_concat(['search', 'for'], " + WORDS.format("query") + ")"
+HYBRID_BEST = f"""
+WITH {bm25_sql(MESSAGES, CHUNK_TEXTS)}, {hashed_sql(MESSAGES, 'query', QUERY_WORDS)}, {hashed_sql(CHUNK_TEXTS, 'chunk', WORDS.format('content'))},
+dots AS (SELECT query_id, chunk_id, sum(queryv.x * chunkv.x) AS dot FROM queryv JOIN chunkv USING (d) GROUP BY ALL),
+semantic AS (SELECT queryn.query_id, chunkn.chunk_id, round(coalesce(dot, 0) / (queryn.n * chunkn.n), 6) AS score
+  FROM queryn CROSS JOIN chunkn LEFT JOIN dots ON dots.query_id = queryn.query_id AND dots.chunk_id = chunkn.chunk_id),
+{ranked('lr', 'lexical')}, {ranked('sr', 'semantic')},
+fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (
+  SELECT query_id, chunk_id, rank FROM lr UNION ALL SELECT query_id, chunk_id, rank FROM sr) u GROUP BY ALL),
+{ranked('r', 'fused')},
+cand AS (SELECT * FROM r WHERE rank <= 10),
+over AS (SELECT cand.query_id, cand.chunk_id, any_value(rank) AS rank, count(f.token) / count(*) AS s
+  FROM cand JOIN qt ON qt.query_id = cand.query_id LEFT JOIN f ON f.chunk_id = cand.chunk_id AND f.token = qt.token GROUP BY ALL),
+best AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS new_rank FROM over)
+SELECT chunk_id AS class_chunk, count(*) AS logs FROM ({LOG_MESSAGES}) m LEFT JOIN best ON best.query_id = m.message AND new_rank = 1 GROUP BY 1"""
+
+
 def overridden_classes(spark, path):
     found = best_classes(spark, path)
     # analysts overruled the logs of high value, twice each
@@ -460,7 +485,7 @@ ENTRIES = {
     "field_chunks": (field_chunks, FIELD_CHUNKS),
     "classify_logs": (classify_logs, CLASSIFY),
     "best_classes": (best_classes, BEST),
-    "classify_hybrid": (classify_hybrid, None),
+    "classify_hybrid": (classify_hybrid, HYBRID_BEST),
     "overridden_classes": (overridden_classes, OVERRIDDEN),
     "rerank_candidates": (rerank_candidates, RERANK),
     "embedded_messages": (embedded_messages, EMBEDDED),
