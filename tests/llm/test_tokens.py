@@ -46,11 +46,18 @@ def test_blocks_and_partial_sums(spark, library, monkeypatch):
 
 def test_packing_keeps_large_counts():
     at, n = np.array([3, 9, 500]), np.array([255, 70_000, 256])
-    places, times = tokens.unpacked(tokens.packed(at, n))
-    total = np.bincount(places, weights=times)
+    entries, taken = tokens.packed(at, n)
+    places = entries[:, 0] + 256 * entries[:, 1].astype(int)
+    total = np.bincount(places, weights=entries[:, 2])
+    assert taken.tolist() == [1, 275, 2]
     assert (total[3], total[9], total[500], total.sum()) == (255, 70_000, 256, n.sum())
 
 
+def test_counts_of_many_bits_take_several_entries():
+    unit, owner, count = tokens.split_counts(np.array([4, -1]), np.array([0, 1]), np.array([3, 17]), bits=3)
+    assert (unit.tolist(), owner.tolist(), count.tolist()) == ([4, -1, -1, -1], [0, 1, 1, 1], [3, 7, 7, 3])
+
+
 def test_empty_table(spark):
     assert tokens.token_counts(spark.createDataFrame([], SCHEMA), TOKENIZER).collect() == []
 
