@@ -21,6 +21,7 @@ def local_session(app: str = "logloom", cores: str | int = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
