@@ -23,6 +23,9 @@ from logloom.session import cut_lineage
 UNKNOWN = "und"
 # Characters of training text per language: the bound of the fitted sample
 SAMPLE_CHARS = 300_000
+# Characters of a block of training text, and those a word begun in it may have beyond it
+BLOCK_CHARS = 1_000
+WORD_CHARS = 100
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 # Words whose scores a worker keeps, and characters it scores at a time
@@ -65,25 +68,50 @@ class Model:
 
 
 def sample(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(lang, text): whole texts in the order of a hash, up to ``chars`` characters per language.
+    """(lang, text): blocks of words in the order of a hash, up to ``chars`` characters per language.
 
-    A filter by rate keeps about twice the bound first, so the running sum that
-    makes the bound strict never sees a large group.
+    Copies of a text count once per language, and a text of any length gives
+    blocks, so every language with a word in its texts is in the sample. A word
+    belongs to the block it starts in. A filter by rate keeps about twice the
+    bound first, and equal blocks are merged before they are shuffled, so the
+    running sum that makes the bound strict never sees a large group.
     """
-    rows = labelled.filter("lang is not null and text is not null").select(
+    block = max(1, min(BLOCK_CHARS, chars // 2))
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h")
     )
-    sizes = rows.groupBy("lang").agg(F.sum("n").alias("total"))
-    share = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = rows.select("lang", "h", "n").distinct().groupBy("lang").agg(F.sum("n").alias("total"))
+
+    def share(i: Column) -> Column:
+        return F.pmod(F.xxhash64("h", i), F.lit(1 << 30)) / float(1 << 30)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))
     near = (
         rows.join(F.broadcast(sizes), "lang")
-        .filter(share * F.col("total") <= 2 * chars)
-        .withColumn("share", share)
+        .withColumn("i", F.explode(F.filter(blocks, lambda i: share(i) * F.col("total") <= 2 * chars)))
+        .select("lang", "h", "i", share(F.col("i")).alias("share"), words_of("text", F.col("i") * block, block).alias("text"))
+        .filter(F.col("text").rlike(r"\p{L}"))
+        .distinct()
+        .withColumn("n", F.length("text"))
     )
-    order = Window.partitionBy("lang").orderBy("share", "h").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("lang").orderBy("share", "h", "i", "text").rowsBetween(Window.unboundedPreceding, 0)
     return near.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") <= chars).select("lang", "text")
 
 
+def words_of(text: str, start: Column, size: int) -> Column:
+    """The ``size`` characters of a text from ``start`` (from 0), with whole words only: those that start there.
+
+    Words that do not end in the ``WORD_CHARS`` after the block are cut, and
+    blocks inside of such a word are parts of it.
+    """
+    whole = F.col(text)
+    body = F.substring(whole, start + 1, F.lit(size))
+    after = F.substring(whole, start + size + 1, F.lit(min(WORD_CHARS, size)))
+    inside = F.substring(whole, start, F.lit(1)).rlike(r"^\p{L}") & (start > 0)
+    begun = F.when(inside & ~body.rlike(r"^\p{L}+$"), F.regexp_replace(body, r"^\p{L}+", "")).otherwise(body)
+    return F.concat(begun, F.when(body.rlike(r"\p{L}$"), F.regexp_extract(after, r"^\p{L}*", 0)).otherwise(F.lit("")))
+
+
 def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
     """A model of the languages in ``labelled`` (lang, text), counted by Spark over the sample.
 

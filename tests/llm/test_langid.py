@@ -85,3 +85,27 @@ def test_sample_is_bounded_and_whole(spark):
     assert 4000 < sum(len(r.text) for r in some) <= 5000
     assert {r.text for r in some} <= {r[1] for r in rows}
     assert langid.sample(frame, 10**9).count() == 2000
+
+
+def test_languages_of_long_or_much_copied_texts_are_learned(spark):
+    # a language of one text beyond the bound, one whose least hash is beyond it, one of copies and a few more
+    rows = [("fi", "kissa " * 2000)]
+    rows += [("de", f"wort{'abcdefghij'[i]} " * 2000) for i in range(10)] + [("de", f"kurz {i}") for i in range(50)]
+    rows += [("en", "copied words " * 300)] * 200 + [("en", f"other text {'abcdefghij'[i % 10]}{i}") for i in range(20)]
+    frame = spark.createDataFrame([(i, t, lang, None, None, None) for i, (lang, t) in enumerate(rows)], SCHEMA)
+    some = langid.sample(frame, 5000).collect()
+    sizes = {lang: sum(len(r.text) for r in some if r.lang == lang) for lang in ("fi", "de", "en")}
+    assert all(3000 < n <= 5000 for n in sizes.values())
+    assert langid.fit(frame, 5000).languages == ("de", "en", "fi")
+    whole = langid.sample(frame, 10**9).collect()
+    assert sum("copied" in r.text for r in whole) == 4 and sum("other" in r.text for r in whole) == 20
+
+
+def test_blocks_hold_whole_words_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_CHARS", 20)
+    text = "eins zwei drei vierundzwanzig, fünf 66 sechs_sieben\nacht neunundneunzig zehn."
+    frame = spark.createDataFrame([(1, text, "de", None, None, None), (2, "x" * 500, "xx", None, None, None)], SCHEMA)
+    rows = langid.sample(frame, 10**6).collect()
+    found = sorted(w for r in rows if r.lang == "de" for w in langid.TOKEN.findall(r.text))
+    assert found == sorted(langid.TOKEN.findall(text))
+    assert any(r.lang == "xx" for r in rows) and all(len(r.text) <= 20 + 20 for r in rows)
