@@ -24,14 +24,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group, the one with the smallest id.
+    """Keep one row of each SimHash group, of those with the smallest id.
 
-    Rows that repeat a doc_id are one document: they stay or go together. Rows
-    without an id cannot be told apart and stay.
+    Of rows that repeat that id the one with the least text hash stays, and one
+    of equal ones. Rows without an id cannot be told apart and stay.
     """
-    groups = simhash.near_groups(docs, width=4, bits=4)
-    dropped = cut_lineage(groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(small_if_measured(dropped, 16), "doc_id", "left_anti")
+    key = fresh(docs, "row")
+    keyed = cut_lineage(docs.withColumn(key, F.struct(F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))))
+    groups = simhash.near_groups(keyed, width=4, bits=4, row_col=key).filter("id is not null")
+    kept = groups.groupBy("group_fp").agg(F.min(F.struct("id", key)).alias("first")).select(f"first.{key}")
+    dropped = cut_lineage(groups.select(key).join(kept, key, "left_anti"))
+    return keyed.join(small_if_measured(dropped, 32), key, "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,16 +169,18 @@ def link(marks: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
-    """(id, fp, component_id) per row of ``docs``.
+    """(id, fp, component_id) per row of ``docs``; with a ``row_col`` also that column and ``group_fp``.
 
     Rows whose fingerprints a chain of links of at most ``bits`` differing bits
     joins are one component, named by its smallest id; null ids are passed over
     in that choice. Wordless and null texts share fingerprint 0. Rows of one
-    fingerprint are compared once. Other columns are not read.
+    fingerprint are compared once. Other columns are not read. ``group_fp`` is a
+    fingerprint of the component, which tells components apart also where ids repeat.
     """
-    marked = cut_lineage(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
+    rows = [row_col] if row_col else []
+    marked = cut_lineage(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp"), *rows))
     marks = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("first")))
     links = cut_lineage(link(marks.select("fp"), bits))
     linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -186,8 +188,8 @@ def near_groups(
     names = (
         members.join(marks, "fp").groupBy("component").agg(F.min("first").alias("name"))
     )
-    named = members.join(names, "component").select("fp", "name")
+    named = members.join(names, "component").select("fp", "name", "component")
     per_mark = marks.join(named, "fp", "left").select(
-        "fp", F.coalesce("name", "first").alias("component_id")
+        "fp", F.coalesce("name", "first").alias("component_id"), F.coalesce("component", "fp").alias("group_fp")
     )
-    return marked.join(per_mark, "fp").select("id", "fp", "component_id")
+    return marked.join(per_mark, "fp").select("id", "fp", "component_id", *([*rows, "group_fp"] if rows else []))

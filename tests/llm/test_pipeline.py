@@ -85,6 +85,17 @@ def test_stages_on_odd_rows(spark):
     assert [r.text for r in out if r.doc_id == 7] == [f"{text} [REDACTED] more"]
 
 
+def test_near_copies_keep_one_row_of_each_group_where_ids_repeat(spark):
+    a, b = ("the of and to in is that it for was on are with as at this from by have be", "der die und das in ist nicht ein von zu mit auf")
+    c = "la de que el en y a los se del las un por con"
+    # 2: a copy of 1 and a text of its own; 1: three times, once another text; 3 and 4: copies of that one
+    rows = [(1, a), (1, a), (2, a.upper()), (2, b), (1, c), (3, c), (4, c)]
+    frame = spark.createDataFrame([(i, t, None, None, 7, 1, 2, 3, 4, 5) for i, t in rows], PRIMES)
+    done = corpus_pipeline.near_copies(spark, frame, SF)
+    assert done.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in done.collect()) == sorted([(1, a), (1, c), (2, b)])
+
+
 def test_stages_on_no_rows(spark):
     docs = spark.createDataFrame([], PRIMES)
     for _, stage in corpus_pipeline.STAGES:
