@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, credentials, decontaminate, langid, quality, sentencepieces, simhash, tokens, vectors, warc
+from logloom.llm import (
+    chat,
+    collocations,
+    credentials,
+    decontaminate,
+    langid,
+    quality,
+    rules,
+    sentencepieces,
+    simhash,
+    tokens,
+    variants,
+    vectors,
+    warc,
+)
 from logloom.llm.common import held_out, table
 from logloom.session import scratch_path
 
@@ -136,6 +150,95 @@ SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN k ON k.h = p.h"""
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    reasons = F.array_join(F.array_sort("rejected_by"), ",").alias("rejected_by")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", reasons
+    )
+
+
+def rule_rows() -> str:
+    """The rules of op11 as SQL rows: name, step, cutoff, whether values under it are rejected."""
+    return ", ".join(f"('{r.name}', {i}, {c}, {r.low})" for r in rules.RULES for i, c in enumerate(r.cutoffs))
+
+
+def rule_values() -> str:
+    return ", ".join(f"('{r.name}', {r.count}, {r.per})" for r in rules.RULES)
+
+
+RULES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+  generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos FROM d),
+win AS (SELECT rid, pos, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS three FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+again AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, three) AS n FROM win WHERE three IS NOT NULL) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT place) AS n_repeat_words FROM
+  (SELECT rid, pos AS place FROM again UNION ALL SELECT rid, pos + 1 FROM again UNION ALL SELECT rid, pos + 2 FROM again) GROUP BY rid),
+wc AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid),
+li AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+lc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM li
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+c AS (SELECT d.rid, doc_id, stratum, text, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN wc USING (rid) LEFT JOIN lc USING (rid) LEFT JOIN rep USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+marks AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+draws AS (SELECT stratum, text, max(good) AS good, max(n_words) AS n_words, max(word_chars) AS word_chars, max(n_symbols) AS n_symbols,
+  max(n_lines) AS n_lines, max(n_dup_lines) AS n_dup_lines, max(n_repeat_words) AS n_repeat_words
+  FROM b JOIN marks USING (doc_id) WHERE NOT base_failed GROUP BY stratum, text),
+cuts(rule, step, cutoff, low) AS (VALUES {rule_rows()}),
+of_draws AS (SELECT stratum, good, v.rule, v.num, v.den FROM draws, LATERAL (VALUES {rule_values()}) AS v(rule, num, den)),
+tests AS (SELECT stratum, rule, step, cutoff,
+  count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad,
+  count(*) FILTER (WHERE good AND CASE WHEN low THEN 1000 * num < cutoff * den ELSE 1000 * num > cutoff * den END) AS g,
+  count(*) FILTER (WHERE NOT good AND CASE WHEN low THEN 1000 * num < cutoff * den ELSE 1000 * num > cutoff * den END) AS b
+  FROM of_draws JOIN cuts USING (rule) GROUP BY stratum, rule, step, cutoff),
+bound AS (SELECT {rules.ERROR} / greatest(1, count(DISTINCT stratum) * {len(rules.RULES)}) AS level, {rules.RISK} / {len(rules.RULES)} AS rate FROM draws),
+held AS (SELECT * FROM tests, bound WHERE b * good > g * bad AND g < ceil(good * rate) AND (SELECT sum(exp(
+  lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln(rate) + (good - i) * ln(1 - rate))) FROM range(0, g + 1) AS r(i)) <= level),
+picked AS (SELECT stratum, rule, low, cutoff FROM (SELECT held.*, cuts.low, row_number() OVER (PARTITION BY stratum, held.rule ORDER BY b DESC, held.step) AS r
+  FROM held JOIN cuts ON cuts.rule = held.rule AND cuts.step = held.step) WHERE r = 1),
+of_rows AS (SELECT rid, stratum, v.rule, v.num, v.den FROM b, LATERAL (VALUES {rule_values()}) AS v(rule, num, den)),
+hits AS (SELECT rid, string_agg(rule, ',' ORDER BY rule) AS rejected_by FROM of_rows JOIN picked USING (stratum, rule)
+  WHERE CASE WHEN low THEN 1000 * num < cutoff * den ELSE 1000 * num > cutoff * den END GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept,
+  coalesce(rejected_by, '') AS rejected_by FROM b LEFT JOIN hits USING (rid)"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+COLLOCATIONS_SQL = f"""
+WITH p AS (SELECT lang, row_number() OVER () AS piece, words FROM (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM
+    (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents))),
+g AS (SELECT lang, size, array_to_string(words[pos : pos + size - 1], ' ') AS phrase FROM
+  (SELECT lang, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS pos FROM p, range(1, 6) AS s(size))),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+t AS (SELECT lang, sum(len(words)) AS n FROM p GROUP BY lang),
+x AS (SELECT lang, a, string_split(phrase, ' ') AS w FROM f WHERE size > 2),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i : j], ' ') AS phrase, a FROM x, range(1, 6) AS b(i), range(1, 6) AS e(j)
+  WHERE i < j AND j <= len(w) AND j - i + 1 < len(w)),
+own AS (SELECT lang, phrase, size, a FROM f WHERE size > 1
+  AND NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = f.lang AND inside.phrase = f.phrase AND inside.a >= f.a)),
+cut AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS l_phrase,
+  array_to_string(string_split(phrase, ' ')[k + 1 : size], ' ') AS r_phrase FROM own, range(1, 5) AS c(k) WHERE k < size),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, l.a AS l, r.a AS r, t.n,
+  1000 * CAST(cut.a AS HUGEINT) * CAST(t.n AS HUGEINT) // (CAST(l.a AS HUGEINT) * CAST(r.a AS HUGEINT)) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = l_phrase JOIN f r ON r.lang = cut.lang AND r.phrase = r_phrase JOIN t ON t.lang = cut.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM s) WHERE first = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {collocations.TOP}"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = {
     "op1_chat_format": (op1_chat_format, CHAT_SQL),
     "op2_language_id": (op2_language_id, None),
@@ -147,4 +250,7 @@ ENTRIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_secrets": (op9_secrets, None),
     "op10_warc": (op10_warc, WARC_SQL),
+    "op11_quality_rules": (op11_quality_rules, RULES_SQL),
+    "op12_collocations": (op12_collocations, COLLOCATIONS_SQL),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
