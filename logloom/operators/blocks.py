@@ -1,4 +1,4 @@
-"""Exact nearest and best-match search by blocks.
+"""Exact nearest search by blocks.
 
 Both sides are cut into blocks of bounded size by a hash of their ids; every
 pair of blocks is scored in one task with numpy, which passes on only the k best
@@ -8,7 +8,7 @@ no pair of rows is ever shuffled, and nothing is approximated.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +20,7 @@ DIGITS = 6
 # Nearly equal pairs whose difference is taken at a time
 CLOSE_PAIRS = 1 << 16
 
+
 class Dense:
     """Scores of ``vector`` columns: ``cosine`` similarity or negative ``euclidean`` distance."""
 
@@ -68,64 +69,10 @@ def _cosine(dots, norms):
         return np.where(norms > 0, dots / norms, -np.inf)
 
 
-class Sparse:
-    """Dot products of ``tokens``/``weights`` columns; no common token means no match."""
-
-    def __call__(self, left: pd.DataFrame, right: pd.DataFrame):
-        """A score for every left and right row."""
-        import numpy as np
-        import pandas as pd
-
-        lengths = right["tokens"].map(len).to_numpy()
-        out = np.full((len(left), len(right)), -np.inf)
-        if not lengths.sum():
-            return out
-        words = np.concatenate([np.asarray(t, dtype=object) for t in right["tokens"]])
-        weights = np.concatenate([np.asarray(w, dtype="float64") for w in right["weights"]])
-        rows = np.repeat(np.arange(len(right)), lengths)
-        codes, vocabulary = pd.factorize(words)
-        order = np.argsort(codes, kind="stable")
-        rows, weights = rows[order], weights[order]
-        ends = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
-        index = {word: i for i, word in enumerate(vocabulary)}
-        for i, (tokens, own) in enumerate(zip(left["tokens"], left["weights"])):
-            known = [(index[t], w) for t, w in zip(tokens, own) if t in index]
-            if not known:
-                continue
-            spans = [slice(ends[c], ends[c + 1]) for c, _ in known]
-            hit = np.concatenate([rows[s] for s in spans])
-            part = np.concatenate([weights[s] * w for s, (_, w) in zip(spans, known)])
-            sums = np.bincount(hit, weights=part, minlength=len(right))
-            met = np.bincount(hit, minlength=len(right)) > 0
-            out[i, met] = sums[met]
-        return out
-
-    def pairs(self, left: pd.DataFrame, right: pd.DataFrame):
-        """A score for each left row with the right row beside it."""
-        import numpy as np
-
-        out = np.full(len(left), -np.inf)
-        rows = zip(left["tokens"], left["weights"], right["tokens"], right["weights"])
-        for i, (tokens, own, others, weights) in enumerate(rows):
-            known = dict(zip(others, weights))
-            # in the order of the left tokens, as the sums over blocks are
-            parts = [w * known[t] for t, w in zip(tokens, own) if t in known]
-            if parts:
-                out[i] = sum(parts)
-        return out
-
-
-Scorer = Dense | Sparse
-
-
-def dense_scorer(metric: str) -> Scorer:
+def dense_scorer(metric: str) -> Dense:
     return Dense(metric)
 
 
-def sparse_scorer() -> Scorer:
-    return Sparse()
-
-
 def block_count(frame: DataFrame, rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-frame.count() // rows))
 
@@ -172,7 +119,7 @@ def best_matches(
     right: DataFrame,
     left_id: str,
     right_id: str,
-    scorer: Scorer,
+    scorer: Dense,
     k: int,
     within: Sequence[str] = (),
     blocks: tuple[int | Column, int | Column] | None = None,
@@ -216,66 +163,3 @@ def best_matches(
     partial = pair_blocks(left, right, left_id, right_id, within, visit, schema, sizes)
     order = Window.partitionBy(*within, left_id).orderBy(F.desc("score"), F.col(right_id))
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def ranks_of(
-    left: DataFrame,
-    right: DataFrame,
-    wanted: DataFrame,
-    left_id: str,
-    right_id: str,
-    scorer: Scorer,
-    blocks: tuple[int, int],
-) -> DataFrame:
-    """(left_id, right_id, rank) of the ``wanted`` pairs in the full ranking of each left row.
-
-    The wanted pairs are joined and scored by themselves; then, block by block, it
-    is counted how many rows are placed before each. Pairs that do not match get
-    no rank.
-    """
-    types = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
-    digits = DIGITS
-    ours = [c for c in left.columns if c != left_id]
-    theirs = [c for c in right.columns if c != right_id]
-    beside = (
-        wanted.select(left_id, right_id)
-        .join(left.select(left_id, *[F.col(c).alias(f"l_{c}") for c in ours]), [left_id])
-        .join(right.select(right_id, *[F.col(c).alias(f"r_{c}") for c in theirs]), [right_id])
-    )
-
-    def score_wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
-
-        for rows in batches:
-            if len(rows):
-                l = pd.DataFrame({c: rows[f"l_{c}"] for c in ours})
-                r = pd.DataFrame({c: rows[f"r_{c}"] for c in theirs})
-                scores = np.round(scorer.pairs(l, r), digits)
-                matched = np.isfinite(scores)
-                yield rows.loc[matched, [left_id, right_id]].assign(score=scores[matched])
-
-    pair_schema = f"{left_id} {types[left_id]}, {right_id} {types[right_id]}"
-    scored = beside.mapInPandas(score_wanted, f"{pair_schema}, score double")
-    targets = scored.groupBy(left_id).agg(
-        F.collect_list(right_id).alias("_ids"), F.collect_list("score").alias("_scores")
-    )
-
-    def count_before(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
-
-        scores = np.round(scorer(l, r), digits)
-        ids = r[right_id].to_numpy()
-        rows = []
-        for i, (owner, ws, ss) in enumerate(zip(l[left_id], l["_ids"], l["_scores"])):
-            for w, s in zip(ws, ss):
-                before = (scores[i] > s) | ((scores[i] == s) & (ids < w))
-                rows.append((owner, w, int(before.sum())))
-        return pd.DataFrame(rows, columns=[left_id, right_id, "n"])
-
-    counted = pair_blocks(
-        left.join(targets, [left_id]), right, left_id, right_id, (), count_before,
-        f"{pair_schema}, n bigint", blocks,
-    )
-    return counted.groupBy(left_id, right_id).agg((F.sum("n") + 1).alias("rank"))

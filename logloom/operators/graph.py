@@ -1,17 +1,25 @@
 """Iterative graph operators on edge frames, each round checkpointed.
 
-Many edges may meet in one node. Their joins are plain sort-merge joins, of which
-the adaptive planner splits partitions that turn out large; counting hot nodes
-first would cost each round a second pass.
+Many edges may meet in one node. Minima per node are aggregates, combined before
+their shuffle; the joins that hand them back to the edges split the nodes that
+hold many edges. Edges of a counted, small number are joined up in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.spread import lookup_large
 from logloom.session import cut_lineage
 
+# Edges up to which one task finds all components, in memory that this bounds
+LOCAL_EDGES = 400_000
+
+
 def _rounds(nodes: int) -> int:
     """More rounds than loops over ``nodes`` nodes that halve distances can take."""
     return 2 * max(1, nodes).bit_length() + 8
@@ -100,11 +108,13 @@ def cycle_members(chains: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, local: int | None = None) -> DataFrame:
     """(node, component): component is the least node reachable. ``edges`` are (a, b).
 
-    Alternates large-star and small-star steps, which shrink every component to
-    a star in logarithmically many rounds. Minima are grouped aggregates.
+    Up to ``local`` distinct edges (``LOCAL_EDGES`` by default) one task suffices;
+    their number is counted first. More are worked off by alternating large-star
+    and small-star steps, which shrink every component to a star in
+    logarithmically many rounds.
     """
     stars = cut_lineage(
         edges.filter("a <> b")
@@ -112,18 +122,55 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .distinct()
     )
     mark = _signature(stars)
+    if mark[0] <= (LOCAL_EDGES if local is None else local):
+        stars = cut_lineage(_joined_up(stars))
+    else:
+        stars = _starred(stars, mark)
+    return nodes.join(stars.select(F.col("v").alias("node"), "m"), ["node"], "left").select(
+        "node", F.coalesce("m", "node").alias("component")
+    )
+
+
+def _starred(stars: DataFrame, mark) -> DataFrame:
     most = _rounds(mark[0])
     for _ in range(most):
         stars = cut_lineage(_small_star(_large_star(stars)))
         now = _signature(stars)
         if now == mark:
-            break
+            return stars
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    return nodes.join(stars.select(F.col("v").alias("node"), "m"), ["node"], "left").select(
-        "node", F.coalesce("m", "node").alias("component")
-    )
+    raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def _joined_up(stars: DataFrame) -> DataFrame:
+    """The stars of all components, by union-find over arrays in one task: for few edges only."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        v, m = (rows.column(c).combine_chunks() for c in ("v", "m"))
+        # nodes by number, in the order of their values: numbers, text and bytes sort as Spark sorts them
+        known = pc.unique(pa.concat_arrays([v, m]))
+        known = known.take(pc.sort_indices(known))
+        a, b = (pc.index_in(c, known).to_numpy() for c in (v, m))
+        label = np.arange(len(known))
+        while True:
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            if (low == high).all():
+                break
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        at = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_pydict({"v": known.take(pa.array(at)), "m": known.take(pa.array(label[at]))})
+
+    kind = stars.schema["v"].dataType.simpleString()
+    return stars.coalesce(1).mapInArrow(of, f"v {kind}, m {kind}")
 
 
 def _signature(stars: DataFrame):
@@ -144,7 +191,7 @@ def _large_star(stars: DataFrame) -> DataFrame:
     )
     larger = both.filter(F.col("w") > F.col("u"))
     return (
-        larger.join(least, ["u"])
+        lookup_large(larger, least, ["u"], ["w"], how="inner")
         .select(F.col("w").alias("v"), F.col("least").alias("m"))
         .distinct()
     )
@@ -154,7 +201,7 @@ def _small_star(stars: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = stars.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("w"))
     least = down.groupBy("u").agg(F.min("w").alias("least"))
-    joined = down.join(least, ["u"])
+    joined = lookup_large(down, least, ["u"], ["w"], how="inner")
     return (
         joined.filter("w <> least")
         .select(F.col("w").alias("v"), F.col("least").alias("m"))

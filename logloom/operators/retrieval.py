@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.spread import lookup_large
 from logloom.functions.text import tokens
-from logloom.operators.blocks import (
-    best_matches,
-    block_count,
-    dense_scorer,
-    ranks_of,
-    sparse_scorer,
-)
+from logloom.operators import cells, postings
 from logloom.session import cut_lineage
 
 # BM25 and rank-fusion constants from the literature
@@ -27,7 +21,7 @@ RRF = 60
 def bm25_weights(
     queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B
 ) -> tuple[DataFrame, DataFrame]:
-    """BM25 as a dot product: (query_id, tokens, weights) and (chunk_id, tokens, weights).
+    """BM25 as a dot product: (query_id, token, weight) and (chunk_id, token, weight).
 
     The inverse document frequency goes to the query side and the saturated term
     frequency to the chunk side, so frequencies are never joined to postings.
@@ -55,58 +49,38 @@ def bm25_weights(
         .agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")))
         .scalar()
     )
-    postings = counted.filter("token <> ''")
-    frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
+    held = counted.filter("token <> ''")
+    frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
     idf = F.log(F.lit(1) + (F.col("_totals.n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     query_side = (
         lookup_large(asked, frequency, ["token"], ["query_id"], how="inner")
         .withColumn("_totals", totals)
-        .select("query_id", F.struct("token", idf.alias("weight")).alias("e"))
+        .select("query_id", "token", idf.alias("weight"))
     )
     saturated = F.col("f") * (k1 + 1) / (
         F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("_totals.avg_len"))
     )
-    chunk_side = postings.withColumn("_totals", totals).select(
-        "chunk_id", F.struct("token", saturated.alias("weight")).alias("e")
-    )
-    return cut_lineage(_as_lists(query_side, "query_id")), cut_lineage(_as_lists(chunk_side, "chunk_id"))
-
-
-def _as_lists(weighted: DataFrame, key: str) -> DataFrame:
-    """Token lists per text, no longer than the text."""
-    lists = weighted.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("e"))
-    return lists.select(
-        key, F.col("e.token").alias("tokens"), F.col("e.weight").alias("weights")
-    )
+    chunk_side = held.withColumn("_totals", totals).select("chunk_id", "token", saturated.alias("weight"))
+    return cut_lineage(query_side), chunk_side
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 top ``k``: (query_id, chunk_id, score, rank)."""
     left, right = bm25_weights(queries, chunks, k1, b)
-    return best_matches(left, right, "query_id", "chunk_id", sparse_scorer(), k)
+    return postings.best(left, postings.build(right), k)
 
 
 def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top ``k`` by dot product of ``weights`` maps (token to weight), as a learned sparse encoder gives."""
-    left = queries.select(
-        "query_id", F.map_keys("weights").alias("tokens"), F.map_values("weights").alias("weights")
-    )
-    right = chunks.select(
-        "chunk_id", F.map_keys("weights").alias("tokens"), F.map_values("weights").alias("weights")
-    )
-    return best_matches(left, right, "query_id", "chunk_id", sparse_scorer(), k)
+    left = queries.select("query_id", F.explode("weights").alias("token", "weight"))
+    right = chunks.select("chunk_id", F.explode("weights").alias("token", "weight"))
+    wanted = left.select("token").distinct()
+    return postings.best(left, postings.build(right.join(wanted, "token", "left_semi")), k)
 
 
 def semantic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Top ``k`` by cosine of ``vector`` columns."""
-    return best_matches(
-        _with_vector(queries, "query_id"),
-        _with_vector(chunks, "chunk_id"),
-        "query_id",
-        "chunk_id",
-        dense_scorer("cosine"),
-        k,
-    )
+    return cells.best(_with_vector(queries, "query_id"), cells.build(_with_vector(chunks, "chunk_id")), k)
 
 
 def _with_vector(frame: DataFrame, key: str) -> DataFrame:
@@ -126,22 +100,16 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -
     depth = constant + 2 * k
     left_words, right_words = bm25_weights(queries, chunks)
     left_vectors = _with_vector(queries, "query_id")
-    right_vectors = _with_vector(chunks, "chunk_id")
-    sides = {
-        "lexical": (left_words, right_words, sparse_scorer()),
-        "semantic": (left_vectors, right_vectors, dense_scorer("cosine")),
-    }
-    sizes = {name: (block_count(l), block_count(r)) for name, (l, r, _) in sides.items()}
+    words, groups = postings.build(right_words), cells.build(_with_vector(chunks, "chunk_id"))
+    found = {"lexical": postings.best(left_words, words, depth), "semantic": cells.best(left_vectors, groups, depth)}
     tops = None
-    for name, (l, r, scorer) in sides.items():
-        top = best_matches(
-            l, r, "query_id", "chunk_id", scorer, depth, blocks=sizes[name]
-        ).select("query_id", "chunk_id", F.lit(name).alias("ranking"), F.col("rank").cast("bigint").alias("rank"))
+    for name, top in found.items():
+        top = top.select("query_id", "chunk_id", F.lit(name).alias("ranking"), F.col("rank").cast("bigint").alias("rank"))
         tops = top if tops is None else tops.unionByName(top)
     tops = cut_lineage(tops)
 
     known = _fused(tops, constant)
-    missing = sum(F.when(F.col(name).isNull(), 1).otherwise(0) for name in sides)
+    missing = sum(F.when(F.col(name).isNull(), 1).otherwise(0) for name in found)
     bounds = known.withColumn("_top", F.col("score") + missing / F.lit(constant + depth + 1.0))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     floor = (
@@ -155,11 +123,14 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -
         )
     )
     ranks = tops.join(open_pairs.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    for name, (l, r, scorer) in sides.items():
+    for name in found:
         wanted = open_pairs.filter(F.col(name).isNull()).select("query_id", "chunk_id")
         if wanted.isEmpty():
             continue
-        deeper = ranks_of(l, r, wanted, "query_id", "chunk_id", scorer, sizes[name])
+        if name == "lexical":
+            deeper = postings.ranks_of(wanted, left_words, words)
+        else:
+            deeper = cells.ranks_of(wanted, left_vectors, groups)
         ranks = ranks.unionByName(deeper.withColumn("ranking", F.lit(name)))
     scores = _fused(ranks, constant).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score")

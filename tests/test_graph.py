@@ -27,6 +27,26 @@ def test_components(spark):
         spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "a string, b string")
     )
     assert {r.node: r.component for r in got.collect()} == want
+    rounds = connected_components(
+        spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "a string, b string"), local=0
+    )
+    assert {r.node: r.component for r in rounds.collect()} == want
+
+
+def test_a_hub_of_most_edges_is_split(spark, monkeypatch):
+    from logloom.functions import spread
+    from logloom.operators import graph
+
+    monkeypatch.setattr(spread, "HOT_ROWS", 100)
+    edges = spark.range(1, 3000).selectExpr("0L AS a", "id AS b").unionByName(spark.range(1, 300).selectExpr("-id AS a", "-id - 1 AS b"))
+    stars = edges.selectExpr("greatest(a, b) AS v", "least(a, b) AS m")
+    plan = graph._large_star(stars)._jdf.queryExecution().analyzed().toString()
+    # the hub's edges are dealt to as many parts as there are partitions
+    assert "_part" in plan and "_hot" in plan
+    nodes = spark.range(-300, 3000).withColumnRenamed("id", "node")
+    for local in (None, 0):
+        got = {r.node: r.component for r in connected_components(nodes, edges, local).collect()}
+        assert got == {n: 0 if n >= 0 else -300 for n in range(-300, 3000)}
 
 
 def test_chains(spark):

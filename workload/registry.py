@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import catalogue, clusters, ingest, retrieval, search, streams
+from workload import catalogue, clusters, ingest, retrieval, schemas, search, streams
 
-MODULES = [ingest, streams, catalogue, search, retrieval, clusters]
+MODULES = [ingest, streams, catalogue, search, retrieval, clusters, schemas]
 
 
 def entries() -> dict:
