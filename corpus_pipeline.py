@@ -39,8 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no benchmark passage occurs."""
-    hit = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.filter(~hit)
+    return decontaminate.without_passages(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

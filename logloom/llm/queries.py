@@ -109,7 +109,7 @@ SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compo
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate as dc
 from logloom.llm.common import table
@@ -104,3 +105,105 @@ def test_blocks_of_the_benchmark_find_the_same(spark, items):
     texts = [t for _, t in items]
     whole = {(r, i) for r, k, *_ in dc.Index(items).search(texts) for i in [items[k][0]]}
     assert whole == {(r, p.ids[k]) for p in parts for r, k, *_ in p.search(texts)}
+
+
+def all_occurrences(passage, text, budget):
+    """(start, end, edits) by the definition, from the least edits and first start of every end."""
+    ends = []
+    row = [(0, j) for j in range(len(text) + 1)]
+    for i, c in enumerate(passage):
+        old, row = row, [(i + 1, 0)]
+        for j in range(len(text)):
+            row.append(min((old[j][0] + (text[j] != c), old[j][1]), (old[j + 1][0] + 1, old[j + 1][1]), (row[j][0] + 1, row[j][1])))
+    best = {e: (cost, start) for e, (cost, start) in enumerate(row) if cost <= budget and start < e}
+    out = []
+    for e, (cost, start) in best.items():
+        explained = any(
+            (best[f][0], f) < (cost, e) and best[f][0] + abs(e - f) <= cost + 1 for f in range(e - budget - 2, e + budget + 3) if f in best and f != e
+        )
+        if cost == 0 or not explained:
+            out.append((start, e, cost))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_every_occurrence_of_short_repeated_and_altered_passages(letters):
+    rng = random.Random(len(letters))
+    for size in [*range(1, 41), 60, 120]:
+        for _ in range(6):
+            passage = "".join(rng.choice(letters) for _ in range(size))
+            parts = []
+            for _ in range(rng.randrange(1, 7)):
+                copy = list(passage)
+                for _ in range(rng.randrange(0, size // 12 + 2)):
+                    at = rng.randrange(len(copy) + 1)
+                    copy[at : at + rng.randrange(2)] = rng.choice(["", "x", rng.choice(letters)])
+                parts.append("".join(copy))
+                parts.append("".join(rng.choice(letters + "z") for _ in range(rng.choice([0, 0, 3, 50]))))
+            text = "".join(parts) + passage[: size // 2]
+            index = dc.Index([(0, passage)], least=1)
+            want = all_occurrences(passage, text, int(index.budget[0]))
+            assert [(s, e, c) for _, _, s, e, c in index.search([text])] == want, (passage, text)
+
+
+def test_passages_in_a_row_are_all_found():
+    for passage, times in (("abcdefghij", 3), ("abcdefghijklmnopqrst", 5), ("aaaa", 4)):
+        index = dc.Index([(0, passage)], least=1)
+        exact = [f for f in index.search([passage * times]) if f[4] == 0]
+        assert len(exact) == (times if passage != "aaaa" else 13)
+
+
+def test_many_passages_with_a_shared_opening_stay_within_bounds(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    opening = " ".join(word() for _ in range(12))
+    items = [(i, opening + " " + " ".join(word() for _ in range(25))) for i in range(5000)]
+    index = dc.Index(items)
+    text = " ".join(opening for _ in range(200)) + " " + items[17][1] + " " + opening + " " + items[4321][1]
+    dc.letters()
+    tracemalloc.start()
+    found = index.search([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, c) for _, i, _, _, c in found] == [(17, 0), (4321, 0)]
+    assert peak < 300 << 20
+    # openings that are most of the passage: every hit stays in slices
+    few = dc.Index([(i, opening * 2 + f"tail{i:04d}") for i in range(300)])
+    monkeypatch.setattr(dc, "HITS", 5000)
+    assert {i for _, i, *_ in few.search([opening * 2 + "tail0123"])} == {i for _, i, *_ in dc.Index(
+        [(i, opening * 2 + f"tail{i:04d}") for i in range(300)]).search([opening * 2 + "tail0123"])}
+
+
+def test_slices_of_hits_change_nothing(items, monkeypatch):
+    texts = [t for _, t in items] + [items[0][1] * 3, items[1][1] + items[2][1]]
+    whole = dc.Index(items).search(texts)
+    monkeypatch.setattr(dc, "HITS", 50)
+    monkeypatch.setattr(dc, "ALIGNED", 3)
+    monkeypatch.setattr(dc, "WINDOWS", 100)
+    monkeypatch.setattr(dc, "COMMON", 1)
+    assert dc.Index(items).search(texts) == whole
+
+
+def test_very_long_passage():
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(3_000))
+    altered = list(passage)
+    for _ in range(100):
+        altered[rng.randrange(len(altered))] = "x"
+    ((_, _, start, end, edits),) = dc.Index([(0, passage)]).search(["zz" + "".join(altered) + "zz"])
+    assert (start, end) == (2, 3_002) and 90 <= edits <= 100
+
+
+def test_one_block_of_passages_per_pass(spark, items):
+    bench = table(spark, "/root/testdata/sf0.001", "benchmark")
+    docs = table(spark, "/root/testdata/sf0.001", "documents").withColumn("item_id", F.lit(1))
+    hit = {r.doc_id for r in docs.select("doc_id", dc.contaminated(docs, bench).alias("hit")).filter("hit").collect()}
+    for letters in (dc.BLOCK, 2000):
+        kept = dc.without_passages(docs, bench, letters_each=letters)
+        assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in kept.collect()} == hit and kept.columns == docs.columns
+    whole, parts = dc.passages(docs, bench), dc.passages(docs, bench, letters_each=2000)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    with pytest.raises(ValueError):
+        dc.contaminated(docs, spark.createDataFrame([(1, "x" * (dc.BLOCK + 1), 0), (2, "y", 0)], ITEMS))
