@@ -27,9 +27,9 @@ from logloom.session import cut_lineage, shuffle_width
 LEAST_REVISIT = 1000
 DICTIONARY = 64 << 10
 LEVEL = 3
-# Bounds of the dictionary sample: records, and bytes of each that may be in it
+# Bounds of the dictionary sample: records, and characters of each payload that are in it
 SAMPLE = 400
-SAMPLE_BYTES = 64 << 10
+SAMPLE_CHARS = 16 << 10
 # Bytes after which an archive is closed and the next begun
 ROLL = 64 << 20
 SKIPPABLE = 0x184D2A5D
@@ -94,13 +94,36 @@ def one_line(url: str) -> str:
     return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def drawn(rows: DataFrame, n: int = SAMPLE) -> DataFrame:
+    """(digest): ``n`` distinct digests of ``rows``, or all if they are fewer.
+
+    Digests that a hash rate lets through, about four times ``n`` whatever the
+    number of rows, copies or partitions is, are all that is shuffled.
+    """
+    marks = rows.select("digest")
+    distinct = marks.agg(F.approx_count_distinct("digest")).first()[0]
+    place = F.pmod(F.xxhash64("digest"), F.lit(1 << 30))
+    some = marks.filter(place < F.lit(int(min(1.0, 4 * n / max(1, distinct)) * (1 << 30)))).distinct()
+    return some.orderBy(place, "digest").limit(n)
+
+
 def dictionary(rows: DataFrame, date: str) -> bytes:
-    """A dictionary of up to ``SAMPLE`` whole records drawn by digest; empty if they are too few.
+    """A dictionary of up to ``SAMPLE`` records of distinct payloads; empty if they are too few to train on.
 
-    Records of more than ``SAMPLE_BYTES`` are not drawn, which bounds the sample.
+    Of a payload the first ``SAMPLE_CHARS`` characters are used, which bounds what
+    the driver takes in, whatever the records and partitions are.
     """
-    drawn = rows.filter(F.col("size") <= SAMPLE_BYTES).orderBy("digest", "page_id").limit(SAMPLE).collect()
-    samples = [record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), r.digest, None, None, date) for r in drawn]
+    chosen = cut_lineage(drawn(rows))
+    # at most SAMPLE digests, so small enough to broadcast; copies are merged before they move
+    records = (
+        rows.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"), "digest")
+        .join(F.broadcast(chosen), "digest", "left_semi")
+        .groupBy("digest")
+        .agg(F.first("html").alias("html"), F.min("page_id").alias("page_id"), F.min("url").alias("url"))
+        .collect()
+    )
+    samples = [record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), r.digest, None, None, date) for r in records]
+    samples.sort()
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -113,7 +136,8 @@ def write(pages: DataFrame, folder: str, date: str, least: int = LEAST_REVISIT,
     Null html is an empty payload, null urls are left out of the record. The
     folder must be shared by all executors and of a scheme that pyarrow knows. A
     task that runs again writes new archives; only those the manifest names count.
-    No rows, no archives. Where records are too few for a dictionary, frames go without.
+    No rows, no archives. Where records are too few to train a dictionary on, frames go
+    without; the manifest says so, its ``dictionary`` is the size of it in bytes.
     """
     rows = places(pages, least)
     content = dictionary(rows, date)
@@ -148,12 +172,12 @@ def write(pages: DataFrame, folder: str, date: str, least: int = LEAST_REVISIT,
             done.append((path, count, size))
         paths = [f"{folder.rstrip('/')}/{p.rpartition('/')[2]}" for p, _, _ in done]
         yield pa.RecordBatch.from_pydict(
-            {"path": paths, "records": [n for _, n, _ in done], "bytes": [s for _, _, s in done]},
-            schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]),
+            {"path": paths, "records": [n for _, n, _ in done], "bytes": [s for _, _, s in done], "dictionary": [len(content)] * len(done)},
+            schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("dictionary", pa.int64())]),
         )
 
     chosen = rows.select("page_id", "url", "html", "digest", "keeper", "keeper_url")
-    return cut_lineage(chosen.mapInArrow(archive, "path string, records long, bytes long"))
+    return cut_lineage(chosen.mapInArrow(archive, "path string, records long, bytes long, dictionary long"))
 
 
 def records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -85,3 +85,30 @@ def test_layout_of_an_archive(spark):
     assert len(whole) == manifest.first().records
     plain = sum(len(zstandard.compress(b)) for _, b in whole)
     assert len(raw) - size < plain and os.path.getsize(path) == manifest.first().bytes
+
+
+def sample_of(spark, pages, parts):
+    return {r.digest for r in warc.drawn(warc.places(pages.repartition(parts)), 400).collect()}
+
+
+def test_dictionary_is_drawn_from_distinct_records_whatever_the_partitions(spark):
+    body = lambda i: f"<html><title>{i}</title>" + " ".join(f"word{(i * 7 + j) % 5000}" for j in range(120))
+    rows = [(i, f"http://x/{i}", body(i)) for i in range(3000)]
+    least = min(rows, key=lambda r: hashlib.sha1(r[2].encode()).hexdigest())
+    rows += [(10_000 + i, "http://copy/", least[2]) for i in range(2000)]
+    rows += [(50_000 + i, "http://long/", body(i) + "z" * 70_000) for i in range(30)]
+    pages = frame(spark, rows)
+    few, many = sample_of(spark, pages, 4), sample_of(spark, pages, 64)
+    assert few == many and len(few) == 400
+    # as many long records as their share, cut to pieces
+    content = warc.dictionary(warc.places(pages), DATE)
+    assert len(content) == warc.DICTIONARY
+    only_long = frame(spark, rows[-30:])
+    assert len(warc.dictionary(warc.places(only_long), DATE)) > 0
+    manifest = warc.write(only_long, scratch_path(spark, "warc-test"), DATE)
+    assert all(r.dictionary > 0 for r in manifest.collect())
+
+
+def test_manifest_says_where_there_is_no_dictionary(spark):
+    manifest, got = round_trip(spark, frame(spark, [(1, "u", "x" * 2000), (2, "u", "y")]))
+    assert [r.dictionary for r in manifest.collect()] == [0] * manifest.count() and len(got) == 2
