@@ -3,14 +3,15 @@
 Each pass hashes every vector to the signs of random projections, concatenated
 into one number, sorts by it and numbers the rows; tiles of ``window`` rows are
 compared with themselves and the next tile, so every pair up to ``window`` places
-apart is verified. Two vectors at the threshold share the first b signs of a pass
-with probability (1 - angle / pi) ** b, and b = log2(rows / window) signs leave
-about ``window`` rows together: the number of passes follows from that and the
-recall asked for, at every size of the table.
-
-Dense clusters hold more vectors of equal first signs than a window. Such cells
-are the exact remainder: all their tiles are compared, each pair of tiles in a
-group of its own. A pair that meets in several passes counts in the first of
+apart is verified.
+
+Cells are vectors of equal first signs. One larger than a window is compared
+whole: all its tiles, each pair of tiles in a group of its own. So two vectors
+that share the first b signs in some pass are always compared, which a pass does
+for a pair at the threshold with probability (1 - angle / pi) ** b, whatever the
+other vectors are. The number of passes follows from that and the recall asked
+for; which b is cheapest follows from the cells of a few passes, measured over
+the whole table. A pair that meets in several passes counts in the first of
 them, which each side can tell from the places both have in earlier passes.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.spread import with_ordinal
+from logloom.functions.spread import lookup_large, with_ordinal
 from logloom.llm.common import group_starts, roots, whole_groups
 from logloom.operators.graph import connected_components
 from logloom.session import cut_lineage, shuffle_width
@@ -33,17 +34,52 @@ from logloom.session import cut_lineage, shuffle_width
 WINDOW = 512
 RECALL = 0.98
 SIGNS = 62
-# Signs beyond those that leave a window of evenly spread rows, for cells
-DENSER = 4
+# Passes whose cells are measured before the plan is made
+PROBES = 2
+# What a row costs in a pass beside comparisons, and a copy of it for a dense cell, in comparisons
+PASS_COST = 400
+COPY_COST = 300
 SEED = 7
 
 
-def passes_for(rows: int, threshold: float, window: int, recall: float) -> tuple[int, int]:
-    """(passes, first signs of a cell) for an expected recall at the threshold itself."""
-    signs = max(0.0, math.log2(max(1, rows) / window))
+def passes_at(signs: int, threshold: float, recall: float) -> int:
+    """Passes after which a pair at the threshold has shared the first ``signs`` in one with probability ``recall``."""
     together = (1 - math.acos(threshold) / math.pi) ** signs
-    passes = 1 if together >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - together))
-    return passes, min(SIGNS, math.ceil(signs) + DENSER)
+    return 1 if together >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-together)))
+
+
+def cheapest(crowd: dict[int, float], rows: int, threshold: float, window: int, recall: float) -> tuple[int, int]:
+    """(passes, signs) of least cost. ``crowd`` has for numbers of signs how many rows the cell of a row holds on average."""
+
+    def cost(signs: int) -> float:
+        beyond = max(0.0, crowd[signs] - 2 * window)
+        return passes_at(signs, threshold, recall) * (PASS_COST + 1.5 * min(window, rows) + beyond / 2 + beyond / window * COPY_COST)
+
+    signs = min(crowd, key=lambda s: (cost(s), s))
+    return passes_at(signs, threshold, recall), signs
+
+
+def signs_tried(rows: int, window: int) -> list[int]:
+    even = max(0, math.ceil(math.log2(max(1, rows) / window)))
+    return [s for s in range(SIGNS + 1) if s == 0 or even - 2 <= s <= even + 12]
+
+
+def passes_for(rows: int, threshold: float, window: int, recall: float) -> tuple[int, int]:
+    """(passes, signs) for evenly spread vectors."""
+    return cheapest({s: max(1.0, rows / 2**s) for s in signs_tried(rows, window)}, rows, threshold, window, recall)
+
+
+def plan(distinct: DataFrame, threshold: float, window: int, recall: float, kind: str) -> tuple[int, int]:
+    """(passes, first signs of a cell), from the cells that ``PROBES`` passes make of all vectors."""
+    rows = distinct.count()
+    tried = signs_tried(rows, window)
+    keys = with_keys(distinct, PROBES, kind)
+    cells = keys.select(
+        "pass", "dim", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.shiftright("key", SIGNS - s).alias("cell")) for s in tried])).alias("c")
+    )
+    sizes = cells.groupBy("pass", "dim", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    crowd = sizes.groupBy("c.s").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).collect()
+    return cheapest({r.s: r.pairs / (PROBES * rows) for r in crowd}, rows, threshold, window, recall) if crowd else (1, 0)
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -217,7 +253,7 @@ def near_vectors(
     distinct = cut_lineage(
         rows.groupBy("mark", "dim", "raw").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     )
-    passes, signs = passes_for(distinct.count(), threshold, window, recall)
+    passes, signs = plan(distinct, threshold, window, recall, kind)
     spots = cut_lineage(placed(distinct, passes, signs, window, kind))
     found = cut_lineage(verified(tasks(spots, passes), threshold, kind))
     n_links = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "mark")
@@ -225,14 +261,14 @@ def near_vectors(
     linked = found.select(F.col("a").alias("node")).distinct()
     members = connected_components(linked, edges).withColumnRenamed("node", "mark")
     names = members.join(distinct, "mark").groupBy("component").agg(F.min("first").alias("name"))
-    named = members.join(names, "component").select("mark", "name")
+    named = lookup_large(members, names, ["component"], ["mark"], how="inner").select("mark", "name")
     per_mark = (
         distinct.select("mark", "first", "copies")
         .join(n_links, "mark", "left")
         .join(named, "mark", "left")
         .select("mark", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "first").alias("component_id"))
     )
-    linking = rows.select("id", "mark").join(per_mark, "mark").select("id", "n_links", "component_id")
+    linking = lookup_large(rows.select("id", "mark"), per_mark, ["mark"], ["id"], how="inner").select("id", "n_links", "component_id")
     return linking.unionByName(alone(vectors, id_col, vector_col))
 
 

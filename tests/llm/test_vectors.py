@@ -86,3 +86,53 @@ def test_doubles_and_other_names(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def off_centre(rng, n, dim=64, inner=16):
+    """Vectors of ``inner`` dimensions, tilted towards one direction: mean cosine about 0.7."""
+    base = rng.normal(size=(inner, dim)) / np.sqrt(inner)
+    v = rng.normal(size=(n, inner)) @ base
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tilt = rng.normal(size=dim)
+    return v + 1.6 * tilt / np.linalg.norm(tilt)
+
+
+def test_recall_on_off_centre_vectors_of_few_dimensions(spark):
+    rng = np.random.default_rng(8)
+    v = off_centre(rng, 49_000)
+    near = v[:1000] + rng.normal(size=(1000, 64)) * 0.05
+    v = np.concatenate([v, near]).astype("f4")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    assert 0.6 < np.mean(unit[:200] @ unit[200:400].T) < 0.8
+    true = np.concatenate([(unit[i : i + 1000] @ unit.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(unit), 1000)])
+    frame = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")
+    got = {r.id: r.n_links for r in vectors.near_vectors(frame.repartition(8)).collect()}
+    found = np.array([got[i] for i in range(len(v))])
+    assert (found <= true).all() and true.sum() > 100_000
+    assert found.sum() >= 0.95 * true.sum()
+    # a near copy of a row is linked with something
+    assert (found[49_000:] > 0).mean() >= 0.95
+
+
+def test_plan_follows_the_cells():
+    even = {s: max(1.0, 50_000 / 2**s) for s in vectors.signs_tried(50_000, 512)}
+    crowded = {s: max(1.0, 50_000 / 1.3**s) for s in even}
+    for crowd in (even, crowded):
+        passes, signs = vectors.cheapest(crowd, 50_000, 0.9, 512, 0.98)
+        together = (1 - math.acos(0.9) / math.pi) ** signs
+        assert 1 - (1 - together) ** passes >= 0.98
+    assert vectors.cheapest(crowded, 50_000, 0.9, 512, 0.98)[1] >= vectors.cheapest(even, 50_000, 0.9, 512, 0.98)[1]
+
+
+def test_planted_links_at_the_size_of_the_query(spark):
+    """The given vectors with near copies of some: every planted link is found, none besides true ones."""
+    rng = np.random.default_rng(4)
+    given = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rows = given + [(10**6 + i, (np.array(v) + rng.normal(size=len(v)) * 0.02).tolist()) for i, v in given[::3]]
+    unit = np.array([v for _, v in rows], dtype="f4").astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.id: r for r in vectors.near_vectors(frame).collect()}
+    assert [got[i].n_links for i, _ in rows] == (near.sum(axis=1) - 1).tolist() and (near.sum(axis=1) > 1).sum() > 1000
+    assert all(got[10**6 + i].component_id <= i for i, _ in given[::3])
