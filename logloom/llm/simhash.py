@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.spread import lookup_large
 from logloom.llm.common import group_starts, roots, splitmix, whole_groups
 from logloom.operators.graph import connected_components
 from logloom.session import cut_lineage
@@ -188,8 +189,10 @@ def near_groups(
     names = (
         members.join(marks, "fp").groupBy("component").agg(F.min("first").alias("name"))
     )
-    named = members.join(names, "component").select("fp", "name", "component")
+    named = lookup_large(members, names, ["component"], ["fp"], how="inner").select("fp", "name", "component")
     per_mark = marks.join(named, "fp", "left").select(
         "fp", F.coalesce("name", "first").alias("component_id"), F.coalesce("component", "fp").alias("group_fp")
     )
-    return marked.join(per_mark, "fp").select("id", "fp", "component_id", *([*rows, "group_fp"] if rows else []))
+    # copies and wordless texts may share one fingerprint by the third of all rows
+    named = lookup_large(marked, per_mark, ["fp"], ["id", *rows], how="inner")
+    return named.select("id", "fp", "component_id", *([*rows, "group_fp"] if rows else []))
