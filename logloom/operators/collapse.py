@@ -39,7 +39,7 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
     A search is judged by its text and time only, so copies are reduced first,
     and no pair of searches is ever formed. Every distinct (text, time) is sent
     to those prefixes of its text that are as long as some query of the dataset
-    at about that time. For each prefix and time the greatest order key arriving there is kept; the
+    at about that time, as digests of them. For each prefix and time the greatest order key arriving there is kept; the
     prefix is superseded at time t if something arrives after t within the
     window, or at t with a greater order key. Windows run over blocks of time, no
     shorter than ``seconds`` and each a bounded number of distinct times, with the
@@ -74,7 +74,8 @@ def superseded(searches: DataFrame, seconds: int = TIME_WINDOW) -> DataFrame:
         )
         .select(
             "dataset_id",
-            F.expr("substr(q, 1, _n)").alias("prefix"),
+            # 128 bits stand for the prefix, so what is shuffled grows with the number of lengths, not with their sum
+            F.unhex(F.md5(F.expr("substr(q, 1, _n)"))).alias("prefix"),
             "t",
             "key",
             F.when(F.col("_n") == F.char_length("q"), F.col("key")).alias("own"),

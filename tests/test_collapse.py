@@ -130,3 +130,12 @@ def test_silent_dataset_is_decided(spark, tmp_path):
     out = str(tmp_path / "out")
     collapse_stream(stream, out, str(tmp_path / "state"), str(tmp_path / "c"), continuous=False).awaitTermination()
     assert {r.id for r in spark.read.parquet(out).collect()} == {"1", "2"}
+
+
+def test_prefixes_are_shuffled_as_digests(spark):
+    from logloom.operators.collapse import superseded
+
+    rows = [("d", "a", "abc", 1), ("d", "b", "abcd", 2)]
+    frame = spark.createDataFrame(rows, "dataset_id string, id string, query string, created_at long")
+    plan = superseded(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(md5(" in plan and [tuple(r) for r in superseded(frame).collect()] == [("d", "a")]

@@ -280,3 +280,30 @@ def test_oversize_syslog_is_refused(spark):
     assert logs.syslog(lines, max_bytes=50).count() == 2
     assert [r.error_type for r in logs.syslog_refused(lines, max_bytes=50).collect()] == ["oversize"]
     assert logs.syslog(lines, max_bytes=None).count() == 3
+
+
+def test_volume_alerts_on_a_stream_with_late_rows(spark, tmp_path):
+    """Rows behind the watermark do not count any more; a window is given out once it is over."""
+    from logloom.operators.monitoring import volume_alerts
+
+    base = 1_717_200_000
+    batches = [
+        [(base + s, "a") for s in (0, 10, 20, 30)] + [(base + 40, "b")],
+        [(base + 900, "a")],
+        # of the first window: too late by then
+        [(base + s, "b") for s in (1, 2, 3, 4)] + [(base + 901, "a"), (base + 902, "a"), (base + 903, "a")],
+        [(base + 3600, "b")],
+        [(base + 7200, "b")],
+    ]
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "s long, class_name string").selectExpr("timestamp_seconds(s) AS time", "class_name")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/batch={n}")
+        stream = spark.readStream.schema("time timestamp, class_name string").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = (
+            volume_alerts(stream, "time", "class_name", 3, "5 minutes", late="10 minutes")
+            .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
+            .trigger(availableNow=True).start(f"{tmp_path}/out")
+        )
+        query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("unix_seconds(window_start) AS s", "class_name", "events").collect()
+    assert sorted(map(tuple, got)) == [(base, "a", 4), (base + 900, "a", 4)]

@@ -161,3 +161,87 @@ def test_clusters_in_blocks_and_small_groups(spark, monkeypatch):
         found = {got[f"{label}-{i:02d}"][0] for i in range(20)} - {None}
         assert len(found) == 1 and next(iter(found)).startswith(f"{label}-")
     assert all(0 <= p <= 1 for _, p in got.values())
+
+
+def test_index_reads_what_may_reach_the_result(spark):
+    """A few chunks share rare words with a query: only runs and postings about them are read."""
+    from pyspark.sql import functions as F
+
+    from logloom.operators import postings
+
+    rng = random.Random(5)
+    rows = [(i, f"common{j}", 0.1 + rng.random() / 10) for i in range(3000) for j in range(5)]
+    rows += [(i, f"rare{i % 50}", 3.0 + i / 10_000) for i in range(0, 3000, 7)]
+    index = postings.build(spark.createDataFrame(rows, "chunk_id int, token string, weight double"), run_chunks=16)
+    asked = [(q, t, 1.0) for q in range(20) for t in [f"rare{q}", *(f"common{j}" for j in range(5))]]
+    queries = spark.createDataFrame(asked, "query_id int, token string, weight double")
+    held = {}
+    for c, t, w in rows:
+        held.setdefault(t, {})[c] = w
+    got = {}
+    for r in postings.best(queries, index, 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score))
+    for q in range(20):
+        total = {}
+        for t in [f"rare{q}", *(f"common{j}" for j in range(5))]:
+            for c, w in held[t].items():
+                total[c] = total.get(c, 0) + w
+        want = sorted(((-round(s, 6), c) for c, s in total.items()))[:3]
+        assert [(c, s) for _, c, s in sorted(got[q])] == [(c, -s) for s, c in want]
+    known = postings.asked_tokens(queries, index)
+    floors = postings.floors(known, index, 3)
+    assert floors.count() == 20
+    # the common words cannot decide: what is looked at are the chunks with the rare one
+    met = postings.reaching(known, index, floors)
+    assert met.count() < 0.05 * 20 * 3000
+    assert met.join(floors, "query_id").filter(F.col("score") < F.col("floor") - 1e-5).count() == 0
+
+
+def test_index_with_negative_weights_and_few_matches(spark):
+    from logloom.operators import postings
+
+    rows = [(1, "a", -1.0), (2, "a", 2.0), (2, "b", -3.0), (3, "b", 1.0), (4, "c", 0.0)]
+    queries = [("q", "a", 1.0), ("q", "b", 2.0), ("z", "none", 1.0), ("c", "c", 5.0)]
+    index = postings.build(spark.createDataFrame(rows, "chunk_id int, token string, weight double"), run_chunks=1)
+    found = postings.best(spark.createDataFrame(queries, "query_id string, token string, weight double"), index, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in found) == [
+        ("c", 1, 4, 0.0), ("q", 1, 3, 2.0), ("q", 2, 1, -1.0), ("q", 3, 2, -4.0)
+    ]
+
+
+def test_cells_score_a_small_share_of_clustered_vectors(spark):
+    from logloom.operators import cells
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[i % 60] + rng.normal(size=24) * 0.15).tolist()) for i in range(6000)]
+    rows += [(10_000, [0.0] * 24), (10_001, None), (10_002, [float("nan")] * 24)]
+    queries = [(i, (centres[i % 60] + rng.normal(size=24) * 0.15).tolist()) for i in range(200)] + [(900, [0.0] * 24)]
+    frame = spark.createDataFrame(rows, "chunk_id int, vector array<double>")
+    asked = spark.createDataFrame(queries, "query_id int, vector array<double>")
+    index = cells.build(frame)
+    found = cells.best(asked, index, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    x = np.array([v for _, v in rows[:6000]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ranks = {}
+    for q, v in queries[:200]:
+        score = np.round(x @ (np.array(v) / np.linalg.norm(v)), 6)
+        order = np.lexsort([np.arange(6000), -score])
+        ranks[q] = {int(c): n for n, c in enumerate(order, 1)}
+        assert [c for _, c in sorted(got[q])] == order[:5].tolist()
+    assert set(got) == set(range(200))
+    assert cells.scored_pairs(asked, index, 5, found) < 200 * 6000 / 5
+    # ranks far down are counted exactly, most cells whole
+    wanted = [(q, c) for q in range(0, 200, 40) for c in (0, 17, 3000, 5999)]
+    deep = cells.ranks_of(spark.createDataFrame(wanted, "query_id int, chunk_id int"), asked, index).collect()
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in deep) == sorted((q, c, ranks[q][c]) for q, c in wanted)
+
+
+def test_search_plans_have_no_pairs_of_blocks(spark):
+    chunks = spark.createDataFrame([("c1", "a b"), ("c2", "b c")], "chunk_id string, content string")
+    asked = spark.createDataFrame([("q", "b")], "query_id string, query string")
+    plan = retrieval.search(asked, chunks, "bm25", 2)._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "CoGroup" not in plan

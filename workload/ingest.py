@@ -132,6 +132,15 @@ WHERE (readable OR n % 43 = 1) AND (inner_object OR n % 41 <> 2)
 """
 
 
+def syslog_refused_lines(spark, path):
+    """Messages as lines, of which those of more than 18 bytes are refused."""
+    lines = view(spark, path, LOGS).select("n", F.col("message").alias("value"))
+    return source.syslog_refused(lines, max_bytes=18)
+
+
+SYSLOG_REFUSED = f"SELECT n, message AS value, 'oversize' AS error_type FROM ({LOGS}) l WHERE strlen(message) > 18"
+
+
 def syslog_lines(spark, path):
     logs = view(spark, path, LOGS)
     n = F.col("n")
@@ -523,6 +532,7 @@ ENTRIES = {
     "agent_normalize": (agent_normalize, AGENT_NORMALIZE),
     "agent_complete": (agent_complete, AGENT_COMPLETE),
     "syslog_lines": (syslog_lines, SYSLOG_LINES),
+    "syslog_refused_lines": (syslog_refused_lines, SYSLOG_REFUSED),
     "windows_xml": (windows_xml, WINDOWS_XML),
     "windows_channels": (windows_channels, WINDOWS_CHANNELS),
     "critical_events": (critical_events, CRITICAL_EVENTS),

@@ -315,10 +315,7 @@ SELECT query_id, chunk_id, round(s, 6) AS cross_encoder_score, new_rank FROM n W
 
 def embedded_messages(spark, path):
     """Vectors of all conversation turns: the sign of every component; empty texts without one."""
-    turns = tables(spark, path)["conversations"].withColumn(
-        "text", F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(F.col("text"))
-    )
-    rows = embed(turns, "text")
+    rows = embed(tables(spark, path)["conversations"], "text")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     signs = F.transform("vector", lambda v: F.when(v > 0, "+").when(v < 0, "-").otherwise("0"))
     return rows.select(
@@ -327,7 +324,7 @@ def embedded_messages(spark, path):
 
 
 EMBEDDED = """
-WITH m AS (SELECT conv_id, turn, text, turn % 5 = 4 OR trim(text) = '' AS blank FROM conversations),
+WITH m AS (SELECT conv_id, turn, text, coalesce(trim(text), '') = '' AS blank FROM conversations),
 t AS (SELECT conv_id, turn, md5_number_lower(unnest(list_concat(['search', 'for'],
   list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')))) AS code FROM m WHERE NOT blank),
 v AS (SELECT conv_id, turn, CAST((code // 2) % 64 AS BIGINT) AS d, sum(CASE WHEN code % 2 = 1 THEN 1 ELSE -1 END) AS x FROM t GROUP BY ALL),
