@@ -131,7 +131,8 @@ def conversations(messages: DataFrame, top: int | None = None, loss_role: str =
     Returns (tree_id, leaf_id, rank, score, n_turns, formatted, loss_spans). Turns
     are marked by control strings, which texts and roles hold escaped. Loss spans
     (start, end) cover the escaped text of each ``loss_role`` turn, in code points
-    of ``formatted``, end exclusive. No messages, no conversations.
+    of ``formatted``, end exclusive. No messages, no conversations. Messages on a
+    cycle of replies, or behind one, have no root and are in no conversation.
     """
     trees = cut_lineage(reply_trees(messages))
     sums, jumps = ancestors(trees)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.llm import quality
@@ -67,3 +68,30 @@ def test_empty_tables(spark):
     assert docs.select(quality.score(F.col("text"), model)).collect() == []
     one = spark.createDataFrame([(1, "text", None, None, None)], DOCS)
     assert one.select(quality.score(F.col("text"), model).alias("s")).first().s == pytest.approx(0.5)
+
+
+def test_query_against_a_plain_version(spark):
+    """Scores of the registered query, text by text with compressors of their own."""
+    import zlib
+
+    import zstandard
+
+    from logloom.llm.queries import op4_quality
+
+    path = "/root/testdata/sf0.01"
+    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    model = quality.fit(docs.filter(~held_out()), labels.filter(~held_out()))
+
+    def size(raw, content):
+        shared = zstandard.ZstdCompressionDict(content)
+        side = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(side.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    found = op4_quality(spark, path).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found[::7]:
+        raw = texts[r.doc_id]
+        x = (size(raw, model.bad) - size(raw, model.good)) / max(1, len(raw))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.shift))), abs=1e-9)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in found)

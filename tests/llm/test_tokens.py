@@ -67,3 +67,17 @@ def test_given_documents(spark, library):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in tokens.token_counts(docs, TOKENIZER).collect():
         assert r.n_tokens == count(library, text[r.id])
+
+
+def test_blocks_closed_inside_a_partition(spark, library, monkeypatch):
+    """Small limits, which travel with the functions that tasks run: many blocks per partition, units and sums passed on early."""
+    for name, value in (("PAIRS", 40), ("DOCUMENTS", 7), ("UNITS", 5), ("SUMS", 3)):
+        monkeypatch.setattr(tokens, name, value)
+    rows = [(i, t, "w", 1, 2) for i, t in enumerate(texts())]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = f.read()
+    blocks = tokens.frequencies(frame, spec, "doc_id", "text").select("block").distinct().collect()
+    assert len(blocks) > len(rows) / 7 and any(r.block & 0xFFFFFFFF > 5 for r in blocks)
+    got = {r.id: r.n_tokens for r in tokens.token_counts(frame, TOKENIZER).collect()}
+    assert got == {r[0]: count(library, r[1]) for r in rows}
