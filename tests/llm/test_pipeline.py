@@ -27,6 +27,10 @@ def test_registered_queries_return_every_row(spark, name):
     if name.startswith("op7"):
         assert rows and sql is None
         return
+    if name.startswith(("op12", "op13")):
+        # phrases and words, not documents
+        assert rows
+        return
     source = table(spark, SF, tables.get(name.split("_")[0], "documents"))
     want = source.select("conv_id").distinct().count() + 1 if name.startswith("op1_") else source.count()
     assert len(rows) == want
