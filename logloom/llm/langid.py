@@ -12,9 +12,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from logloom.session import cut_lineage
 UNKNOWN = "und"
 # Characters of training text per language: the bound of the fitted sample
 SAMPLE_CHARS = 300_000
+# Characters of training text of one language times the square of their number, at most: bounds the
+# model, which has a column per language (14 languages get all of SAMPLE_CHARS, 100 get 6,700)
+MODEL_CELLS = 1 << 26
 # Characters of a block of training text, and those a word begun in it may have beyond it
 BLOCK_CHARS = 1_000
 WORD_CHARS = 100
@@ -37,13 +43,32 @@ EDGE = "\x02"
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies per language: ``words`` and ``grams`` name rows of ``logs``."""
+    """Log frequencies per language: a row of ``logs`` for each of ``items``, words (``kinds`` 0) and n-grams.
+
+    Items are one column of text, not objects; workers make dictionaries of them.
+    """
 
     languages: tuple[str, ...]
-    words: dict[str, int]
-    grams: dict[str, int]
+    items: pa.Array
+    kinds: np.ndarray
     logs: np.ndarray
 
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return self._named(self.kinds == 0)
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return self._named(self.kinds > 0)
+
+    def _named(self, which: np.ndarray) -> dict[str, int]:
+        at = np.flatnonzero(which)
+        return dict(zip(self.items.take(pa.array(at)).to_pylist(), at.tolist()))
+
+    def __getstate__(self):
+        """The columns only, not what was made of them."""
+        return {k: self.__dict__[k] for k in ("languages", "items", "kinds", "logs")}
+
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of log frequencies per word; zeros where nothing is known of it."""
         out = np.zeros((len(words), len(self.languages)))
@@ -115,9 +140,11 @@ def words_of(text: str, start: Column, size: int) -> Column:
 def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
     """A model of the languages in ``labelled`` (lang, text), counted by Spark over the sample.
 
-    Its size is bounded by ``chars`` per language. Without labelled rows it knows no language.
+    Its size is bounded by ``chars`` per language, and less of each where languages
+    are many (``MODEL_CELLS``). Without labelled rows it knows no language.
     """
-    rows = cut_lineage(sample(labelled, chars))
+    known = labelled.filter("lang is not null").select("lang").distinct().count()
+    rows = cut_lineage(sample(labelled, min(chars, max(1, MODEL_CELLS // max(1, known) ** 2))))
     words = cut_lineage(
         rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("item"))
         .groupBy("lang", "item")
@@ -129,7 +156,8 @@ def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
             "lang",
             "n",
             F.explode(
-                F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))
+                # one parameter: a second would be the place in the list
+                F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
             ).alias("item"),
         )
         for n in ORDERS
@@ -139,19 +167,31 @@ def fit(labelled: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
         counted = counted.unionByName(
             frame.groupBy("lang", "item").agg(F.sum("n").alias("n")).select(F.lit(n).alias("kind"), "lang", "item", "n")
         )
-    table = counted.toPandas()
-    languages = tuple(sorted(table["lang"].unique()))
-    names: dict[int, dict[str, int]] = {}
-    logs, used = [np.zeros((0, len(languages)))], 0
-    for kind, part in table.groupby("kind"):
-        rows, items = pd.factorize(part["item"])
-        counts = np.zeros((len(items), len(languages)))
-        np.add.at(counts, (rows, np.searchsorted(languages, part["lang"].to_numpy(dtype=object))), part["n"])
-        logs.append(np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(items))))
-        names[kind] = dict(zip(items, range(used, used + len(items))))
-        used += len(items)
-    grams = {k: v for n in ORDERS for k, v in names.get(n, {}).items() if k != EDGE}
-    return Model(languages, names.get(0, {}), grams, np.concatenate(logs))
+    return of_counts(counted.toArrow())
+
+
+def of_counts(table: pa.Table) -> Model:
+    """The model of counts (kind, lang, item, n); of an n-gram of only a boundary nothing is kept."""
+    table = table.filter(pc.not_equal(table["item"], EDGE)).combine_chunks()
+    languages = tuple(sorted(pc.unique(table["lang"]).to_pylist()))
+    table = table.sort_by([("kind", "ascending"), ("item", "ascending")])
+    kind = table["kind"].to_numpy()
+    item = table["item"].combine_chunks()
+    item = item.chunk(0) if isinstance(item, pa.ChunkedArray) else item
+    new = np.ones(len(kind), dtype=bool)
+    if len(kind):
+        new[1:] = (kind[1:] != kind[:-1]) | pc.not_equal(item.slice(1), item.slice(0, len(item) - 1)).to_numpy(zero_copy_only=False)
+    row = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    counts = np.zeros((len(first), len(languages)), dtype=np.float64)
+    column = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
+    counts[row, column] = table["n"].to_numpy()
+    kinds, logs = kind[first].astype(np.int8), counts.astype(np.float32)
+    for one in np.unique(kinds):
+        at = slice(*np.searchsorted(kinds, [one, one + 1]))
+        part = counts[at]
+        logs[at] = np.log((part + SMOOTH) / (part.sum(axis=0) + SMOOTH * len(part)))
+    return Model(languages, item.take(pa.array(first)), kinds, logs)
 
 
 class Scorer:

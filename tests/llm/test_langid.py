@@ -109,3 +109,48 @@ def test_blocks_hold_whole_words_once(spark, monkeypatch):
     found = sorted(w for r in rows if r.lang == "de" for w in langid.TOKEN.findall(r.text))
     assert found == sorted(langid.TOKEN.findall(text))
     assert any(r.lang == "xx" for r in rows) and all(len(r.text) <= 20 + 20 for r in rows)
+
+
+def test_whole_texts_against_a_plain_version(spark, model):
+    """Sum, greatest language and score of every text, word by word."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {}
+    for doc, lang, score in predict(spark, docs, model):
+        words = langid.TOKEN.findall((texts[doc] or "").lower())
+        for w in set(words) - known.keys():
+            known[w] = np.asarray(slow_word(model, w), dtype=float)
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        rows = np.array([known[w] for w in words])
+        odds = np.exp(rows - rows.max(axis=1, keepdims=True))
+        share = (odds / odds.sum(axis=1, keepdims=True)).mean(axis=0)
+        sums = rows.sum(axis=0)
+        assert sums[model.languages.index(lang)] == pytest.approx(sums.max(), rel=1e-5)
+        assert score == pytest.approx(share[model.languages.index(lang)], abs=1e-4)
+
+
+def test_fit_counts_the_sample(spark):
+    from collections import Counter
+    import re
+
+    rows = [(1, "Das Haus, das Auto", "de"), (2, "the house the car the", "en"), (3, "ñandú the", "es"), (4, "12 -", "de"), (5, None, "en"), (6, "x", None)]
+    frame = spark.createDataFrame([(i, t, lang, 0.0, "h", 1) for i, t, lang in rows], SCHEMA)
+    model = langid.fit(frame)
+    assert model.languages == ("de", "en", "es")
+    words, grams = {}, {n: {} for n in langid.ORDERS}
+    for i, lang in enumerate(model.languages):
+        for w, k in Counter(w for _, t, own in rows if own == lang for w in re.findall(r"[a-zñú]+", (t or "").lower())).items():
+            words.setdefault(w, [0, 0, 0])[i] += k
+            marked = langid.EDGE + w + langid.EDGE
+            for n in langid.ORDERS:
+                for at in range(len(marked) - n + 1):
+                    grams[n].setdefault(marked[at : at + n], [0, 0, 0])[i] += k
+    for own, table_ in ((model.words, [words]), (model.grams, [{g: c for g, c in grams[n].items() if g != langid.EDGE} for n in langid.ORDERS])):
+        assert set(own) == set().union(*table_)
+        for part in table_:
+            total = np.sum(list(part.values()), axis=0)
+            for item, counts in part.items():
+                want = np.log((np.array(counts) + langid.SMOOTH) / (total + langid.SMOOTH * len(part)))
+                assert np.allclose(model.logs[own[item]], want, atol=1e-5), item
