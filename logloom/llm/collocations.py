@@ -4,8 +4,10 @@ Pass one keeps, per hash partition of the n-grams, a Misra-Gries summary. Tasks
 summarise their texts, summaries of a partition are merged: counts are added, and
 if more keys are left than the capacity, the count of the first key too many is
 taken from all. A partition's capacity exceeds its mass divided by the threshold,
-so what a key loses over all merges stays below the threshold, and every n-gram
-that reaches it survives. Pass two counts the survivors exactly.
+several times, so what a key loses over all merges stays well below the threshold,
+and every n-gram that reaches it survives. What all keys lost is known, and keys
+that cannot reach the threshold with it are dropped. Pass two counts the survivors
+exactly.
 
 A phrase occurs at most as often as its words and shorter phrases, so the passes
 go by size: words are counted, pairs of frequent words are summarised, and longer
@@ -34,12 +36,16 @@ LEAST = 100
 TOP = 2000
 # Bytes of text a task works on at a time
 CHUNK = 4 << 20
+# How often a partition's capacity exceeds its mass over the threshold
+ROOM = 4
+# Phrases that a task counts before it passes them on
+HELD = 1 << 18
 # Keys that a partition's summary may hold; more mass is dealt to more partitions
 CAPACITY = 1 << 21
 # Bits per survivor of the table that passes them on, and bounds of its size as powers of two
 BITS_EACH = 16
 LEAST_BITS, MOST_BITS = 20, 28
-SLICE = 19
+SLICE = 15
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 BREAK = b"\n"
@@ -203,16 +209,18 @@ class Grams:
                     yield size, at, mixed(h)
 
 
-def merged(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """One Misra-Gries summary of at most ``capacity`` keys out of summaries laid end to end."""
+def merged(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One Misra-Gries summary of at most ``capacity`` keys out of summaries laid end to end, and what each count lost at most."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     keys, counts = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+    lost = 0
     if len(keys) > capacity:
-        counts = counts - np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1]
+        lost = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+        counts = counts - lost
         keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
+    return keys, counts, lost
 
 
 def survivors(
@@ -250,18 +258,18 @@ def survivors(
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mass, keys, counts, waiting, held = None, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        at, mass, lost, keys, counts, waiting, held = None, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
         def settle():
-            nonlocal keys, counts, waiting, held
-            keys, counts = merged(
-                np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]), mass // least + 1
+            nonlocal keys, counts, lost, waiting, held
+            keys, counts, more = merged(
+                np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([counts, *(c for _, c in waiting)]), ROOM * mass // least + 1
             )
-            waiting, held = [], 0
+            lost, waiting, held = lost + more, [], 0
 
         def done() -> pa.RecordBatch:
             settle()
-            return pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64))})
+            return pa.RecordBatch.from_pydict({"h": pa.array(keys[counts + lost >= least].view(np.int64))})
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(5)]
@@ -269,13 +277,13 @@ def survivors(
                 if part != at:
                     if at is not None:
                         yield done()
-                    at, mass, keys, counts = part, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    at, mass, lost, keys, counts = part, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if kind == 0:
                     mass += own
                     continue
                 waiting.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)))
                 held += len(waiting[-1][0])
-                if held > mass // least + (1 << 18):
+                if held > ROOM * mass // least + (1 << 18):
                     settle()
         if at is not None:
             yield done()
@@ -292,15 +300,16 @@ def exact_counts(rows: DataFrame, words, pairs, kept, sizes: Sequence[int], size
     """(lang, phrase, size, n): exact counts of the n-grams that the broadcast ``kept`` lets through."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Counter] = {}
         for lang, raw in chunks(batches, size):
             grams = Grams(lang, raw, words.value, pairs.value)
             for length, at, h in grams(sizes):
                 keep = kept.value.holds(h)
-                # two phrases of one hash would be counted as one: told apart by what they say
-                found = Counter()
+                found = held.setdefault((lang, length), Counter())
                 h, at = h[keep], at[keep]
                 _, first, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 own = grams.own
+                # two phrases of one hash would be counted as one: told apart by what they say
                 same = np.ones(len(h), dtype=bool)
                 for i in range(length):
                     same &= own[at + i] == own[at[first][back] + i]
@@ -309,14 +318,21 @@ def exact_counts(rows: DataFrame, words, pairs, kept, sizes: Sequence[int], size
                         found[b" ".join(grams.tokens[a : a + length])] += n
                 else:
                     found.update(b" ".join(grams.tokens[a : a + length]) for a in at.tolist())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": pa.array([lang] * len(found), pa.string()),
-                        "phrase": texts(found),
-                        "size": pa.array([length] * len(found), pa.int32()),
-                        "n": pa.array(found.values(), pa.int64()),
-                    }
-                )
+            if sum(map(len, held.values())) > HELD:
+                yield from counted(held)
+                held = {}
+        yield from counted(held)
+
+    def counted(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, length), found in held.items():
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([lang] * len(found), pa.string()),
+                    "phrase": texts(found),
+                    "size": pa.array([length] * len(found), pa.int32()),
+                    "n": pa.array(found.values(), pa.int64()),
+                }
+            )
 
     part = rows.mapInArrow(of, "lang string, phrase string, size int, n long")
     return part.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
@@ -342,7 +358,7 @@ def frequent_phrases(
     width = shuffle_width(spark)
 
     def parts(of: int) -> int:
-        return max(width, -(-of // (least * capacity)))
+        return max(width, -(-ROOM * of // (least * capacity)))
 
     def share(hashes: DataFrame):
         return spark.sparkContext.broadcast(Bits.of(hashes))
