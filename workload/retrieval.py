@@ -12,6 +12,7 @@ from logloom.operators.monitoring import with_overrides
 from logloom.operators.rerank import rerank
 from logloom.plans.classify import answer, best_class, classify
 from logloom.session import scratch_path
+from logloom.sinks.store import KeyedStore
 from logloom.sinks.tables import store_answers, store_best
 from workload.inputs import CHUNKS, CLASSES, FIELDS, QUERIES, tables, view
 
@@ -399,6 +400,26 @@ def chunk_delete(spark, path):
 CHUNK_DELETE = f"SELECT * FROM ({CHUNK_ROWS}) c WHERE chunk_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0)"
 
 
+def chunk_store(spark, path):
+    """The chunk table as a store: filled, changed, compacted, bad chunks deleted, the changed ones of them put in again."""
+    rows = doc_chunks(spark, path)
+    kept = KeyedStore(spark, scratch_path(spark, "chunks"), rows._jdf.schema().toDDL(), ["chunk_id"], ["version"], ["content"], 16)
+    kept.create(rows)
+    changes = store.create_chunks(chunk_changes(spark, path))
+    kept.upsert(changes, 1)
+    kept.compact(1)
+    kept.delete(tables(spark, path)["labels"].filter("quality = 0").select(F.col("doc_id").cast("string").alias("chunk_id")), 2)
+    kept.upsert(changes.filter("version = 0"), 3)
+    return chunk_columns(kept.read())
+
+
+CHUNK_STORE = f"""
+WITH s AS (SELECT * FROM ({CHUNK_UPSERT}) c WHERE chunk_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0))
+SELECT chunk_id, content, n_metadata, tags, version FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY version DESC, fresh DESC) AS r
+  FROM (SELECT *, 0 AS fresh FROM s UNION ALL SELECT *, 1 FROM ({CHANGES}) b WHERE version = 0) u) v WHERE r = 1"""
+
+
 def chunk_refresh(spark, path):
     """Chunks whose text is new or changed since the table was filled."""
     fresh = doc_chunks(spark, path).withColumn(
@@ -488,6 +509,7 @@ ENTRIES = {
     "embedded_messages": (embedded_messages, EMBEDDED),
     "chunk_rows": (chunk_rows, CHUNK_ROWS),
     "chunk_upsert": (chunk_upsert, CHUNK_UPSERT),
+    "chunk_store": (chunk_store, CHUNK_STORE),
     "chunk_delete": (chunk_delete, CHUNK_DELETE),
     "chunk_refresh": (chunk_refresh, CHUNK_REFRESH),
     "chunk_groups": (chunk_groups, CHUNK_GROUPS),

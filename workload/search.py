@@ -74,6 +74,12 @@ def scan_since_marks(spark, path):
     return source.since_marks(searches(spark, path), source.marks(marks(spark, path)))
 
 
+def scan_by_day(spark, path):
+    """The same scan of a log in folders of dataset and day."""
+    log = source.land_by_day(searches(spark, path), scratch_path(spark, "search-log"))
+    return source.since_marks_by_day(log, source.marks(marks(spark, path)))
+
+
 def search_order(spark, path):
     return ordered(source.first_scan(searches(spark, path))).select("dataset_id", "id", "ordinal")
 
@@ -186,6 +192,7 @@ ENTRIES = {
     "search_first_scan": (first_scan, FIRST),
     "dataset_marks": (dataset_marks, LATEST_MARKS),
     "search_scan_since_marks": (scan_since_marks, SINCE),
+    "search_scan_by_day": (scan_by_day, SINCE),
     "search_order": (search_order, f"SELECT dataset_id, id, ordinal FROM ({ordered_sql(FIRST)}) o"),
     "collapse_later": (collapse_later, later_sql(FIRST)),
     "collapse_neighbours": (collapse_neighbours, neighbours_sql(FIRST)),

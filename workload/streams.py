@@ -65,6 +65,18 @@ UNION ALL SELECT 'mapping_errors', 'TypeError', count(*) FROM ({MAPPED}) m WHERE
 UNION ALL SELECT 'high_criticality', CAST(win_id AS VARCHAR), count(*) FROM ({MAPPED}) m WHERE criticality = 'high' GROUP BY 2"""
 
 
+def observed_counters(spark, path):
+    """Counters observed while the queue is written, beside the number of records in it."""
+    out, raw = _landed(spark, path, "observed")
+    stream.enqueue_counted(raw, f"{out}/queue", f"{out}/metrics", f"{out}/c", now=now(), continuous=False).awaitTermination()
+    counted = spark.read.parquet(f"{out}/metrics").groupBy("metric", "label").agg(F.sum("value").alias("value"))
+    records = spark.read.parquet(f"{out}/queue").agg(F.count(F.lit(1)).alias("value"))
+    return counted.unionByName(records.select(F.lit("queued").alias("metric"), F.lit("all").alias("label"), "value"))
+
+
+OBSERVED = f"{COUNTERS} UNION ALL SELECT 'queued', 'all', count(*) FROM ({DISPATCHED}) d"
+
+
 def forwarded_logs(spark, path):
     """Agent records normalised, filtered and sent on as gzip files of at most 100 events."""
     out = scratch_path(spark, "forward")
@@ -89,5 +101,6 @@ WHERE n IN (SELECT n FROM ({AGENT_COMPLETE}) c) GROUP BY ALL"""
 ENTRIES = {
     "queued_logs": (queued_logs, QUEUED),
     "streamed_counters": (streamed_counters, COUNTERS),
+    "observed_counters": (observed_counters, OBSERVED),
     "forwarded_logs": (forwarded_logs, FORWARDED),
 }
