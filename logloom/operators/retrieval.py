@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -149,6 +152,30 @@ def _fused(ranks: DataFrame, constant: int) -> DataFrame:
     )
 
 
+def in_range(value: Column, bounds: Mapping[str, object]) -> Column:
+    """Whether a text value lies within ``bounds``: any of ``gt``, ``gte``, ``lt`` and ``lte``.
+
+    With numbers as bounds the text is read as a number, with dates or times as a
+    time, which a date alone names the first moment of. Text that is neither, or
+    missing, lies in no range, nor does NaN.
+    """
+    within = F.lit(True)
+    for name, bound in bounds.items():
+        if isinstance(bound, datetime.date):
+            own, end = F.try_to_timestamp(value), F.lit(bound).cast("timestamp")
+        elif isinstance(bound, (int, float, decimal.Decimal)) and not isinstance(bound, bool):
+            # whole numbers and decimals are compared exactly: doubles would blur large ids
+            kind = "double" if isinstance(bound, float) else "decimal(38,9)"
+            own, end = value.try_cast(kind), F.lit(bound).cast(kind)
+            own = F.when(~F.isnan(value.try_cast("double")), own)
+        else:
+            raise TypeError(f"neither number nor date: {bound!r}")
+        within = within & F.coalesce(COMPARISONS[name](own, end), F.lit(False))
+    return within
+
+
+COMPARISONS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
+
 SEARCHES = {"bm25": lexical, "splade": sparse, "semantic": semantic, "hybrid": hybrid}
 
 
@@ -161,16 +188,20 @@ def search(
     tags: Sequence[str] = (),
     metadata: Mapping[str, str] | None = None,
     members: DataFrame | None = None,
+    ranges: Mapping[str, Mapping[str, object]] | None = None,
 ) -> DataFrame:
     """Top ``limit`` chunks per query by one of the four search types.
 
     Filters choose the chunks that are searched: those with any of ``tags``, with
-    all of the ``metadata`` values, and among the ``members`` (chunk_id) of a group.
+    all of the ``metadata`` values, among the ``members`` (chunk_id) of a group, and
+    with metadata inside all of the ``ranges`` (see :func:`in_range`).
     """
     if tags:
         chunks = chunks.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
     for key, value in (metadata or {}).items():
         chunks = chunks.filter(F.element_at("metadata", key) == value)
+    for key, bounds in (ranges or {}).items():
+        chunks = chunks.filter(in_range(F.element_at("metadata", key), bounds))
     if members is not None:
         chunks = chunks.join(members.select("chunk_id").distinct(), "chunk_id", "left_semi")
     found = SEARCHES[search_type](queries, chunks, limit)

@@ -1,8 +1,11 @@
+import datetime
+import decimal
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.functions.models import embed, overlap_model
 from logloom.operators import blocks, clusters, retrieval
@@ -245,3 +248,27 @@ def test_search_plans_have_no_pairs_of_blocks(spark):
     asked = spark.createDataFrame([("q", "b")], "query_id string, query string")
     plan = retrieval.search(asked, chunks, "bm25", 2)._jdf.queryExecution().toString()
     assert "InPandas" not in plan and "CoGroup" not in plan
+
+
+def test_ranges_of_metadata(spark):
+    day = datetime.datetime(2024, 5, 1)
+    rows = [
+        ("a", "10", "2024-05-01"), ("b", "9.5", "2024-05-01 00:00:01"), ("c", "100", "2024-04-30T23:59:59Z"), ("d", None, None), ("e", "ten", "soon"),
+        ("f", "NaN", ""), ("g", "9007199254740993", "2024-05-02"), ("h", "-1e2", "2023-12-31"),
+    ]
+    frame = spark.createDataFrame(rows, "id string, n string, t string")
+
+    def inside(column, **bounds):
+        return "".join(r.id for r in frame.filter(retrieval.in_range(F.col(column), bounds)).orderBy("id").collect())
+
+    assert inside("n", gte=10) == "acg" and inside("n", gt=10) == "cg" and inside("n", lt=10) == "bh" and inside("n", gt=9, lte=100) == "abc"
+    assert inside("n", gte=9.5, lt=10.0) == "b" and inside("n", lte=float("inf")) == "abcgh"
+    assert inside("n", gt=9007199254740992) == "g" and inside("n", gte=decimal.Decimal("9.5"), lte=decimal.Decimal("9.500000001")) == "b"
+    assert inside("t", gte=day.date()) == "abg" and inside("t", gt=day) == "bg" and inside("t", lt=day) == "ch"
+    assert inside("t", gte=day, lt=datetime.date(2024, 5, 2)) == "ab" and inside("t") == "abcdefgh"
+    with pytest.raises(TypeError):
+        retrieval.in_range(F.col("n"), {"gt": "10"})
+    queries = spark.createDataFrame([("q", "logon")], "query_id string, query string")
+    chunks = frame.select(F.col("id").alias("chunk_id"), F.lit("logon").alias("content"), F.create_map(F.lit("n"), F.col("n")).alias("metadata"))
+    found = retrieval.search(queries, chunks, "bm25", 9, ranges={"n": {"gt": 9, "lt": 50}, "none": {}})
+    assert sorted(r.chunk_id for r in found.collect()) == ["a", "b"]

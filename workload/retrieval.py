@@ -202,6 +202,17 @@ FILTERED_TEXTS = f"SELECT chunk_id, content FROM ({CLASS_CHUNK_ROWS}) x WHERE ta
 SEARCH_FILTERED = f"WITH {bm25_sql(FILTER_QUERIES, FILTERED_TEXTS)}, {ranked('r', 'lexical')} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 3"
 
 
+def search_in_range(spark, path):
+    """Words against the class chunks whose class and parent ids lie in ranges."""
+    made = store.class_chunks(view(spark, path, CLASSES))
+    ranges = {"class_uid": {"gt": 20, "lte": 400}, "extends": {"gte": 10}}
+    return columns(retrieval.search(view(spark, path, FILTER_QUERIES), made, "bm25", 3, ranges=ranges))
+
+
+IN_RANGE_TEXTS = f"SELECT * FROM ({CLASS_CHUNKS}) c WHERE chunk_id IN (SELECT md5(concat('class-', CAST(uid AS VARCHAR))) FROM ({CLASSES}) k WHERE uid > 20 AND uid <= 400 AND extends >= 10)"
+SEARCH_IN_RANGE = f"WITH {bm25_sql(FILTER_QUERIES, IN_RANGE_TEXTS)}, {ranked('r', 'lexical')} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 3"
+
+
 def field_chunks(spark, path):
     rows = store.class_chunks(view(spark, path, CLASSES), view(spark, path, FIELDS))
     return rows.select(F.element_at("tags", 1).alias("kind"), F.replace("content", F.lit("\n"), F.lit(" ")).alias("content"))
@@ -498,6 +509,7 @@ ENTRIES = {
     "search_hybrid": (search_hybrid, SEARCH_HYBRID),
     "answer_contexts": (answer_contexts, ANSWER),
     "search_filtered": (search_filtered, SEARCH_FILTERED),
+    "search_in_range": (search_in_range, SEARCH_IN_RANGE),
     "rag_event_rows": (rag_event_rows, RAG_EVENTS),
     "class_chunks": (class_chunks, CLASS_CHUNK_ROWS),
     "field_chunks": (field_chunks, FIELD_CHUNKS),
