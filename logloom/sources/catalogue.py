@@ -87,7 +87,12 @@ def category_classes(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    doc = entries(docs).withColumn("doc", F.try_parse_json("json"))
+    return classes_of(entries(docs))
+
+
+def classes_of(members: DataFrame) -> DataFrame:
+    """Class rows of members, as :func:`entries` or, for documents of any size, ``members.members`` gives them."""
+    doc = members.withColumn("doc", F.try_parse_json("json"))
     profiles = F.coalesce(V.get("doc", "$.profiles", "array<string>"), F.expr("array()"))
     return doc.select(
         "pos",

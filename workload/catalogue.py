@@ -10,6 +10,7 @@ from logloom.operators import catalogue_docs as docs
 from logloom.operators import catalogue_stats as stats
 from logloom.session import scratch_path
 from logloom.sources import catalogue as source
+from logloom.sources.members import members
 from workload.inputs import BASE_FIELDS, CATEGORIES, CLASSES, FIELDS, PAIRED_FIELDS, view
 
 def classes(spark, path) -> DataFrame:
@@ -226,6 +227,28 @@ UNION ALL SELECT 'base_fields', concat_ws('|', name, type_name, coalesce(require
 """
 
 
+def catalogue_members(spark, path):
+    """All classes in two documents, a list and an object, landed a member a line and read member by member."""
+    out = scratch_path(spark, "members")
+    named = F.col("raw").startswith("{")
+    inner = F.when(named, F.expr("substr(raw, 16, length(raw) - 17)")).otherwise(F.expr("substr(raw, 2, length(raw) - 2)"))
+    lines = class_documents(spark, path).select(named.alias("named"), F.lit(1).alias("part"), F.col("path").cast("bigint").alias("n"), inner.alias("text"))
+    first = lines.groupBy("named", "part").agg(F.min("n").alias("n"))
+    lines = lines.join(first.withColumn("first", F.lit(True)), ["named", "part", "n"], "left")
+    lines = lines.withColumn("text", F.when(F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), "text"))).drop("first")
+    ends = first.select("named", F.explode(F.array(F.lit(0), F.lit(2))).alias("part"), "n")
+    opened = F.when(F.col("named"), '{"attributes": {').otherwise("[")
+    closed = F.when(F.col("named"), '}, "version": "1.0"}').otherwise("]")
+    ends = ends.withColumn("text", F.when(F.col("part") == 0, opened).otherwise(closed))
+    rows = lines.unionByName(ends.select(*lines.columns)).repartition("named").sortWithinPartitions("named", "part", "n")
+    rows.select("named", "text").write.partitionBy("named").text(out)
+    return source.classes_of(members(spark, out)).select("uid", "name", "description", "extends", "category", F.size("profiles").alias("n_profiles"))
+
+
+CATALOGUE_MEMBERS = f"""
+SELECT uid, name, description, extends, category, CAST(CASE WHEN CAST(uid AS BIGINT) % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_profiles FROM ({CLASS_ROWS}) c"""
+
+
 def category_stats(spark, path):
     return stats.category_stats(categories(spark, path), category_classes(spark, path))
 
@@ -612,6 +635,7 @@ PATTERN_CLASSES = f"SELECT f.name AS pattern, count(DISTINCT class_uid) AS class
 
 ENTRIES = {
     "catalogue_tables": (catalogue_tables, CATALOGUE_TABLES),
+    "catalogue_members": (catalogue_members, CATALOGUE_MEMBERS),
     "class_rows": (class_rows, CLASS_ROWS),
     "class_fields": (class_fields, CLASS_FIELDS),
     "formatted_fields": (formatted_fields, FORMATTED),
