@@ -74,7 +74,7 @@ class KeyedStore:
         )
         touched = self._found(changes)
         if touched:
-            self._write(self._merged(state, touched, upto), f"base/generation={upto}")
+            self._save(self._merged(state, touched, upto, dealt=True), f"base/generation={upto}")
             self._note({**state, **dict.fromkeys(touched, upto)}, upto)
         return touched
 
@@ -107,7 +107,9 @@ class KeyedStore:
 
     def _write(self, rows: DataFrame, part: str) -> None:
         width = min(self.buckets, shuffle_width(self.spark))
-        dealt = rows.withColumn("bucket", self._bucket()).repartition(width, "bucket")
+        self._save(rows.withColumn("bucket", self._bucket()).repartition(width, "bucket"), part)
+
+    def _save(self, dealt: DataFrame, part: str) -> None:
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{part}")
 
     def _note(self, state: dict[int, int], made: int) -> None:
@@ -150,14 +152,20 @@ class KeyedStore:
             open_ = open_ | ((F.col("batch") > generation) & F.col("bucket").isin(some))
         return rows.filter(F.col("batch").isin(written) & open_)
 
-    def _merged(self, state: dict[int, int], buckets: Iterable[int], upto: int | None = None) -> DataFrame:
+    def _merged(self, state: dict[int, int], buckets: Iterable[int], upto: int | None = None, dealt: bool = False) -> DataFrame:
         buckets = list(buckets)
         old = self._base(state, buckets).select(*self._columns, F.lit(-1).alias("_batch"))
         new = self._later("delta", state, buckets, upto).select(*self._columns, F.col("batch").alias("_batch"))
         rows = old.unionByName(new)
         gone = self._later("gone", state, buckets, upto).groupBy(*self.key).agg(F.max("batch").alias("_gone"))
         rows = rows.join(_renamed(gone, self.key), self._same(), "left").filter("_gone is null or _batch > _gone")
-        return latest(rows.select(*self._columns, "_batch"), list(self.key), [*self.order, "_batch", *self.ties]).select(*self._columns)
+        order = [*self.order, "_batch", *self.ties]
+        if not dealt:
+            return latest(rows.select(*self._columns, "_batch"), list(self.key), order).select(*self._columns)
+        # a key has one row a batch at most, so rows go to their bucket's task as they are and are merged there, in one shuffle
+        rows = rows.select(*self._columns, "_batch", self._bucket().alias("bucket"))
+        rows = rows.repartition(min(self.buckets, shuffle_width(self.spark)), "bucket")
+        return latest(rows, [*self.key, "bucket"], order).select(*self._columns, "bucket")
 
 
 # What numbers the folders of a part
