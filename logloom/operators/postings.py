@@ -13,6 +13,11 @@ weights stay below the floor are skipped, and of the chunks met only those that
 may still reach the floor are given the rest of their sum. What is read of the
 postings follows the matches, and nothing is approximated. Postings of a token
 that many chunks hold are spread by run.
+
+Where few queries are asked, the postings are read once instead, dealt by chunk, so
+that no match is shuffled but those of a task's best. Many queries that differ only
+in tokens few chunks hold ask for the same common tokens: these are searched once
+for all of them, and the few chunks with a rare token are scored in full.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.spread import first_n, lookup_large
-from logloom.session import cut_lineage
+from logloom.session import cut_lineage, shuffle_width
 
 # Chunks of a run, and runs at most: bounds what a query token meets before any posting is read
 RUN_CHUNKS = 128
@@ -31,6 +36,12 @@ MOST_RUNS = 1024
 # Strongest tokens by whose runs a first few are chosen, and those
 FIRST_TOKENS = 3
 FIRST_RUNS = 2
+# Queries, and tokens of them, that are broadcast to one reading of the postings; matches that one task sums then
+SCAN_QUERIES = 1024
+SCAN_TOKENS = 1 << 17
+SCAN_MATCHES = 1 << 20
+# Chunks that hold a rare token at most
+RARE_CHUNKS = 64
 # Digits kept of a score: makes order and ties independent of the order of summation
 DIGITS = 6
 # Scores that differ by less are equal to the digits kept, up to rounding
@@ -39,7 +50,7 @@ MARGIN = 2e-6
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (token, run, chunk_id, weight), ``tops`` (token, run, low, high) and ``limits`` (token, low, high)."""
+    """``postings`` (token, run, chunk_id, weight), ``tops`` (token, run, low, high, held) and ``limits`` (token, low, high, held)."""
 
     postings: DataFrame
     tops: DataFrame
@@ -55,8 +66,8 @@ def build(postings: DataFrame, run_chunks: int = RUN_CHUNKS, most_runs: int = MO
             "token", F.pmod(F.xxhash64("chunk_id"), F.lit(runs)).cast("int").alias("run"), "chunk_id", F.col("weight").cast("double").alias("weight")
         )
     )
-    tops = cut_lineage(rows.groupBy("token", "run").agg(F.min("weight").alias("low"), F.max("weight").alias("high")))
-    limits = tops.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    tops = cut_lineage(rows.groupBy("token", "run").agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.count(F.lit(1)).alias("held")))
+    limits = tops.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held"))
     return Index(rows, tops, limits)
 
 
@@ -67,15 +78,19 @@ def _reach(weight: str = "weight"):
 
 
 def asked_tokens(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, token, weight, reach): the query tokens some chunk holds."""
+    """(query_id, token, weight, reach, held, rare): the query tokens some chunk holds, and how many do.
+
+    A rare token is one of few chunks that lowers no score.
+    """
     asked = lookup_large(queries.select("query_id", "token", F.col("weight").cast("double").alias("weight")), index.limits, ["token"], ["query_id"], how="inner")
-    return cut_lineage(asked.select("query_id", "token", "weight", _reach().alias("reach")))
+    rare = (F.col("held") <= RARE_CHUNKS) & (F.col("weight") * F.col("low") >= 0) & (F.col("weight") * F.col("high") >= 0)
+    return cut_lineage(asked.select("query_id", "token", "weight", _reach().alias("reach"), "held", rare.alias("rare")))
 
 
 def _in_runs(asked: DataFrame, index: Index) -> DataFrame:
     """(asked, run, reach_run): each token in the runs that hold it. Many queries ask for the tokens many runs hold,
     so those are dealt out by run."""
-    met = lookup_large(index.tops, asked, ["token"], ["run"], how="inner")
+    met = lookup_large(index.tops.drop("held"), asked, ["token"], ["run"], how="inner")
     return met.withColumn("reach_run", _reach()).drop("low", "high")
 
 
@@ -131,6 +146,33 @@ def reaching(asked: DataFrame, index: Index, floors: DataFrame) -> DataFrame:
     )
 
 
+def few(asked: DataFrame) -> bool:
+    """Whether the queries of ``asked`` are a bounded number."""
+    n, tokens = asked.agg(F.count_distinct("query_id"), F.count(F.lit(1))).first()
+    return n <= SCAN_QUERIES and tokens <= SCAN_TOKENS
+
+
+def scanned(asked: DataFrame, index: Index) -> DataFrame:
+    """(query_id, chunk_id, score): every match of few queries.
+
+    The postings they ask for are dealt by chunk, so a task has all of a chunk and sums by itself.
+    """
+    matches = asked.agg(F.sum("held")).first()[0] or 0
+    parts = max(shuffle_width(asked.sparkSession), -(-matches // SCAN_MATCHES))
+    rows = index.postings.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
+    rows = rows.select("token", "chunk_id", F.col("weight").alias("own")).repartition(parts, "chunk_id")
+    met = rows.join(F.broadcast(asked.select("query_id", "token", "weight")), "token")
+    return met.groupBy("chunk_id", "query_id").agg(F.round(F.sum(F.col("weight") * F.col("own")), DIGITS).alias("score")).select(
+        "query_id", "chunk_id", "score"
+    )
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first of every query; Spark leaves out the others in the tasks that found them."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("chunk_id"))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def best(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` best chunks of every query (query_id, token, weight; a token once).
 
@@ -138,10 +180,64 @@ def best(queries: DataFrame, index: Index, k: int) -> DataFrame:
     scores rank by the chunk.
     """
     asked = asked_tokens(queries, index)
+    if few(asked):
+        return _ranked(scanned(asked, index), k)
+    common = common_parts(asked)
+    ids = common.select("query_id").distinct().count()
+    if common.select("part").distinct().count() * 2 <= ids:
+        return _ranked(cut_lineage(of_common_parts(asked, common, index, k)), k)
     found = reaching(asked, index, cut_lineage(floors(asked, index, k)))
     return first_n(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k, ["chunk_id"])
 
 
+def common_parts(asked: DataFrame) -> DataFrame:
+    """(query_id, part, tokens): the tokens of a query that are not rare, with their weights, and a name for just these."""
+    tokens = F.sort_array(F.collect_list(F.struct("token", "weight")))
+    parts = asked.filter("not rare").groupBy("query_id").agg(tokens.alias("tokens"))
+    return cut_lineage(parts.select("query_id", F.sha2(F.to_json("tokens"), 256).alias("part"), "tokens"))
+
+
+def of_common_parts(asked: DataFrame, common: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the matches with a rare token, and the ``k`` best of the common tokens of each query.
+
+    Rare tokens lower no score, so a chunk that has none of them and is placed behind ``k`` others by the common
+    tokens is placed behind these by all tokens.
+    """
+    each = common.dropDuplicates(["part"]).select(F.col("part").alias("query_id"), F.explode("tokens").alias("t"))
+    tops = best(each.select("query_id", "t.token", "t.weight"), index, k)
+    lists = cut_lineage(
+        tops.groupBy(F.col("query_id").alias("part")).agg(F.collect_list(F.struct("chunk_id", "score")).alias("found"))
+    )
+    plain = lookup_large(common.select("query_id", "part"), lists, ["part"], ["query_id"], how="inner").select(
+        "query_id", F.explode("found").alias("f")
+    ).select("query_id", "f.chunk_id", "f.score")
+
+    rare = asked.filter("rare").select("query_id", "token", "weight")
+    holders = index.postings.join(rare.select("token").distinct(), "token", "left_semi").groupBy("token").agg(
+        # RARE_CHUNKS at most
+        F.collect_list(F.struct("run", "chunk_id", F.col("weight").alias("own"))).alias("held")
+    )
+    met = lookup_large(rare, holders, ["token"], ["query_id"], how="inner").select("query_id", "weight", F.explode("held").alias("h"))
+    pairs = cut_lineage(
+        met.groupBy("query_id", "h.run", "h.chunk_id").agg(F.sum(F.col("weight") * F.col("h.own")).alias("score"))
+    )
+    own = common.select(F.col("query_id").alias("_q"), "tokens")
+    others = pairs.join(own, F.col("query_id").eqNullSafe(F.col("_q"))).select(
+        "query_id", "run", "chunk_id", F.explode("tokens").alias("t")
+    )
+    others = cut_lineage(others.select("query_id", "run", "chunk_id", "t.token", "t.weight"))
+    wanted = others.select("token", "run", "chunk_id").distinct()
+    # of many queries that share a rare token all ask about the same chunks
+    held = index.postings.join(wanted, ["token", "run", "chunk_id"], "left_semi").groupBy("token", "run", "chunk_id").agg(F.sum("weight").alias("own"))
+    more = lookup_large(others, held, ["token", "run", "chunk_id"], ["query_id"], how="inner").select(
+        "query_id", "chunk_id", (F.col("weight") * F.col("own")).alias("score")
+    )
+    full = pairs.select("query_id", "chunk_id", "score").unionByName(more).groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("score"), DIGITS).alias("score")
+    )
+    return full.unionByName(plain).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
 def scores_of(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, chunk_id, score) of the ``wanted`` pairs that match."""
     tokens = wanted.select("query_id", "chunk_id").join(queries.select("query_id", "token", "weight"), "query_id")
@@ -159,10 +255,17 @@ def ranks_of(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     last of them are scored; each is counted for the first wanted chunk it is placed
     before, and counts are added up along the wanted ones.
     """
-    scored = cut_lineage(scores_of(wanted, queries, index))
+    asked = asked_tokens(queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), index)
+    scan = few(asked)
+    if scan:
+        matches = scanned(asked, index)
+        # few queries have few wanted chunks
+        scored = matches.join(F.broadcast(wanted.select("query_id", "chunk_id").distinct()), ["query_id", "chunk_id"], "left_semi")
+    else:
+        scored = scores_of(wanted, queries, index)
+    scored = cut_lineage(scored)
     least = scored.groupBy("query_id").agg(F.min("score").alias("floor"))
-    asked = asked_tokens(queries.join(least.select("query_id"), "query_id", "left_semi"), index)
-    rows = reaching(asked, index, least)
+    rows = matches if scan else reaching(asked.join(least.select("query_id"), "query_id", "left_semi"), index, least)
     lists = scored.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "chunk_id"))).alias("places")
     )
@@ -170,7 +273,8 @@ def ranks_of(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     ahead = F.size(
         F.filter("places", lambda p: (p["less"] < -F.col("score")) | ((p["less"] == -F.col("score")) & (p["chunk_id"] <= F.col("chunk_id"))))
     )
-    counts = lookup_large(rows, lists, ["query_id"], ["chunk_id"], how="inner").groupBy("query_id", ahead.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    beside = rows.join(F.broadcast(lists), "query_id") if scan else lookup_large(rows, lists, ["query_id"], ["chunk_id"], how="inner")
+    counts = beside.groupBy("query_id", ahead.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     places = lists.select("query_id", F.posexplode("places").alias("at", "place")).select("query_id", "at", "place.chunk_id")
     upto = Window.partitionBy("query_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a wanted row itself is counted for the place after its own
