@@ -19,6 +19,8 @@ BLOCK_ROWS = 2048
 DIGITS = 6
 # Nearly equal pairs whose difference is taken at a time
 CLOSE_PAIRS = 1 << 16
+# Scores that a task holds at a time
+AT_ONCE = 1 << 21
 
 
 class Dense:
@@ -114,6 +116,68 @@ def pair_blocks(
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def slices(frame: pd.DataFrame, wide: int):
+    """(start, part): parts of a frame whose rows hold ``AT_ONCE`` numbers if each has ``wide``."""
+    step = max(1, AT_ONCE // max(1, wide))
+    for start in range(0, len(frame), step):
+        yield start, frame.iloc[start : start + step]
+
+
+def squared_gaps(left: pd.DataFrame, right: pd.DataFrame):
+    """(start, squared distances of the left rows from there to all right rows), a bounded number at a time; NaN counts as infinite."""
+    import numpy as np
+
+    b = _stacked(right["vector"])
+    b2 = np.einsum("ij,ij->i", b, b)
+    for start, some in slices(left, len(right)):
+        a = _stacked(some["vector"])
+        a2 = np.einsum("ij,ij->i", a, a)
+        gaps = a @ b.T
+        gaps *= -2
+        gaps += a2[:, None]
+        gaps += b2[None, :]
+        # the expanded form loses digits where points nearly coincide
+        most = 1e-6 * (a2.max() + b2.max())
+        if not gaps.min() >= most:
+            close = np.nonzero(gaps < 1e-6 * (a2[:, None] + b2[None, :]))
+            for at in range(0, len(close[0]), CLOSE_PAIRS):
+                i, j = (c[at : at + CLOSE_PAIRS] for c in close)
+                difference = a[i] - b[j]
+                gaps[i, j] = np.einsum("ij,ij->i", difference, difference)
+            gaps[np.isnan(gaps)] = np.inf
+        yield start, gaps
+
+
+def paired_blocks(
+    points: DataFrame,
+    key: str,
+    within: Sequence[str],
+    visit: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
+    schema: str,
+) -> DataFrame:
+    """Run ``visit`` once on every unordered pair of blocks of one frame, and of a block with itself (``alone``).
+
+    The column ``_blocks`` holds the number of blocks. A row goes to as many tasks as there are blocks.
+    """
+    own = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
+    rows = points.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))))
+    rows = rows.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other")).drop("_other", "_blocks")
+    columns = [c.split(":")[0].split()[0] for c in schema.split(",")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        low, high = rows["_lo"].iloc[0], rows["_hi"].iloc[0]
+        alone = low == high
+        l = rows[rows["_own"] == low].reset_index(drop=True)
+        r = l if alone else rows[rows["_own"] == high].reset_index(drop=True)
+        if not len(l) or not len(r):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        return visit(l, r, alone)
+
+    return rows.groupBy(*within, "_lo", "_hi").applyInPandas(run, schema)
+
+
 def best_matches(
     left: DataFrame,
     right: DataFrame,

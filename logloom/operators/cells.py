@@ -7,6 +7,10 @@ less the radius, nor farther than the centre and the radius. A search scores the
 cells next to each query first; the k-th score there rules out all cells that
 cannot hold a better one. The order of cosines is that of distances, so results
 are exact; on vectors without any clusters all cells are in reach.
+
+Cells near each other make up groups of bounded size. A query is sent once to a
+group with the list of its cells to score, so the copies of a vector are bounded by
+the number of groups, and tasks work on bounded slices of them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.blocks import BLOCK_ROWS, DIGITS, best_matches, dense_scorer, pair_blocks
+from logloom.operators.blocks import DIGITS, dense_scorer, pair_blocks, slices
 from logloom.session import cut_lineage
 
 # Bounds of the centres: how many, numbers in all of them, rows of the sample for each
@@ -28,11 +32,13 @@ MOST_NUMBERS = 1 << 20
 SAMPLE_EACH = 16
 ROUNDS = 5
 MARGIN = 2e-6
+# Members of a group of cells, and queries dealt to it at a time; a larger cell is a group, in several blocks
+GROUP_ROWS = 8192
 
 
 @dataclass(frozen=True)
 class Cells:
-    """``members`` (chunk_id, vector, cell, gap), and broadcast (centres, radii, sizes) of the cells."""
+    """``members`` (chunk_id, vector, cell, gap, group), and broadcast (names, centres, radii, sizes, groups) of the cells."""
 
     members: DataFrame
     shape: Broadcast
@@ -98,11 +104,14 @@ def build(chunks: DataFrame, most: int = MOST_CELLS) -> Cells:
                 yield batch.assign(cell=own, gap=np.sqrt(np.maximum(0.0, 2 - 2 * near[np.arange(len(own)), own])))
 
     members = cut_lineage(rows.mapInPandas(assign, f"chunk_id {kind}, vector {vector}, cell int, gap double"))
-    return Cells(members, context.broadcast(_shape(members, centres.value)))
+    shape = _shape(members, centres.value)
+    # a row per cell, MOST_CELLS at most
+    own = chunks.sparkSession.createDataFrame([(int(c), int(g)) for c, g in zip(shape[0], shape[4])], "cell int, group int")
+    return Cells(members.join(F.broadcast(own), "cell"), context.broadcast(shape))
 
 
 def _shape(members: DataFrame, centres):
-    """(centres, radii, sizes): a row per cell reaches the driver, ``MOST_CELLS`` at most."""
+    """(names, centres, radii, sizes, groups): a row per cell reaches the driver, ``MOST_CELLS`` at most."""
     import numpy as np
 
     radius, size = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
@@ -110,7 +119,26 @@ def _shape(members: DataFrame, centres):
         # a little more than measured: rounding must not rule out a cell
         radius[r.cell], size[r.cell] = r.radius + 1e-7, r.n
     held = size > 0
-    return np.flatnonzero(held), centres[held], radius[held], size[held]
+    names, centres, radius, size = np.flatnonzero(held), centres[held], radius[held], size[held]
+    return names, centres, radius, size, groups_of(centres, size)
+
+
+def groups_of(centres, size):
+    """The group of every cell: cells next to the same of a few centres follow each other and fill a group."""
+    import numpy as np
+
+    group = np.zeros(len(size), dtype=np.int64)
+    if not len(size):
+        return group
+    few = max(1, int(size.sum()) // GROUP_ROWS)
+    order = np.argsort((centres @ centres[:few].T).argmax(axis=1), kind="stable")
+    at, held = 0, 0
+    for cell in order:
+        if held and held + size[cell] > GROUP_ROWS:
+            at, held = at + 1, 0
+        group[cell] = at
+        held += size[cell]
+    return group
 
 
 def _distances(vectors: pd.Series, centres):
@@ -128,7 +156,7 @@ def _score(distance):
 
 
 def visits(queries: DataFrame, cells: Cells, k: int, floors: DataFrame | None = None) -> DataFrame:
-    """(query_id, vector, cell): the cells to score for each query (query_id, vector).
+    """(query_id, vector, group, cells): the cells to score for each query (query_id, vector), those of a group together.
 
     Without ``floors`` the nearest cells that hold ``k`` members together; with
     ``floors`` (query_id, floor) all others that may hold a score of the floor.
@@ -142,37 +170,79 @@ def visits(queries: DataFrame, cells: Cells, k: int, floors: DataFrame | None =
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        names, centres, radius, size = shape.value
+        names, centres, radius, size, group = shape.value
+        # cells in the order of their groups, and where each group begins
+        order_of = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order_of], prepend=-1))
         for batch in batches:
             if not len(batch) or not len(names):
                 continue
-            gaps = _distances(batch["vector"], centres)
-            order = np.argsort(gaps, axis=1, kind="stable")
-            held = np.cumsum(size[order], axis=1)
-            nearest = np.zeros(gaps.shape, dtype=bool)
-            np.put_along_axis(nearest, order, held - size[order] < k, axis=1)
-            wanted = nearest
-            if beyond:
-                floor = batch["floor"].to_numpy(dtype=float)[:, None]
-                wanted = ~nearest & (np.isnan(floor) | (_score(gaps - radius) >= floor - MARGIN))
-            at, cell = np.nonzero(wanted)
-            yield batch[["query_id", "vector"]].iloc[at].assign(cell=names[cell])
+            for _, some in slices(batch, len(names) + len(starts) * len(batch["vector"].iloc[0])):
+                gaps = _distances(some["vector"], centres)
+                order = np.argsort(gaps, axis=1, kind="stable")
+                held = np.cumsum(size[order], axis=1)
+                nearest = np.zeros(gaps.shape, dtype=bool)
+                np.put_along_axis(nearest, order, held - size[order] < k, axis=1)
+                wanted = nearest
+                if beyond:
+                    floor = some["floor"].to_numpy(dtype=float)[:, None]
+                    wanted = ~nearest & (np.isnan(floor) | (_score(gaps - radius) >= floor - MARGIN))
+                wanted = wanted[:, order_of]
+                at, piece = np.nonzero(np.logical_or.reduceat(wanted, starts, axis=1))
+                ends = np.append(starts[1:], len(names))
+                lists = [
+                    names[order_of[starts[g] : ends[g]][wanted[i, starts[g] : ends[g]]]].astype(np.int32) for i, g in zip(at, piece)
+                ]
+                yield some[["query_id", "vector"]].iloc[at].assign(group=group[order_of[starts[piece]]], cells=pd.Series(lists, index=some.index[at], dtype=object))
 
     kind, vector = (queries.schema[c].dataType.simpleString() for c in ("query_id", "vector"))
-    return rows.mapInPandas(choose, f"query_id {kind}, vector {vector}, cell int")
+    return rows.mapInPandas(choose, f"query_id {kind}, vector {vector}, group int, cells array<int>")
 
 
 def _with_blocks(asked: DataFrame, cells: Cells) -> tuple[DataFrame, DataFrame, tuple]:
-    """Both sides with the numbers of blocks of every cell: a crowded cell, or one many queries visit, is dealt out."""
-    of = lambda frame, name: frame.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-    # a row per cell, MOST_CELLS at most
-    sizes = F.broadcast(cut_lineage(of(asked, "_nl").join(of(cells.members, "_nr"), "cell")))
-    return asked.join(sizes, "cell"), cells.members.drop("gap").join(sizes, "cell"), (F.col("_nl"), F.col("_nr"))
+    """Both sides with the numbers of blocks of every group: a crowded one, or one many queries visit, is dealt out."""
+    of = lambda frame, name: frame.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias(name))
+    # a row per group, MOST_CELLS at most
+    sizes = F.broadcast(cut_lineage(of(asked, "_nl").join(of(cells.members, "_nr"), "group")))
+    return asked.join(sizes, "group"), cells.members.drop("gap").join(sizes, "group"), (F.col("_nl"), F.col("_nr"))
 
 
 def _scored(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the ``k`` best of each visited block of a group, of the cells asked for."""
     left, right, blocks = _with_blocks(cut_lineage(asked), cells)
-    return best_matches(left, right, "query_id", "chunk_id", dense_scorer("cosine"), k, within=["cell"], blocks=blocks).drop("rank", "cell")
+    kind = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+    score = dense_scorer("cosine")
+
+    def visit(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        r = r.sort_values("chunk_id", kind="stable").reset_index(drop=True)
+        ids, own = r["chunk_id"].to_numpy(), r["cell"].to_numpy()
+        there = np.unique(own)
+        all_cells = len(there)
+        parts = []
+        for _, some in slices(l, len(r)):
+            near = np.round(score(some, r), DIGITS)
+            for i, wanted in enumerate(some["cells"]):
+                row = -near[i]
+                if len(wanted) < all_cells or not np.isin(there, wanted).all():
+                    row[~np.isin(own, wanted)] = np.inf
+                picked = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
+                picked = picked[np.isfinite(row[picked])]
+                picked = picked[np.argsort(row[picked], kind="stable")][:k]
+                if len(picked):
+                    parts.append((some["query_id"].iloc[i], ids[picked], -row[picked]))
+        return pd.DataFrame(
+            {
+                "query_id": [q for q, found, _ in parts for _ in found],
+                "chunk_id": np.concatenate([found for _, found, _ in parts]) if parts else [],
+                "score": np.concatenate([s for _, _, s in parts]) if parts else [],
+            }
+        )
+
+    return pair_blocks(
+        left, right, "query_id", "chunk_id", ["group"], visit, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score double", blocks
+    )
 
 
 def best(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
@@ -192,7 +262,7 @@ def scored_pairs(queries: DataFrame, cells: Cells, k: int, found: DataFrame) ->
     """How many pairs a search for ``k`` scored that gave ``found``, for measuring."""
     floor = found.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     sizes = cells.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    asked = visits(queries, cells, k).unionByName(visits(queries, cells, k, floor))
+    asked = visits(queries, cells, k).unionByName(visits(queries, cells, k, floor)).select(F.explode("cells").alias("cell"))
     return asked.join(F.broadcast(sizes), "cell").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
@@ -231,40 +301,45 @@ def ranks_of(wanted: DataFrame, queries: DataFrame, cells: Cells) -> DataFrame:
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        names, centres, radius, size = shape.value
+        names, centres, radius, size, group = shape.value
         for batch in batches:
-            if not len(batch):
+            if not len(batch) or not len(names):
                 continue
-            gaps = _distances(batch["vector"], centres)
-            most, least = _score(gaps - radius) + MARGIN, _score(gaps + radius) - MARGIN
-            out = []
-            for i, (query, vector, ids, scores) in enumerate(zip(batch["query_id"], batch["vector"], batch["ids"], batch["scores"])):
-                s = np.asarray(scores, dtype=float)[:, None]
-                before, behind = least[i] > s, most[i] < s
-                whole = before @ size
-                out.append((query, None, -1, ids, scores, whole))
-                for cell in np.flatnonzero((~before & ~behind).any(axis=0)):
-                    open_ = ~before[:, cell] & ~behind[:, cell]
-                    out.append((query, vector, names[cell], np.asarray(ids, dtype=object)[open_], s[open_, 0], None))
-            yield pd.DataFrame(out, columns=["query_id", "vector", "cell", "ids", "scores", "whole"])
-
-    shape_of = f"query_id {kind['query_id']}, vector {queries.schema['vector'].dataType.simpleString()}, cell int, ids array<{kind['chunk_id']}>, scores array<double>, whole array<bigint>"
+            for _, some in slices(batch, len(names) + (int(group.max()) + 1) * len(batch["vector"].iloc[0])):
+                gaps = _distances(some["vector"], centres)
+                most, least = _score(gaps - radius) + MARGIN, _score(gaps + radius) - MARGIN
+                out = []
+                for i, (query, vector, ids, scores) in enumerate(zip(some["query_id"], some["vector"], some["ids"], some["scores"])):
+                    ids, s = np.asarray(ids, dtype=object), np.asarray(scores, dtype=float)[:, None]
+                    before, behind = least[i] > s, most[i] < s
+                    whole = np.zeros(len(ids), dtype=np.int64)
+                    for g in np.unique(group):
+                        inside = group == g
+                        # a group some cell of which lies around a score is compared, member by member
+                        open_ = (~before[:, inside] & ~behind[:, inside]).any(axis=1)
+                        whole += np.where(open_, 0, before[:, inside] @ size[inside])
+                        if open_.any():
+                            out.append((query, vector, int(g), ids[open_], s[open_, 0], None))
+                    out.append((query, None, -1, ids, scores, whole))
+                yield pd.DataFrame(out, columns=["query_id", "vector", "group", "ids", "scores", "whole"])
+
+    shape_of = f"query_id {kind['query_id']}, vector {queries.schema['vector'].dataType.simpleString()}, group int, ids array<{kind['chunk_id']}>, scores array<double>, whole array<bigint>"
     chosen = cut_lineage(targets.mapInPandas(choose, shape_of))
-    whole = chosen.filter("cell < 0").select("query_id", F.explode(F.arrays_zip("ids", "whole")).alias("w")).select(
+    whole = chosen.filter("group < 0").select("query_id", F.explode(F.arrays_zip("ids", "whole")).alias("w")).select(
         "query_id", F.col("w.ids").alias("chunk_id"), F.col("w.whole").alias("n")
     )
 
     def count_before(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        near = np.round(score(l, r), DIGITS)
-        names = r["chunk_id"].to_numpy()
-        rows = []
-        for i, (owner, ids, scores) in enumerate(zip(l["query_id"], l["ids"], l["scores"])):
-            for w, s in zip(ids, scores):
-                rows.append((owner, w, int(((near[i] > s) | ((near[i] == s) & (names < w))).sum())))
+        names, rows = r["chunk_id"].to_numpy(), []
+        for _, some in slices(l, len(r)):
+            near = np.round(score(some, r), DIGITS)
+            for i, (owner, ids, scores) in enumerate(zip(some["query_id"], some["ids"], some["scores"])):
+                for w, s in zip(ids, scores):
+                    rows.append((owner, w, int(((near[i] > s) | ((near[i] == s) & (names < w))).sum())))
         return pd.DataFrame(rows, columns=["query_id", "chunk_id", "n"])
 
-    left, right, blocks = _with_blocks(chosen.filter("cell >= 0").drop("whole"), cells)
-    counted = pair_blocks(left, right, "query_id", "chunk_id", ["cell"], count_before, f"{pair}, n bigint", blocks)
+    left, right, blocks = _with_blocks(chosen.filter("group >= 0").drop("whole"), cells)
+    counted = pair_blocks(left, right, "query_id", "chunk_id", ["group"], count_before, f"{pair}, n bigint", blocks)
     return whole.unionByName(counted).groupBy("query_id", "chunk_id").agg((F.sum("n") + 1).alias("rank"))
