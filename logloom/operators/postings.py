@@ -14,21 +14,26 @@ may still reach the floor are given the rest of their sum. What is read of the
 postings follows the matches, and nothing is approximated. Postings of a token
 that many chunks hold are spread by run.
 
-Where few queries are asked, the postings are read once instead, dealt by chunk, so
-that no match is shuffled but those of a task's best. Many queries that differ only
+Where few queries are asked, the tokens of each chunk are read once instead, as one row:
+a task scores a slice of chunks against all queries and passes on its best, or how many
+chunks it placed before some, so no match is shuffled. Many queries that differ only
 in tokens few chunks hold ask for the same common tokens: these are searched once
 for all of them, and the few chunks with a rare token are scored in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.spread import first_n, lookup_large
-from logloom.session import cut_lineage, shuffle_width
+from logloom.session import cut_lineage
 
 # Chunks of a run, and runs at most: bounds what a query token meets before any posting is read
 RUN_CHUNKS = 128
@@ -36,10 +41,10 @@ MOST_RUNS = 1024
 # Strongest tokens by whose runs a first few are chosen, and those
 FIRST_TOKENS = 3
 FIRST_RUNS = 2
-# Queries, and tokens of them, that are broadcast to one reading of the postings; matches that one task sums then
+# Queries, and tokens of them, that are broadcast to one reading of the postings; scores and matches that a task holds then
 SCAN_QUERIES = 1024
 SCAN_TOKENS = 1 << 17
-SCAN_MATCHES = 1 << 20
+SCAN_CELLS = 1 << 22
 # Chunks that hold a rare token at most
 RARE_CHUNKS = 64
 # Digits kept of a score: makes order and ties independent of the order of summation
@@ -50,25 +55,46 @@ MARGIN = 2e-6
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (token, run, chunk_id, weight), ``tops`` (token, run, low, high, held) and ``limits`` (token, low, high, held)."""
+    """``postings`` (token, run, chunk_id, weight), ``tops`` (token, run, low, high, held) and ``limits`` (token, low, high, held),
+    and ``lists`` (chunk_id, tokens, weights), a row per chunk; each is made when it is asked for."""
+
+    given: DataFrame
+    run_chunks: int
+    most_runs: int
+    by_chunk: DataFrame | None = None
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        chunks = self.given.agg(F.approx_count_distinct("chunk_id")).first()[0]
+        runs = max(1, min(self.most_runs, -(-chunks // self.run_chunks)))
+        return cut_lineage(
+            self.given.select(
+                "token", F.pmod(F.xxhash64("chunk_id"), F.lit(runs)).cast("int").alias("run"), "chunk_id", F.col("weight").cast("double").alias("weight")
+            )
+        )
 
-    postings: DataFrame
-    tops: DataFrame
-    limits: DataFrame
+    @cached_property
+    def tops(self) -> DataFrame:
+        return cut_lineage(
+            self.postings.groupBy("token", "run").agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.count(F.lit(1)).alias("held"))
+        )
 
+    @cached_property
+    def limits(self) -> DataFrame:
+        return self.tops.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held"))
 
-def build(postings: DataFrame, run_chunks: int = RUN_CHUNKS, most_runs: int = MOST_RUNS) -> Index:
-    """An index of (chunk_id, token, weight), a token once per chunk."""
-    chunks = postings.agg(F.approx_count_distinct("chunk_id")).first()[0]
-    runs = max(1, min(most_runs, -(-chunks // run_chunks)))
-    rows = cut_lineage(
-        postings.select(
-            "token", F.pmod(F.xxhash64("chunk_id"), F.lit(runs)).cast("int").alias("run"), "chunk_id", F.col("weight").cast("double").alias("weight")
-        )
-    )
-    tops = cut_lineage(rows.groupBy("token", "run").agg(F.min("weight").alias("low"), F.max("weight").alias("high"), F.count(F.lit(1)).alias("held")))
-    limits = tops.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("held").alias("held"))
-    return Index(rows, tops, limits)
+    @cached_property
+    def lists(self) -> DataFrame:
+        if self.by_chunk is not None:
+            return self.by_chunk
+        of = F.collect_list(F.struct("token", F.col("weight").cast("double").alias("weight")))
+        held = self.given.groupBy("chunk_id").agg(of.alias("t"))
+        return held.select("chunk_id", F.col("t.token").alias("tokens"), F.col("t.weight").alias("weights"))
+
+
+def build(postings: DataFrame, run_chunks: int = RUN_CHUNKS, most_runs: int = MOST_RUNS, by_chunk: DataFrame | None = None) -> Index:
+    """An index of (chunk_id, token, weight), a token once per chunk; ``by_chunk`` is the same as a row (chunk_id, tokens, weights) per chunk, if known."""
+    return Index(postings, run_chunks, most_runs, by_chunk)
 
 
 def _reach(weight: str = "weight"):
@@ -152,19 +178,176 @@ def few(asked: DataFrame) -> bool:
     return n <= SCAN_QUERIES and tokens <= SCAN_TOKENS
 
 
-def scanned(asked: DataFrame, index: Index) -> DataFrame:
-    """(query_id, chunk_id, score): every match of few queries.
+@dataclass(frozen=True)
+class Asked:
+    """Few queries: their ids, and of every token where its queries and their weights are."""
+
+    ids: pa.Array
+    tokens: pa.Array
+    starts: object
+    places: object
+    weights: object
+
+
+def asked_of(queries: DataFrame) -> Asked:
+    """The rows (query_id, token, weight) of few queries, which all go to the driver."""
+    import numpy as np
+
+    rows = queries.select("query_id", "token", F.col("weight").cast("double").alias("weight")).filter("token is not null").toArrow()
+    ids, tokens = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("query_id", "token"))
+    order = np.argsort(tokens.indices.to_numpy(zero_copy_only=False), kind="stable")
+    ends = np.cumsum(np.bincount(tokens.indices.to_numpy(zero_copy_only=False), minlength=len(tokens.dictionary)))
+    weights = pc.fill_null(rows["weight"].combine_chunks(), 0.0).to_numpy(zero_copy_only=False)
+    return Asked(
+        ids.dictionary, tokens.dictionary, np.append(0, ends).astype(np.int64), ids.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64), weights[order]
+    )
+
+
+def scan(lists: DataFrame, asked: Asked, make: Callable, schema: str) -> DataFrame:
+    """What a step makes of the scores of all chunks of ``lists`` (chunk_id, tokens, weights) for the queries ``asked``.
 
-    The postings they ask for are dealt by chunk, so a task has all of a chunk and sums by itself.
+    ``make()`` gives the step of a task, a function of the chunk ids in ascending order, the scores
+    (queries by chunks, rounded) and which of them match; called with None at the end of the task.
     """
-    matches = asked.agg(F.sum("held")).first()[0] or 0
-    parts = max(shuffle_width(asked.sparkSession), -(-matches // SCAN_MATCHES))
-    rows = index.postings.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
-    rows = rows.select("token", "chunk_id", F.col("weight").alias("own")).repartition(parts, "chunk_id")
-    met = rows.join(F.broadcast(asked.select("query_id", "token", "weight")), "token")
-    return met.groupBy("chunk_id", "query_id").agg(F.round(F.sum(F.col("weight") * F.col("own")), DIGITS).alias("score")).select(
-        "query_id", "chunk_id", "score"
-    )
+    shared = lists.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        asked, step = shared.value, make()
+        n = len(asked.ids)
+        for batch in batches:
+            if not len(batch) or not n:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=asked.tokens), -1).to_numpy(zero_copy_only=False)
+            own = pc.fill_null(batch.column(2).flatten(), 0.0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), sizes)
+            row, codes, own = row[codes >= 0], codes[codes >= 0], own[codes >= 0]
+            many = asked.starts[codes + 1] - asked.starts[codes]
+            cost = np.cumsum(n + np.bincount(row, weights=many, minlength=len(batch)))
+            begin = 0
+            while begin < len(batch):
+                end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + SCAN_CELLS, "right")))
+                a, b = np.searchsorted(row, [begin, end])
+                m = many[a:b]
+                at = np.repeat(asked.starts[codes[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                cells = asked.places[at] * (end - begin) + np.repeat(row[a:b] - begin, m)
+                size = n * (end - begin)
+                scores = np.bincount(cells, weights=np.repeat(own[a:b], m) * asked.weights[at], minlength=size)
+                met = np.bincount(cells, minlength=size) > 0
+                yield from step(batch.column(0).slice(begin, end - begin), np.round(scores, DIGITS).reshape(n, -1), met.reshape(n, -1))
+                begin = end
+        yield from step(None, None, None)
+
+    return lists.select("chunk_id", "tokens", "weights").mapInArrow(run, schema)
+
+
+def _id_kinds(queries: DataFrame, lists: DataFrame) -> str:
+    query, chunk = queries.schema["query_id"].dataType.simpleString(), lists.schema["chunk_id"].dataType.simpleString()
+    return f"query_id {query}, chunk_id {chunk}"
+
+
+def _rows(ids: pa.Array, at, chunks: pa.Array, beside, scores) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), chunks.take(pa.array(beside)), pa.array(scores)], names=["query_id", "chunk_id", "score"])
+
+
+def scanned(queries: DataFrame, index: Index, lists: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): every match of few queries; of the chunks in ``lists`` if given."""
+    import numpy as np
+
+    asked, lists = asked_of(queries), index.lists if lists is None else lists
+    ids = asked.ids
+
+    def make() -> Callable:
+        def step(chunks, scores, met):
+            if chunks is not None:
+                at, beside = np.nonzero(met)
+                yield _rows(ids, at, chunks, beside, scores[at, beside])
+
+        return step
+
+    return scan(lists, asked, make, f"{_id_kinds(queries, lists)}, score double")
+
+
+def scanned_best(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of few queries the ``k`` best matches of every task, and perhaps some more."""
+    import numpy as np
+
+    asked, lists = asked_of(queries), index.lists
+    ids = asked.ids
+
+    def make() -> Callable:
+        floors = np.full(len(ids), -np.inf)
+
+        def step(chunks, scores, met):
+            if chunks is None:
+                return
+            found, owners = [], []
+            for q in range(len(ids)):
+                at = np.flatnonzero(met[q] & (scores[q] >= floors[q]))
+                less = -scores[q, at]
+                if len(at) > k:
+                    at = at[less <= np.partition(less, k - 1)[k - 1]]
+                    less = -scores[q, at]
+                at = at[np.argsort(less, kind="stable")][:k]
+                if len(at) == k:
+                    floors[q] = scores[q, at[-1]]
+                found.append(at)
+                owners.append(np.full(len(at), q))
+            at, beside = np.concatenate(owners), np.concatenate(found)
+            yield _rows(ids, at, chunks, beside, scores[at, beside])
+
+        return step
+
+    return scan(lists, asked, make, f"{_id_kinds(queries, lists)}, score double")
+
+
+def scanned_counts(queries: DataFrame, index: Index, places: DataFrame) -> DataFrame:
+    """(query_id, at, n): how many matches of few queries have ``at`` of their ``places`` before them, or are the last of these.
+
+    ``places`` (query_id, places) are (less, chunk_id) in order, a bounded number for each query.
+    """
+    import bisect
+
+    import numpy as np
+
+    known = {r.query_id: ([p.less for p in r.places], [p.chunk_id for p in r.places]) for r in places.collect()}
+    asked = asked_of(queries.filter(F.col("query_id").isNotNull()))
+    ids = asked.ids
+    marks = [known.get(q, ([], [])) for q in ids.to_pylist()]
+
+    def make() -> Callable:
+        counts = [np.zeros(len(less) + 1, dtype=np.int64) for less, _ in marks]
+
+        def step(chunks, scores, met):
+            if chunks is None:
+                at = [(q, a) for q, c in enumerate(counts) if marks[q][0] for a in np.flatnonzero(c)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([q for q, _ in at], pa.int64())), pa.array([int(a) for _, a in at], pa.int32()), pa.array([int(counts[q][a]) for q, a in at], pa.int64())],
+                    names=["query_id", "at", "n"],
+                )
+                return
+            nulls = chunks.null_count
+            names = chunks.slice(nulls).to_pylist()
+            for q, (less, own) in enumerate(marks):
+                if not less:
+                    continue
+                row = np.flatnonzero(met[q])
+                value, bounds = -scores[q, row], np.asarray(less)
+                ahead, upto = np.searchsorted(bounds, value, "left"), np.searchsorted(bounds, value, "right")
+                tied = upto > ahead
+                if tied.any():
+                    first, last = ahead[tied].min(), upto[tied].max()
+                    for p in range(first, last):
+                        ahead = ahead + ((value == bounds[p]) & (row >= nulls + bisect.bisect_left(names, own[p])))
+                counts[q] += np.bincount(ahead, minlength=len(counts[q]))
+
+        return step
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return scan(index.lists, asked, make, f"query_id {kind}, at int, n bigint")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -179,9 +362,9 @@ def best(queries: DataFrame, index: Index, k: int) -> DataFrame:
     Chunks without a token of the query do not match. Scores are rounded; equal
     scores rank by the chunk.
     """
+    if few(queries):
+        return _ranked(scanned_best(queries, index, k), k)
     asked = asked_tokens(queries, index)
-    if few(asked):
-        return _ranked(scanned(asked, index), k)
     common = common_parts(asked)
     ids = common.select("query_id").distinct().count()
     if common.select("part").distinct().count() * 2 <= ids:
@@ -255,26 +438,31 @@ def ranks_of(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     last of them are scored; each is counted for the first wanted chunk it is placed
     before, and counts are added up along the wanted ones.
     """
-    asked = asked_tokens(queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), index)
-    scan = few(asked)
+    queries = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+    scan = few(queries)
     if scan:
-        matches = scanned(asked, index)
+        pairs = wanted.select("query_id", "chunk_id").distinct()
         # few queries have few wanted chunks
-        scored = matches.join(F.broadcast(wanted.select("query_id", "chunk_id").distinct()), ["query_id", "chunk_id"], "left_semi")
+        lists = index.lists.join(F.broadcast(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        scored = scanned(queries, index, lists).join(pairs, ["query_id", "chunk_id"], "left_semi")
     else:
         scored = scores_of(wanted, queries, index)
     scored = cut_lineage(scored)
-    least = scored.groupBy("query_id").agg(F.min("score").alias("floor"))
-    rows = matches if scan else reaching(asked.join(least.select("query_id"), "query_id", "left_semi"), index, least)
     lists = scored.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "chunk_id"))).alias("places")
     )
-    # how many wanted chunks are placed before a row, or are the row
-    ahead = F.size(
-        F.filter("places", lambda p: (p["less"] < -F.col("score")) | ((p["less"] == -F.col("score")) & (p["chunk_id"] <= F.col("chunk_id"))))
-    )
-    beside = rows.join(F.broadcast(lists), "query_id") if scan else lookup_large(rows, lists, ["query_id"], ["chunk_id"], how="inner")
-    counts = beside.groupBy("query_id", ahead.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    if scan:
+        counts = scanned_counts(queries, index, lists).groupBy("query_id", "at").agg(F.sum("n").alias("n"))
+    else:
+        asked = asked_tokens(queries, index)
+        least = scored.groupBy("query_id").agg(F.min("score").alias("floor"))
+        rows = reaching(asked.join(least.select("query_id"), "query_id", "left_semi"), index, least)
+        # how many wanted chunks are placed before a row, or are the row
+        ahead = F.size(
+            F.filter("places", lambda p: (p["less"] < -F.col("score")) | ((p["less"] == -F.col("score")) & (p["chunk_id"] <= F.col("chunk_id"))))
+        )
+        beside = lookup_large(rows, lists, ["query_id"], ["chunk_id"], how="inner")
+        counts = beside.groupBy("query_id", ahead.alias("at")).agg(F.count(F.lit(1)).alias("n"))
     places = lists.select("query_id", F.posexplode("places").alias("at", "place")).select("query_id", "at", "place.chunk_id")
     upto = Window.partitionBy("query_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a wanted row itself is counted for the place after its own

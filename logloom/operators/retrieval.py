@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 import decimal
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,36 +25,50 @@ RRF = 60
 
 def bm25_weights(
     queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B
-) -> tuple[DataFrame, DataFrame]:
-    """BM25 as a dot product: (query_id, token, weight) and (chunk_id, token, weight).
+) -> tuple[DataFrame, postings.Index]:
+    """BM25 as a dot product: (query_id, token, weight) and an index of (chunk_id, token, weight).
 
     The inverse document frequency goes to the query side and the saturated term
     frequency to the chunk side, so frequencies are never joined to postings.
     Chunks are tokenised once: the postings keep the tokens some query asks for,
-    and of every chunk an empty token that carries its length. Counts combine
-    before their shuffle.
+    and the length of every chunk. Where these tokens are few, a chunk's are
+    counted where its text is.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("token"))
-    wanted = asked.select("token").distinct().unionByName(
-        queries.sparkSession.range(1).select(F.lit("").alias("token"))
-    )
-    counted = cut_lineage(
-        chunks.select("chunk_id", tokens("content").alias("_t"))
-        .select(
-            "chunk_id",
-            F.size("_t").alias("len"),
-            F.explode_outer(F.array_append("_t", F.lit(""))).alias("token"),
+    wanted = asked.select("token").distinct()
+    some = [r.token for r in wanted.limit(postings.SCAN_TOKENS + 1).collect()]
+    few, repeated = len(some) <= postings.SCAN_TOKENS, False
+    if few:
+        repeated = not chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+        lists = _counts(chunks, some)
+        if repeated:
+            # texts of one chunk and length count together
+            rows = lists.select("chunk_id", "len", F.explode_outer(F.arrays_zip("tokens", "counts")).alias("t"))
+            rows = rows.groupBy("chunk_id", "len", F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("f"))
+            pair = F.when(F.col("token").isNotNull(), F.struct("token", "f"))
+            lists = rows.groupBy("chunk_id", "len").agg(F.collect_list(pair).alias("t"))
+            lists = lists.select("chunk_id", "len", F.col("t.token").alias("tokens"), F.col("t.f").alias("counts"))
+        lists = cut_lineage(lists)
+        lengths = lists.select("len")
+        held = lists.select("chunk_id", "len", F.explode(F.arrays_zip("tokens", "counts")).alias("t")).select(
+            "chunk_id", "len", F.col("t.tokens").alias("token"), F.col("t.counts").alias("f")
         )
-        .join(wanted, ["token"], "left_semi")
-        .groupBy("chunk_id", "len", "token")
-        .agg(F.count(F.lit(1)).alias("f"))
-    )
-    totals = (
-        counted.filter("token = ''")
-        .agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")))
-        .scalar()
-    )
-    held = counted.filter("token <> ''")
+    else:
+        # an empty token carries the length of a chunk
+        carried = wanted.unionByName(queries.sparkSession.range(1).select(F.lit("").alias("token")))
+        counted = cut_lineage(
+            chunks.select("chunk_id", tokens("content").alias("_t"))
+            .select(
+                "chunk_id",
+                F.size("_t").alias("len"),
+                F.explode_outer(F.array_append("_t", F.lit(""))).alias("token"),
+            )
+            .join(carried, ["token"], "left_semi")
+            .groupBy("chunk_id", "len", "token")
+            .agg(F.count(F.lit(1)).alias("f"))
+        )
+        lengths, held = counted.filter("token = ''"), counted.filter("token <> ''")
+    totals = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))).scalar()
     frequency = held.groupBy("token").agg(F.count(F.lit(1)).alias("d"))
     idf = F.log(F.lit(1) + (F.col("_totals.n") - F.col("d") + 0.5) / (F.col("d") + 0.5))
     query_side = (
@@ -60,17 +76,46 @@ def bm25_weights(
         .withColumn("_totals", totals)
         .select("query_id", "token", idf.alias("weight"))
     )
-    saturated = F.col("f") * (k1 + 1) / (
-        F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("_totals.avg_len"))
+
+    def saturated(f: Column) -> Column:
+        return f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("_totals.avg_len")))
+
+    chunk_side = held.withColumn("_totals", totals).select("chunk_id", "token", saturated(F.col("f")).alias("weight"))
+    by_chunk = None
+    if few and not repeated:
+        by_chunk = lists.withColumn("_totals", totals).select("chunk_id", "tokens", F.transform("counts", saturated).alias("weights"))
+    return cut_lineage(query_side), postings.build(chunk_side, by_chunk=by_chunk)
+
+
+def _counts(chunks: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(chunk_id, len, tokens, counts): the number of tokens of every text, and which of the ``wanted`` it holds how often."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    shared = chunks.sparkSession.sparkContext.broadcast(list(wanted))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            codes = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            keys = np.repeat(np.arange(len(batch)), sizes) * np.int64(len(known)) + codes
+            held, counts = np.unique(keys[codes >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(held, np.arange(len(batch) + 1) * np.int64(len(known))).astype(np.int32))
+            held = known.take(pa.array(held % max(1, len(known))))
+            lists = [pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["chunk_id", "len", "tokens", "counts"])
+
+    rows = chunks.select("chunk_id", tokens("content").alias("_t")).filter("_t is not null")
+    return rows.select("chunk_id", F.size("_t").alias("len"), "_t").mapInArrow(
+        count, f"chunk_id {kind}, len int, tokens array<string>, counts array<bigint>"
     )
-    chunk_side = held.withColumn("_totals", totals).select("chunk_id", "token", saturated.alias("weight"))
-    return cut_lineage(query_side), chunk_side
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 top ``k``: (query_id, chunk_id, score, rank)."""
     left, right = bm25_weights(queries, chunks, k1, b)
-    return postings.best(left, postings.build(right), k)
+    return postings.best(left, right, k)
 
 
 def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -103,7 +148,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, k: int, constant: int = RRF) -
     depth = constant + 2 * k
     left_words, right_words = bm25_weights(queries, chunks)
     left_vectors = _with_vector(queries, "query_id")
-    words, groups = postings.build(right_words), cells.build(_with_vector(chunks, "chunk_id"))
+    words, groups = right_words, cells.build(_with_vector(chunks, "chunk_id"))
     found = {"lexical": postings.best(left_words, words, depth), "semantic": cells.best(left_vectors, groups, depth)}
     tops = None
     for name, top in found.items():
