@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from logloom.functions.spread import lookup_large
 from logloom.session import cut_lineage
 
+# Rules, or classes with a schema, that are broadcast; of more, the hot keys are dealt out
+MOST_RULES = 100_000
 RULES = "path string, keyword string, texts array<string>, number double, scopes array<struct<id: string, branch: int, depth: int>>"
 # Keywords with a number for an argument: what of a value is compared, and which results are violations
 BOUNDS = {
@@ -218,18 +220,26 @@ ALTERNATIVES = {
 }
 
 
+def _beside(rows: DataFrame, per_class: DataFrame, n: int, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` of records joined to ``n`` rows that classes have; a class may hold most of the records."""
+    if n <= MOST_RULES:
+        return rows.join(F.broadcast(per_class), on, how)
+    return lookup_large(rows, per_class, on, ["record_id"], how)
+
+
 def violations(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """(record_id, violation): what ``schemas`` (class_uid, schema) find wrong in ``records`` (record_id, class_uid, doc)."""
-    found = values(records.join(schemas.select("class_uid").distinct(), "class_uid", "left_semi"))
+    found = values(_beside(records, schemas.select("class_uid").distinct(), schemas.count(), ["class_uid"], "left_semi"))
     depth = found.agg(F.coalesce(F.max(F.size("at")), F.lit(0))).first()[0]
     rules = cut_lineage(compiled(schemas, depth))
+    n_rules = rules.count()
     kinds = list(ALTERNATIVES)
     nesting = rules.agg(F.coalesce(F.max(F.size("scopes") + F.col("keyword").isin(*kinds).cast("int")), F.lit(0))).first()[0]
     where = F.concat(F.lit("$"), F.array_join("at", ""))
     plain = rules.filter(~F.col("keyword").isin(*kinds))
     # values of which no rule speaks need no description
-    named = _described(found.join(plain.select("class_uid", "path").distinct(), ["class_uid", "path"], "left_semi"))
-    errors = named.join(plain, ["class_uid", "path"]).select("record_id", "at", "scopes", _violation(where).alias("violation"))
+    named = _described(_beside(found, plain.select("class_uid", "path").distinct(), n_rules, ["class_uid", "path"], "left_semi"))
+    errors = _beside(named, plain, n_rules, ["class_uid", "path"]).select("record_id", "at", "scopes", _violation(where).alias("violation"))
     errors = errors.filter("violation is not null")
     if not nesting:
         return errors.select("record_id", "violation")
@@ -237,7 +247,7 @@ def violations(records: DataFrame, schemas: DataFrame) -> DataFrame:
     choices = rules.filter(F.col("keyword").isin(*kinds)).select(
         "class_uid", "path", "keyword", F.element_at("texts", 1).alias("id"), F.col("number").cast("int").alias("branches"), "scopes"
     )
-    choices = cut_lineage(found.select("record_id", "class_uid", "path", "at").join(choices.distinct(), ["class_uid", "path"]))
+    choices = cut_lineage(_beside(found.select("record_id", "class_uid", "path", "at"), choices.distinct(), n_rules, ["class_uid", "path"]))
     for level in range(nesting, 0, -1):
         scope = F.element_at("scopes", level)
         inner = errors.filter(F.size("scopes") == level).select(
@@ -263,11 +273,13 @@ def check_records(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     known = schemas.select("class_uid").distinct().withColumn("_known", F.lit(True))
     found = violations(records, schemas).groupBy("record_id").agg(F.array_sort(F.collect_set("violation")).alias("violations"))
-    rows = lookup_large(records, known, ["class_uid"], ["record_id"]).join(found, "record_id", "left")
+    # the document itself need not be sorted for the join where nobody asks for it afterwards
+    rows = _beside(records, known, schemas.count(), ["class_uid"], "left").withColumn("_none", F.col("doc").isNull())
+    rows = rows.join(found, "record_id", "left")
     none = F.array(F.concat(F.lit("no schema for class "), F.coalesce(F.col("class_uid").cast("string"), F.lit("None"))))
     listed = (
         F.when(F.col("_known").isNull(), none)
-        .when(F.col("doc").isNull(), F.array(F.lit("no document")))
+        .when(F.col("_none"), F.array(F.lit("no document")))
         .otherwise(F.coalesce("violations", F.array().cast("array<string>")))
     )
-    return rows.withColumn("violations", listed).withColumn("valid", F.size("violations") == 0).drop("_known")
+    return rows.withColumn("violations", listed).withColumn("valid", F.size("violations") == 0).drop("_known", "_none")
