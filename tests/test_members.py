@@ -86,3 +86,36 @@ def test_no_row_holds_a_document(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert longest < 40 and blocks > 5
     assert tuple(found) == (20_000, 20_000 * 19_999 // 2, '{"name":"c9999","v":[9999,9999]}')
+
+
+@pytest.mark.parametrize("size", [1, 40, 700])
+def test_members_of_slices_of_any_size(spark, tmp_path, monkeypatch, size):
+    """Members, entries by themselves and brackets at the ends of slices."""
+    from logloom.sources import members as m
+
+    rng = random.Random(size)
+    for n in range(30):
+        (tmp_path / f"d{n:02d}.json").write_text(document(rng, n))
+    (tmp_path / "entry.json").write_text(json.dumps({"name": "z,a", "v": [1, {"b": 2}, [3, 4]]}, indent=1))
+    monkeypatch.setattr(m, "SLICE", size)
+    monkeypatch.setattr(m, "FEW", 3)
+    monkeypatch.setattr(m, "BATCH", 10)
+    want = plain(catalogue.entries(catalogue.documents(spark, str(tmp_path))))
+    assert len(want) > 50 and plain(members(spark, str(tmp_path))) == want
+
+
+def test_rows_are_kept_by_slice_not_by_comma(spark, tmp_path, monkeypatch):
+    """What is materialised on the way grows with the bytes, not with the commas."""
+    from logloom.sources import members as m
+
+    (tmp_path / "long.json").write_text("[" + ",".join(f'{{"name":"c{i}","v":[{i},{i}]}}' for i in range(20_000)) + "]")
+    kept = []
+
+    def counting(frame, cut=m.cut_lineage):
+        frame = cut(frame)
+        kept.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(m, "cut_lineage", counting)
+    assert members(spark, str(tmp_path)).count() == 20_000
+    assert sum(kept) < 1_000
