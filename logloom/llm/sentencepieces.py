@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # Words whose ids a worker keeps, letters of words of one length that advance together
-KEPT = 150_000
+KEPT = 300_000
 TOGETHER = 1 << 17
 PAIR_BITS = 22
 # Letters of text whose words are encoded together
@@ -36,6 +36,9 @@ CHUNK = 1 << 21
 # Slots for pairs of pieces of which is known whether merging leaves them apart
 PAIR_SLOTS = 1 << 20
 
+# What stands behind a word, and the place of a string that begins no piece
+PAST, ABSENT = np.uint64(1 << 33), -2
+
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -117,6 +120,11 @@ class Encoder:
         self.keys, self.ids = hashes[order], np.array(list(prefixes.values()), dtype=np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two prefixes of pieces share a hash")
+        # where the hashes that begin with some bits are among all, at least four times as many beginnings as hashes
+        self.shift = np.uint64(64 - max(8, (4 * len(self.keys)).bit_length()))
+        heads = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.heads = np.concatenate([[0], np.cumsum(heads)]).astype(np.int32)
+        self.crowd = int(heads.max())
         # pairs of letters that stand together in a piece; a false hit only makes a longer word
         self.inside = np.zeros(1 << PAIR_BITS, dtype=bool)
         joint = {p[k : k + 2] for i in usable for p in (v.pieces[i],) for k in range(len(p) - 1)}
@@ -132,10 +140,22 @@ class Encoder:
         if v.model == BPE:
             self.undo_merges(usable)
 
-    def forget(self) -> None:
-        """Known words, as places in one run of ids."""
-        self.known: dict[str, int] = {}
-        self.flat, self.first = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    def forget(self, but: set[str] = frozenset()) -> None:
+        """Known words, as places in one run of ids: of those known only those of ``but`` are kept."""
+        words = [w for w in but if w in self.known] if but else []
+        if words:
+            flat, size = self.ids_of(words)
+            self.flat, self.first = flat, np.concatenate([[0], np.cumsum(size)])
+        else:
+            self.flat, self.first = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.known: dict[str, int] = dict(zip(words, range(len(words))))
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words in one run, and how many each has."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        first, count = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(ends[-1] if len(at) else 0) + np.repeat(first - ends + count, count)], count
 
     @staticmethod
     def pair_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,6 +171,21 @@ class Encoder:
                 h = (h + np.uint64(ord(c) + 1)) * BASE
         return h
 
+    def probed(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 for other prefixes of pieces, ``ABSENT`` for what is none."""
+        head = (h >> self.shift).astype(np.int64)
+        at, end = self.heads[head], self.heads[head + 1]
+        out = np.full(len(h), ABSENT, dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        for n in range(self.crowd):
+            here = at[left] + n
+            on = self.keys[here] == h[left]
+            out[left[on]] = self.ids[here[on]]
+            left = left[~on & (here + 1 < end[left])]
+            if not len(left):
+                break
+        return out
+
     def undo_merges(self, usable: list[int]) -> None:
         """For every piece its rank, the pair it is merged from and whether merging can make it.
 
@@ -253,35 +288,36 @@ class Encoder:
         """The ids of words of one length, in one run, and how many each has."""
         size = len(words[0])
         points = code_points("".join(words)).reshape(len(words), size).astype(np.uint64)
-        # piece of every (word, start, length), by hashes that grow letter by letter
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        row, start = (x.ravel() for x in np.indices(points.shape))
-        h = np.zeros(len(row), dtype=np.uint64)
+        # piece of every (word, start, length), by hashes that grow letter by letter; no piece goes on past a word
+        wide = size + 1
+        letters = np.full((len(words), wide), PAST, dtype=np.uint64)
+        letters[:, :size] = points + np.uint64(1)
+        letters = letters.ravel()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        cell = (np.arange(len(words))[:, None] * wide + np.arange(size)).ravel()
+        h = np.zeros(len(cell), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for n in range(1, min(size, self.longest) + 1):
-                h = (h + points[row, start + n - 1] + np.uint64(1)) * BASE
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                on = self.keys[at] == h
-                row, start, h, piece = row[on], start[on], h[on], self.ids[at[on]]
-                hit = piece >= 0
-                found.append((row[hit], start[hit], piece[hit]))
-                on = start + n < size
-                row, start, h = row[on], start[on], h[on]
-                if not len(row):
+                h = (h + letters[cell + (n - 1)]) * BASE
+                piece = self.probed(h)
+                on = np.flatnonzero(piece > ABSENT)
+                cell, h, piece = cell[on], h[on], piece[on]
+                if not len(cell):
                     break
-        row, start, piece = (np.concatenate([f[k] for f in found]) for k in range(3))
+                hit = piece >= 0
+                found.append((cell[hit], piece[hit]))
+        cell, piece = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
         # a letter that is no piece stands for itself
-        single = np.zeros(points.shape, dtype=bool)
-        one = self.size[piece] == 1
-        single[row[one], start[one]] = True
-        lone = np.nonzero(~single)
-        row, start = np.concatenate([row, lone[0]]), np.concatenate([start, lone[1]])
-        piece = np.concatenate([piece, np.full(len(lone[0]), -1)])
-        length = np.where(piece < 0, 1, self.size[piece])
-        end = start + length
-        order = np.lexsort((row, end))
-        row, start, piece, end = row[order], start[order], piece[order], end[order]
-        bounds = np.searchsorted(end, np.arange(1, size + 2))
+        single = np.zeros((len(words), wide), dtype=bool)
+        single[:, size] = True
+        single.ravel()[cell[self.size[piece] == 1]] = True
+        lone = np.flatnonzero(~single)
+        cell, piece = np.concatenate([cell, lone]), np.concatenate([piece, np.full(len(lone), -1)])
+        row, start = np.divmod(cell, wide)
+        end = start + np.where(piece < 0, 1, self.size[piece])
+        order = np.argsort(end.astype(np.uint16) if size < 1 << 16 else end, kind="stable")
+        row, start, piece = row[order], start[order], piece[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(end, minlength=size + 1)[1:])])
         if self.v.model == BPE:
             last, back = self.by_merges(len(words), size, row, start, piece, bounds)
         else:
@@ -363,9 +399,10 @@ class Encoder:
         """The ids of each text; none for a null or empty one."""
         cut = [self.words(t or "") for t in texts]
         if len(self.known) > KEPT:
-            self.forget()
+            # the words of this text are likely those of the next
+            self.forget(set().union(*cut))
         new: dict[int, list[str]] = {}
-        for word in set().union(*cut) - self.known.keys():
+        for word in {w for words in cut for w in words if w not in self.known}:
             new.setdefault(len(word), []).append(word)
         flat, sizes = [self.flat], []
         for size, words in new.items():
@@ -378,22 +415,17 @@ class Encoder:
         if sizes:
             self.flat = np.concatenate(flat)
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
-        out = []
-        for words in cut:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            first, count = self.first[at], self.first[at + 1] - self.first[at]
-            ends = np.cumsum(count)
-            out.append(self.flat[np.arange(ends[-1] if len(at) else 0) + np.repeat(first - ends + count, count)])
-        return out
+        return [self.ids_of(words)[0] for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a list of ids; control pieces vanish, bytes that are no UTF-8 become U+FFFD."""
-        ids = np.asarray(ids, dtype=np.int64)
+        ids = np.asarray(ids)
+        listed = ids.tolist()
         if not self.high[ids].any():
-            text = "".join(map(self.texts.__getitem__, ids.tolist()))
+            text = "".join(map(self.texts.__getitem__, listed))
         else:
             out, run = [], bytearray()
-            for i in ids.tolist():
+            for i in listed:
                 if self.high[i]:
                     run.append(int(self.v.pieces[i][1:-1], 16))
                     continue
@@ -401,7 +433,7 @@ class Encoder:
                 run.clear()
             text = "".join([*out, replaced(run)])
         # the dummy prefix is a space mark at the head of the first piece that reads as anything
-        first = next((p for p, k in zip(map(self.v.pieces.__getitem__, ids.tolist()), self.v.kinds[ids].tolist()) if k != CONTROL), "")
+        first = next((self.v.pieces[i] for i in listed if self.v.kinds[i] != CONTROL), "")
         return text[1:] if self.v.prefix and first.startswith(SPACE) else text
 
 

@@ -63,6 +63,18 @@ def test_forgetting_words_changes_nothing(library, encoder, monkeypatch):
     assert [i.tolist() for some in sp.chunks(texts, 10) for i in small.encode(some)] == whole
 
 
+def test_words_of_the_text_at_hand_are_not_forgotten(library, monkeypatch):
+    """Once too many words are known, those that come again are not encoded again, and ids stay the library's."""
+    monkeypatch.setattr(sp, "KEPT", 30)
+    encoder, asked = sp.Encoder(sp.load(piece_model())), []
+    encode_words = encoder.encode_words
+    monkeypatch.setattr(encoder, "encode_words", lambda words: asked.extend(words) or encode_words(words))
+    for n in range(8):
+        text = "the same words come again, " + " ".join(f"x{chr(97 + n)}y{chr(97 + k)}" for k in range(20))
+        assert [i.tolist() for i in encoder.encode([text, ""])] == library.encode([text, ""])
+    assert len(asked) == len(set(asked))
+
+
 def unigram(pieces, fallback=False):
     kinds = [sp.UNKNOWN] + [sp.NORMAL] * len(pieces)
     names, scores = ["<unk>", *(p for p, _ in pieces)], [0.0, *(s for _, s in pieces)]
