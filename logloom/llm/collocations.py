@@ -298,6 +298,17 @@ def survivors(
 
 def exact_counts(rows: DataFrame, words, pairs, kept, sizes: Sequence[int], size: int = CHUNK) -> DataFrame:
     """(lang, phrase, size, n): exact counts of the n-grams that the broadcast ``kept`` lets through."""
+    part = counts_by_task(rows, words, pairs, kept, sizes, size)
+    return part.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+
+
+def counts_by_task(rows: DataFrame, words, pairs, kept, sizes: Sequence[int], size: int = CHUNK) -> DataFrame:
+    """The same as each task has counted them, a row per phrase and ``HELD`` phrases that a task has met.
+
+    A frequent phrase is met by most tasks, so there is one task per core, however
+    many parts the input has: else rows would grow with phrases times parts.
+    """
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Counter] = {}
@@ -334,8 +345,7 @@ def exact_counts(rows: DataFrame, words, pairs, kept, sizes: Sequence[int], size
                 }
             )
 
-    part = rows.mapInArrow(of, "lang string, phrase string, size int, n long")
-    return part.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(of, "lang string, phrase string, size int, n long")
 
 
 def frequent_phrases(

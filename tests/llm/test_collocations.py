@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -121,6 +122,17 @@ def test_full_bit_table_changes_nothing(spark, monkeypatch):
     assert found(c.collocations(docs, 5)) == expected == plain(rows, 5, 5, 2000)
 
 
+def test_counts_passed_on_do_not_grow_with_the_parts_of_the_input(spark):
+    every = SimpleNamespace(value=c.Bits(8, np.full(32, 255, np.uint8)))
+    rows = spark.createDataFrame([("en", "a b c")] * 400, ROWS).repartition(40)
+    sent = c.counts_by_task(rows, every, every, every, [2, 3]).collect()
+    assert len(sent) <= 3 * spark.sparkContext.defaultParallelism
+    totals = Counter()
+    for row in sent:
+        totals[row.phrase] += row.n
+    assert totals == {"a b": 400, "b c": 400, "a b c": 400}
+
+
 def test_bits_hold_what_was_put_in(spark):
     h = spark.range(50_000).selectExpr("xxhash64(id) AS h")
     bits = c.Bits.of(h)
