@@ -31,3 +31,28 @@ def test_core_distances_pass_on_a_row_per_point_and_pair(spark, monkeypatch):
     sizes = {n: sum(v == n for v in label.values()) for n in label.values()}
     want_label = {f"p{i:03d}": f"p{n:03d}" for i, n in label.items() if sizes[n] >= 9}
     assert {i: n for i, n in found.items() if n} == want_label
+
+
+def test_core_distances_of_a_pair_of_blocks_hold_a_tile(spark, monkeypatch):
+    """What a pair of blocks compares is not kept: 2,500 x 2,500 distances are 50 MB, held by views of their rows' least."""
+    import tracemalloc
+
+    import pandas as pd
+
+    seen = []
+    pairs = clusters.paired_blocks
+    monkeypatch.setattr(clusters, "paired_blocks", lambda *a: seen.append(a[3]) or pairs(*a))
+    monkeypatch.setattr(blocks, "TILE", 256, raising=False)
+    x = np.random.default_rng(5).normal(size=(5000, 4)).round(3)
+    frame = spark.createDataFrame([("d", "p", [0.0] * 4)], "dataset_id string, id string, vector array<double>")
+    clusters.core_distances(frame, 9)
+    sides = [pd.DataFrame({"dataset_id": "d", "id": np.arange(s, s + 2500)}) for s in (0, 2500)]
+    tracemalloc.start()
+    got = pd.concat(seen[0](*sides, x[:2500], x[2500:], False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    for i in (0, 1234, 4999):
+        other = x[2500:] if i < 2500 else x[:2500]
+        want = np.sort(np.round(np.sqrt(((x[i] - other) ** 2).sum(-1)), 6))[:9]
+        assert np.allclose(np.sort(got[got["id"] == i]["least"].iloc[0]), want, atol=1e-9)
