@@ -56,3 +56,64 @@ def test_core_distances_of_a_pair_of_blocks_hold_a_tile(spark, monkeypatch):
         other = x[2500:] if i < 2500 else x[:2500]
         want = np.sort(np.round(np.sqrt(((x[i] - other) ** 2).sum(-1)), 6))[:9]
         assert np.allclose(np.sort(got[got["id"] == i]["least"].iloc[0]), want, atol=1e-9)
+
+
+def test_links_within_reach_hold_a_tile(spark, monkeypatch):
+    """The forest of a pair of blocks joins what all pairs of points join, and holds a tile of distances at a time."""
+    import tracemalloc
+
+    import pandas as pd
+
+    seen = []
+    pairs = clusters.paired_blocks
+    monkeypatch.setattr(clusters, "paired_blocks", lambda *a: seen.append(a[3]) or pairs(*a))
+    monkeypatch.setattr(blocks, "TILE", 256, raising=False)
+    x = np.random.default_rng(6).normal(size=(4000, 3)).round(3)
+    kinds = "dataset_id string, id string, vector array<double>, core double, eps double"
+    clusters.reachability_edges(spark.createDataFrame([("d", "p", [0.0] * 3, 0.1, 0.2)], kinds))
+    l, r = [pd.DataFrame({"dataset_id": "d", "id": np.arange(s, s + 2000), "eps": 0.2}) for s in (0, 2000)]
+
+    def parts(links):
+        up = list(range(4000))
+        for a, b in links:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        label = []
+        for i, u in enumerate(up):
+            label.append(i if u == i else label[u])
+        return label
+
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 6) <= 0.2
+    for alone in (False, True):
+        tracemalloc.start()
+        got = pd.concat(seen[0](l, l if alone else r, x[:2000], x[:2000] if alone else x[2000:], alone))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        near = np.argwhere(d[:2000, :2000]) if alone else np.argwhere(d[:2000, 2000:]) + [0, 2000]
+        assert parts(got[["a", "b"]].to_numpy().tolist()) == parts(near.tolist())
+        assert 0 < len(got) < 4000 and peak < 15e6
+
+
+def test_members_stats_and_memberships_of_many_blocks(spark, monkeypatch):
+    """What follows from the clusters is the same for one block and for many."""
+    from pyspark.sql import functions as F
+
+    from logloom.plans.topics import find_topics
+
+    rng = np.random.default_rng(8)
+    rows = [("d", f"p{i:03d}", 0, 0, f"text {i % 4}", i / 200, (rng.normal(size=4) * 0.2 + (i % 3) * 5).round(3).tolist()) for i in range(180)]
+    searches = spark.createDataFrame(
+        rows, "dataset_id string, id string, created_at long, is_duplicate int, query string, top_score double, query_vector array<double>"
+    )
+    found = []
+    for most in (10**6, 37):
+        monkeypatch.setattr(clusters, "POINT_BLOCK", most)
+        run = find_topics(searches, F.lit(0), 12)
+        rows = clusters.members(run.clustered, searches.select("dataset_id", "id", "query", "top_score"))
+        top = clusters.top_members(rows).select("label", "id", "rank")
+        stats = clusters.cluster_stats(rows).withColumn("avg_score", F.round("avg_score", 9))
+        found.append([sorted(map(tuple, f.collect())) for f in (rows.select("id", "label", "prob"), top, stats, run.memberships)])
+    assert found[0] == found[1] and len(found[0][2]) == 3 and len(found[0][3]) == len(found[0][0]) > 150
