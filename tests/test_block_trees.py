@@ -45,9 +45,10 @@ def test_shuffle_files_go_with_what_made_them(spark):
     before = files()
     kept = cut_lineage(spark.range(100_000).groupBy("id").count().repartition(9, "count", "id"))
     made = files() - before
-    release(spark)
-    for _ in range(100):
+    # the cleaner may still be busy with what tests before left
+    for _ in range(10):
+        release(spark)
+        time.sleep(1)
         if not made & files():
             break
-        time.sleep(0.2)
     assert made and not made & files() and kept.count() == 100_000
